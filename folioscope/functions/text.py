@@ -36,26 +36,27 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, java_pattern(r"\s+"), " "))
 
 
-def char_ngrams(text: Column, n: int = 3) -> Column:
-    chars = F.split(F.lower(text), "")
-    return F.when(
-        F.length(text) >= n,
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once per row, also when lambdas refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _ngrams(items: Column, n: int, glue: str) -> Column:
+    return bind(items, lambda a: F.when(
+        F.size(a) >= n,
         F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length(text) - (n - 1)),
-            lambda i: F.array_join(F.slice(chars, i, n), ""),
+            F.sequence(F.lit(1), F.size(a) - (n - 1)),
+            lambda i: F.array_join(F.slice(a, i, n), glue),
         )),
-    ).otherwise(F.array().cast("array<string>"))
+    ).otherwise(F.array().cast("array<string>")))
+
+
+def char_ngrams(text: Column, n: int = 3) -> Column:
+    return _ngrams(F.split(F.lower(text), ""), n, "")
 
 
 def word_ngrams(text: Column, n: int = 3) -> Column:
-    w = words(F.lower(text))
-    return F.when(
-        F.size(w) >= n,
-        F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.size(w) - (n - 1)),
-            lambda i: F.array_join(F.slice(w, i, n), " "),
-        )),
-    ).otherwise(F.array().cast("array<string>"))
+    return _ngrams(words(F.lower(text)), n, " ")
 
 
 def sentences(text: Column) -> Column:

@@ -171,8 +171,6 @@ DOCUMENT_PATTERNS = [
     r"From\s+'([^'\n]+?)'",
     r"Source:\s*([^:\n]+?)(?:\n|$)",
 ]
-POSITIVE_CUES = ["used", "relevant", "source", "referenced", "cited", "score", "chunk", "provides",
-                 "contains", "supports", "aligned"]
 NEGATIVE_CUES = ["not used", "irrelevant", "unrelated", "not relevant", "not a source",
                  "not referenced", "not cited"]
 RERANK_WEIGHTS = {"llm": 0.89, "initial": 0.11}

@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins, by area."""
 
 from folioscope.plans.registry import ORACLES, QUERIES
-from folioscope.plans import text_plans  # noqa: F401
+from folioscope.plans import retrieval_plans, text_plans  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]
