@@ -96,9 +96,11 @@ def key_phrases(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """|A∩B| / max(|A∪B|, 1) over arrays read as sets."""
-    shared = F.size(F.array_intersect(a, b))
-    joint = F.greatest(F.size(F.array_union(a, b)), F.lit(1))
-    return shared.cast("double") / joint.cast("double")
+    def share(p):
+        joint = F.greatest(F.size(F.array_union(p["a"], p["b"])), F.lit(1))
+        return F.size(F.array_intersect(p["a"], p["b"])).cast("double") / joint.cast("double")
+
+    return bind(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def extension(filename: Column) -> Column:

@@ -292,28 +292,31 @@ SPANS_SQL = f"""
 ndl AS (SELECT query_id, chunk_id, doc_id, {_SQUEEZE.format('d.text')} AS d,
    {_SQUEEZE.format("CASE WHEN query_id % 3 = 0 THEN h.chunk_text || ' #' ELSE h.chunk_text END")} AS nd
   FROM hits h JOIN documents d USING (doc_id)),
-exa AS (SELECT *, list_filter(range(1, length(d) + 1), lambda i: substr(d, i, length(nd)) = nd) AS hit_at, {words_sql('nd')} AS w FROM ndl),
-led AS (SELECT *, CASE WHEN len(hit_at) = 0 AND len(w) >= 3 THEN array_to_string(w[1:3], ' ') END AS ld FROM exa),
-pos AS (SELECT *, unnest(CASE WHEN ld IS NULL THEN hit_at ELSE list_filter(range(1, length(d) + 1), lambda i: substr(d, i, length(ld)) = ld) END) AS p FROM led),
-spn AS (SELECT query_id, chunk_id, doc_id, d, (p - 1)::INT AS start,
-   (CASE WHEN ld IS NULL THEN p - 1 + length(nd) WHEN strpos(substr(d, p), '.') > 0 THEN p - 1 + strpos(substr(d, p), '.') - 1
-     ELSE least(p - 1 + length(nd) * 2, length(d)) END)::INT AS "end" FROM pos)"""
+led AS (SELECT *, strpos(d, nd) > 0 AS exact, CASE WHEN strpos(d, nd) > 0 THEN nd
+    WHEN len({words_sql('nd')}) >= 3 THEN array_to_string(({words_sql('nd')})[1:3], ' ') END AS ky FROM ndl),
+pos AS (SELECT query_id, chunk_id, doc_id, strpos(d, ky) AS p FROM led WHERE strpos(d, ky) > 0
+  UNION ALL SELECT p.query_id, p.chunk_id, p.doc_id, p.p + strpos(substr(l.d, p.p + 1), l.ky) FROM pos p JOIN led l USING (query_id, chunk_id)
+    WHERE strpos(substr(l.d, p.p + 1), l.ky) > 0),
+spn AS (SELECT query_id, chunk_id, l.doc_id, d, (p - 1)::INT AS start,
+   (CASE WHEN exact THEN p - 1 + length(nd) WHEN strpos(substr(d, p), '.') > 0 THEN p - 1 + strpos(substr(d, p), '.') - 1
+     ELSE least(p - 1 + length(nd) * 2, length(d)) END)::INT AS "end" FROM pos JOIN led l USING (query_id, chunk_id))"""
 
 
 def _spans(spark, sf):
     hits = hits_with_text(spark, sf).select("query_id", "chunk_id", "doc_id", "chunk_text")
     needle = F.when(F.col("query_id") % 3 == 0, F.concat("chunk_text", F.lit(" #"))).otherwise(F.col("chunk_text"))
     docs = documents(spark, sf).select("doc_id", "text")
+    hits = hits.repartition(spark.sparkContext.defaultParallelism, "chunk_id")  # few rows, heavy expressions
     return spans.find_spans(hits.withColumn("needle", needle).drop("chunk_text").join(docs, "doc_id"))
 
 
-@query("find_spans", f"""WITH {HITS_SQL}, {SPANS_SQL}
+@query("find_spans", f"""WITH RECURSIVE {HITS_SQL}, {SPANS_SQL}
 SELECT query_id, chunk_id, doc_id, start, "end", trim(substr(d, start + 1, "end" - start)) AS span_text FROM spn""")
 def _find_spans(spark, sf):
     return _spans(spark, sf).select("query_id", "chunk_id", "doc_id", "start", "end", "span_text")
 
 
-@query("merge_spans", f"""WITH {HITS_SQL}, {SPANS_SQL},
+@query("merge_spans", f"""WITH RECURSIVE {HITS_SQL}, {SPANS_SQL},
 one AS (SELECT doc_id, start, max("end") AS e FROM spn GROUP BY 1, 2),
 rch AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM one),
 isl AS (SELECT *, sum(CASE WHEN r IS NULL OR start >= r THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start) AS k FROM rch)
