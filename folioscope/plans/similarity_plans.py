@@ -68,7 +68,7 @@ def _combined(spark, sf):
     return scored.select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
 
 
-def _overlap_sql(name: str, left: str, right: str, lid: str, rid: str, on: str = "") -> str:
+def _overlap_sql(name: str, left: str, right: str, lid: str, rid: str, on: str = "", limit: float = 0.75) -> str:
     """CTEs ending in ``name``: every sentence pair that shares a term is compared (no candidate rule)."""
     keys = f"{on}, " if on else ""
     join_on = "".join(f" AND l.{k.strip()} = r.{k.strip()}" for k in on.split(",") if k.strip())
@@ -84,16 +84,17 @@ def _overlap_sql(name: str, left: str, right: str, lid: str, rid: str, on: str =
    SELECT s, term, tf * (ln((1e0 + (SELECT count(*) FROM {name}_s)) / (1e0 + df)) + 1e0) AS raw FROM {name}_t JOIN {name}_d USING (term))),
 {name}_c AS (SELECT a.s AS sa, b.s AS sb, sum(a.w * b.w) AS cosine
    FROM (SELECT * FROM {name}_v WHERE s IN (SELECT s FROM {name}_l)) a JOIN (SELECT * FROM {name}_v WHERE s IN (SELECT s FROM {name}_r)) b USING (term) GROUP BY 1, 2
-   HAVING sum(a.w * b.w) > 0.375e0),
-{name}_m AS (SELECT * FROM (SELECT sa, sb, round({_weighted('cosine', 'sa', 'sb')}, 6) AS sim FROM {name}_c) WHERE sim > 0.75e0),
+   HAVING sum(a.w * b.w) > {round((limit - 0.6) / 0.4, 6)}e0),
+{name}_m AS (SELECT * FROM (SELECT sa, sb, round({_weighted('cosine', 'sa', 'sb')}, 6) AS sim FROM {name}_c) WHERE sim > {limit}e0),
 {name} AS (SELECT {out}, max(sim) AS best FROM {name}_l l JOIN {name}_m m ON l.s = m.sa JOIN {name}_r r ON r.s = m.sb{join_on} GROUP BY ALL)"""
 
 
-@query("sentence_overlap", f"""WITH {_overlap_sql('ov', 'documents', 'benchmark', 'doc_id', 'item_id')}
+@query("sentence_overlap", f"""WITH {_overlap_sql('ov', 'documents', 'benchmark', 'doc_id', 'item_id', limit=0.7)}
 SELECT doc_id, item_id, best FROM ov""")
 def _overlap(spark, sf):
     return similarity.sentence_overlap(
-        documents(spark, sf).select("doc_id", "text"), read_table(spark, sf, "benchmark"), ["doc_id"], ["item_id"])
+        documents(spark, sf).select("doc_id", "text"), read_table(spark, sf, "benchmark"), ["doc_id"], ["item_id"],
+        threshold=0.7)
 
 
 # each question's best document, line by line, against the question's passage
