@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, FloatType
 
 from folioscope.functions.text import capital_phrases, sentences, strip, tokens, words
 from folioscope.functions.vocab import (
@@ -74,6 +75,15 @@ def vectorize(df: DataFrame, key: str, text: str) -> DataFrame:
     return weighted.select(key, "term", (F.col("raw") / norm).alias("w"))
 
 
+def embed(df: DataFrame, text: str, load_model, batch_size: int = 256, name: str = "embedding") -> DataFrame:
+    """Adds dense vectors from a caller's model. ``load_model()`` runs once per Python worker and returns a
+    function from an array of texts to a matrix."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    vectors = predict_batch_udf(load_model, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    return df.withColumn(name, vectors(F.col(text)))
+
+
 def keywords(df: DataFrame, key: str, text: str, n: int = 10, n_terms: int = 5, min_len: int = 4) -> DataFrame:
     """key, keywords: capitalised phrases plus the top tf-idf terms, the ``n`` longest kept."""
     counts = term_counts(df, key, text).filter(F.length("term") >= min_len)

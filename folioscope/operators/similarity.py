@@ -9,7 +9,7 @@ from folioscope.functions.text import (
     char_ngrams, jaccard, key_phrases, normalize_text, normalized_sentences, tokens, word_ngrams, words,
 )
 from folioscope.functions.vocab import (
-    HIGHLIGHT_BASE, HIGHLIGHT_BOOST, HIGHLIGHT_LONG, HIGHLIGHT_SHORT, NGRAM_WEIGHTS, OVERLAP_THRESHOLD,
+    EDGE_WEIGHTS, HIGHLIGHT_BASE, HIGHLIGHT_BOOST, HIGHLIGHT_LONG, HIGHLIGHT_SHORT, NGRAM_WEIGHTS, OVERLAP_THRESHOLD,
     SIMILARITY_WEIGHTS,
 )
 from folioscope.session import cut_lineage
@@ -89,13 +89,10 @@ def sentence_overlap(left: DataFrame, right: DataFrame, left_id: list[str], righ
     met = lp.join(rp, [*on, "term"]).select("lsid", "rsid").distinct()
     side = lambda p: body.select(F.col("sid").alias(f"{p}sid"), F.col("vec").alias(f"{p}vec"),
                                  F.col("sentence").alias(f"{p}text"))
-    rvec = F.col("rvec")
-    dot = F.aggregate(F.map_entries("lvec"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(
-        F.try_element_at(rvec, e["key"]), F.lit(0.0)))
     verified = met.join(side("l"), "lsid").join(side("r"), "rsid")
     # exploding a one-element array keeps the costly value from being worked out again in the filter
     close = verified.select("lsid", "rsid", "ltext", "rtext", F.explode(
-        F.filter(F.array(dot), lambda c: c > floor)).alias("cosine"))
+        F.filter(F.array(_dot("lvec", "rvec")), lambda c: c > floor)).alias("cosine"))
     # rounded first: equal sentences without key phrases reach the threshold exactly, not past it
     score = F.round(weighted_similarity(F.col("cosine"), F.col("ltext"), F.col("rtext")), 6)
     similar = close.select("lsid", "rsid", F.explode(F.filter(F.array(score), lambda s: s > threshold)).alias("s"))
@@ -137,6 +134,35 @@ def _prefix(rows: DataFrame, on: list[str], body: DataFrame) -> DataFrame:
         "sid", *on, F.explode("lead").alias("term"))
 
 
+def semantic_edges(chunks: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(edges, copies): chunk pairs whose tf-idf cosine reaches the threshold, as a 'semantic' edge each way.
+
+    Equal texts are one node of the join: its first chunk carries the edges, and ``copies`` (hub, chunk_id)
+    ties the others to it. The join meets only on leading terms, as in the overlap join.
+    """
+    rows = chunks.select("chunk_id", F.md5("chunk_text").alias("sid"), F.col("chunk_text").alias("sentence"))
+    body = cut_lineage(_leading_terms(rows.select("sid", "sentence"), threshold).select("sid", "vec", "lead"))
+    lead = body.select("sid", F.explode("lead").alias("term"))
+    left, right = lead.withColumnRenamed("sid", "lsid"), lead.withColumnRenamed("sid", "rsid")
+    met = left.join(right, "term").filter("lsid < rsid").select("lsid", "rsid").distinct()
+    a = body.select(F.col("sid").alias("lsid"), F.col("vec").alias("lvec"))
+    b = body.select(F.col("sid").alias("rsid"), F.col("vec").alias("rvec"))
+    close = met.join(a, "lsid").join(b, "rsid").filter(F.round(_dot("lvec", "rvec"), 6) >= threshold)
+    first = rows.groupBy("sid").agg(F.min("chunk_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    ends = close.select("lsid", "rsid").join(first.select(F.col("sid").alias("lsid"), F.col("first").alias("src")), "lsid").join(
+        first.select(F.col("sid").alias("rsid"), F.col("first").alias("dst")), "rsid").select("src", "dst")
+    both = ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    edges = both.withColumn("type", F.lit("semantic")).withColumn("weight", F.lit(EDGE_WEIGHTS["semantic"]))
+    copies = rows.join(first.filter("n > 1"), "sid").select(F.col("first").alias("hub"), "chunk_id")
+    return edges, copies
+
+
+def _dot(a: str, b: str) -> Column:
+    other = F.col(b)
+    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(
+        F.try_element_at(other, e["key"]), F.lit(0.0)))
+
+
 def should_highlight(pairs: DataFrame, keys: list[str], section: str = "section", answer: str = "answer") -> DataFrame:
     """pairs plus sim, overlap and highlight: does a section carry what the answer says."""
     clean = pairs.withColumn("_a", normalize_text(F.col(section))).withColumn("_b", normalize_text(F.col(answer)))

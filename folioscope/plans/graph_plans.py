@@ -259,3 +259,19 @@ def _keyword_index(spark, sf):
     sections = g.chunks.select("doc_id", F.col("section_title").alias("entry"), "chunk_id", F.lit("section").alias("kind"))
     return words.unionByName(sections).groupBy("kind", "doc_id", "entry").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
+
+
+@query("semantic_edges", f"""WITH RECURSIVE {TITLE_CHUNKS},
+tx AS (SELECT md5(chunk_text) AS s, min(chunk_id) AS f, count(*) AS n, first(chunk_text) AS t FROM tchunks GROUP BY 1),
+tt AS (SELECT s, term, count(*) AS tf FROM (SELECT s, unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM tx) GROUP BY ALL),
+td AS (SELECT term, count(*) AS df FROM tt GROUP BY 1),
+tv AS (SELECT s, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY s)) AS w FROM (
+  SELECT s, term, tf * (ln((1e0 + (SELECT count(*) FROM tx)) / (1e0 + df)) + 1e0) AS raw FROM tt JOIN td USING (term))),
+tp AS (SELECT a.s AS sa, b.s AS sb FROM tv a JOIN tv b USING (term) WHERE a.s <> b.s GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) >= 0.8e0)
+SELECT x.f AS src, y.f AS dst, 'semantic' AS type FROM tp JOIN tx x ON x.s = sa JOIN tx y ON y.s = sb
+UNION ALL SELECT chunk_id, f, 'copy' FROM tchunks JOIN tx ON s = md5(chunk_text) WHERE n > 1""")
+def _semantic(spark, sf):
+    from folioscope.operators.similarity import semantic_edges
+    edges, copies = semantic_edges(titled(spark, sf).select("chunk_id", "chunk_text"))
+    return edges.select("src", "dst", "type").unionByName(
+        copies.select(F.col("chunk_id").alias("src"), F.col("hub").alias("dst"), F.lit("copy").alias("type")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators.chunking import chunk_id, line_elements, section_path, title_chunks, window_chunks
+from folioscope.operators.build import base_chunks
+from folioscope.operators.chunking import chunk_id, window_chunks
 from folioscope.session import read_table
 
 
@@ -21,6 +22,4 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def titled(spark: SparkSession, sf: str) -> DataFrame:
     """Title chunks with id, page and section path (language, section title)."""
-    raw = title_chunks(line_elements(documents(spark, sf)))
-    with_id = raw.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk_text")))
-    return section_path(with_id.withColumn("path", F.concat_ws("/", "lang", "section_title")))
+    return base_chunks(documents(spark, sf))

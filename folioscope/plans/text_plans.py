@@ -8,7 +8,7 @@ from folioscope.functions.text import (
     char_ngrams, key_phrases, normalize_text, word_ngrams,
 )
 from folioscope.functions.vocab import MAX_BYTES, NO_INFO_PHRASES
-from folioscope.operators import chunking, enrich, predicates
+from folioscope.operators import build, chunking, enrich, predicates
 from folioscope.plans.inputs import chunks, documents, titled
 from folioscope.plans.registry import query
 from folioscope.plans.sql_parts import (
@@ -326,3 +326,18 @@ def _vectorize(spark, sf):
         F.count(F.lit(1)).alias("n_terms"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("norm"),
         F.round(F.max("w"), 6).alias("top_weight"),
         F.max_by("term", F.struct(F.round("w", 6), "term")).alias("top_term"))
+
+
+@query("chunk_build", f"""WITH RECURSIVE {TITLE_CHUNKS}, {KEYWORDS_SQL}, {_REFS}, st AS ({semantic_sql('tchunks', 'chunk_text')}),
+deg AS (SELECT chunk_id, count(*) AS ref_count FROM (SELECT src AS chunk_id FROM refs UNION ALL SELECT dst FROM refs) GROUP BY 1),
+kl AS (SELECT chunk_id, string_agg(keyword, '; ' ORDER BY rn) AS keywords FROM kws GROUP BY 1)
+SELECT chunk_id, chunk_text AS text, doc_id, chunk_index, coalesce(path_parts[-1], 'Uncategorized') AS section_title, path_parts[-2] AS parent_section,
+  semantic_type, coalesce(keywords, '') AS keywords, page_number, coalesce(ref_count, 0) AS ref_count,
+  round(0.3e0 * least(coalesce(ref_count, 0) / 10e0, 1e0) + 0.2e0 * (1e0 - chunk_index / 100e0) + 0.5e0 * {importance_weight_sql('semantic_type')}, 6) AS importance_score,
+  lang AS language FROM st LEFT JOIN deg USING (chunk_id) LEFT JOIN kl USING (chunk_id)""")
+def _chunk_build(spark, sf):
+    usable, _ = build.split_usable(documents(spark, sf))
+    return build.chunk_build(usable).select(
+        "chunk_id", "text", "doc_id", "chunk_index", "section_title", "parent_section", "semantic_type",
+        F.array_join("keywords", "; ").alias("keywords"), "page_number", "ref_count",
+        F.round("importance_score", 6).alias("importance_score"), F.col("metadata")["language"].alias("language"))
