@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import strip
 from folioscope.functions.vocab import MAX_BYTES
 from folioscope.operators import enrich
-from folioscope.operators.chunking import chunk_id, drop_blank, line_elements, section_path, title_chunks
+from folioscope.operators.chunking import chunk_id, line_elements, section_path, title_chunks
 from folioscope.operators.graph import first_occurrence_references
 
 
@@ -34,7 +34,7 @@ def chunk_build(docs: DataFrame) -> DataFrame:
 
     References stay a table (src, dst), since a copied passage can be referred to without bound.
     """
-    chunks = drop_blank(base_chunks(docs))
+    chunks = base_chunks(docs)  # elements are never blank, so neither are chunks
     typed = enrich.semantic_type(chunks)
     scored = enrich.importance(typed, first_occurrence_references(chunks))
     words = enrich.keywords(chunks.select("chunk_id", "chunk_text"), "chunk_id", "chunk_text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.rows import posexplode_rows
 from folioscope.functions.text import sentences, strip, words
 from folioscope.functions.vocab import (
     CHUNK_OVERLAP, CHUNK_SIZE, CODE_MARKS, TITLE_COMBINE, TITLE_MAX, TITLE_SOFT, java_pattern,
@@ -70,7 +71,7 @@ def sectionize(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
     return (
         docs.withColumn("_lines", lines)
-        .select(*keep, "_lines", F.posexplode(section_ranges(F.col("_lines"))).alias("section_no", "_s"))
+        .transform(posexplode_rows, [*keep, "_lines"], section_ranges(F.col("_lines")), "section_no", "_s")
         .select(*keep, "section_no", F.col("_s.kind").alias("kind"),
                 F.array_join(F.slice("_lines", F.col("_s.first") + 1, F.col("_s.last") - F.col("_s.first") + 1),
                              "\n").alias("section_text"))
@@ -133,7 +134,7 @@ def title_chunks(docs: DataFrame, hard: int = TITLE_MAX, soft: int = TITLE_SOFT,
     return (
         docs.withColumn("_e", _split_long(F.col("elements"), hard)).withColumn("_own", own)
         .withColumn("_starts", chunk_starts(e, hard, soft, combine))
-        .select(*keep, "_e", "_own", "_starts", F.posexplode("_starts").alias("chunk_index", "_first"))
+        .transform(posexplode_rows, [*keep, "_e", "_own", "_starts"], "_starts", "chunk_index", "_first")
         .withColumn("_after", F.coalesce(F.try_element_at("_starts", F.col("chunk_index") + 2), F.size("_e")))
         .select(
             *keep, "chunk_index",
@@ -176,7 +177,7 @@ def sentence_chunks(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     return (
         docs.withColumn("_p", parts)
         .withColumn("_starts", F.aggregate("_p", start, step, lambda acc: acc["starts"]))
-        .select(*keep, "_p", "_starts", F.posexplode("_starts").alias("chunk_index", "_first"))
+        .transform(posexplode_rows, [*keep, "_p", "_starts"], "_starts", "chunk_index", "_first")
         .withColumn("_after", F.coalesce(F.try_element_at("_starts", F.col("chunk_index") + 2), F.size("_p")))
         .select(*keep, "chunk_index",
                 F.concat(F.array_join(F.slice("_p", lead, after - lead + 1), ". "), F.lit(".")).alias("chunk_text"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, FloatType
 
+from folioscope.functions.rows import explode_rows
 from folioscope.functions.text import capital_phrases, sentences, strip, tokens, words
 from folioscope.functions.vocab import (
     EXAMPLE_WORDS, IMPORTANCE_BY_TYPE, IMPORTANCE_WEIGHTS, INDONESIAN_WORDS, SEMANTIC_TYPES,
@@ -20,44 +21,48 @@ def _count(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [t.cast("int") for t in tests])
 
 
-def _share(tests: list[Column]) -> Column:
-    return _count(tests).cast("double") / F.lit(float(len(tests)))
-
-
 def _example_share(text: Column) -> Column:
     parts = F.filter(sentences(text), lambda s: strip(s) != "")
     hit = java_pattern(r"\b(?:" + "|".join(EXAMPLE_WORDS) + r")\b", "i")
     return F.size(F.filter(parts, lambda s: s.rlike(hit))).cast("double") / F.greatest(F.size(parts), F.lit(1))
 
 
+def _sql(text: str) -> str:
+    """A raw SQL string; one parsed expression is far cheaper to build than hundreds of Column objects."""
+    return f'r"{text}"'
+
+
+def _type_score(text: str, name: str, patterns: list[str], keywords: list[str], indicators: list[str]) -> str:
+    share = lambda tests: f"({' + '.join(f'int({t})' for t in tests)}) / {len(tests)}D"
+    parts = [
+        (share([f"rlike({text}, {_sql(java_pattern(p, 'im'))})" for p in patterns]), "pattern"),
+        (share([f"contains(lower({text}), {_sql(k)})" for k in keywords]), "keyword"),
+        (share([f"contains(lower({text}), {_sql(i)})" for i in indicators]), "indicator"),
+    ]
+    if name == "EXAMPLE":
+        parts.append(("_example", "linguistic"))
+    return " + ".join(f"{p} * {TYPE_WEIGHTS[w]}D" for p, w in parts)
+
+
 def semantic_type(df: DataFrame, text: str = "chunk_text") -> DataFrame:
     """Adds semantic_type and type_score: the best scoring type at or above the minimum, else GENERAL."""
-    t, low = F.col(text), F.lower(F.col(text))
-    names, scores = [], []
-    for name, patterns, keywords, indicators in SEMANTIC_TYPES:
-        score = (
-            _share([t.rlike(java_pattern(p, "im")) for p in patterns]) * F.lit(TYPE_WEIGHTS["pattern"])
-            + _share([low.contains(k) for k in keywords]) * F.lit(TYPE_WEIGHTS["keyword"])
-            + _share([low.contains(i) for i in indicators]) * F.lit(TYPE_WEIGHTS["indicator"])
-        )
-        if name == "EXAMPLE":
-            score = score + _example_share(t) * F.lit(TYPE_WEIGHTS["linguistic"])
-        names.append(name)
-        scores.append(score)
+    names = [name for name, *_ in SEMANTIC_TYPES]
+    scores = ", ".join(_type_score(f"`{text}`", *row) for row in SEMANTIC_TYPES)
     best = F.array_max("_scores")
     return (
-        df.withColumn("_scores", F.array(*scores))
+        df.withColumn("_example", _example_share(F.col(text)))
+        .withColumn("_scores", F.expr(f"array({scores})"))
         .withColumn("semantic_type", F.when(best >= TYPE_MIN_SCORE, F.element_at(
             F.array(*[F.lit(n) for n in names]), F.array_position("_scores", best).cast("int"))).otherwise("GENERAL"))
         .withColumn("type_score", F.when(best >= TYPE_MIN_SCORE, best).otherwise(F.lit(1.0)))
-        .drop("_scores")
+        .drop("_scores", "_example")
     )
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf — combined on the map side before the one shuffle."""
     return (
-        df.select(key, F.explode(tokens(F.col(text))).alias("term"))
+        explode_rows(df, [key], tokens(F.col(text)), "term")
         .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -85,23 +90,27 @@ def embed(df: DataFrame, text: str, load_model, batch_size: int = 256, name: str
 
 
 def keywords(df: DataFrame, key: str, text: str, n: int = 10, n_terms: int = 5, min_len: int = 4) -> DataFrame:
-    """key, keywords: capitalised phrases plus the top tf-idf terms, the ``n`` longest kept."""
-    counts = term_counts(df, key, text).filter(F.length("term") >= min_len)
-    per_term = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """key, keywords: capitalised phrases plus the top tf-idf terms, the ``n`` longest kept.
+
+    Terms and phrases leave the text in one pass, marked apart, and meet again per key at the end.
+    """
+    tagged = lambda items, phrase: F.transform(items, lambda v: F.struct(F.lit(phrase).alias("phrase"), v.alias("value")))
+    both = F.filter(F.concat(tagged(tokens(F.col(text)), False), tagged(capital_phrases(F.col(text)), True)),
+                    lambda s: F.length(s["value"]) >= min_len)
+    items = df.select(key, F.explode_outer(both).alias("i")).select(key, "i.phrase", "i.value")  # keeps bare keys
+    counts = items.groupBy(key, "phrase", "value").agg(F.count(F.lit(1)).alias("tf"))
+    terms = counts.filter(~F.col("phrase"))
+    per_term = terms.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
     total = df.agg(F.count(F.lit(1)).alias("n"))
-    scored = counts.join(per_term, "term").join(F.broadcast(total)).select(
-        key, "term", F.round(F.col("tf") * F.log(F.col("n") / F.col("df").cast("double")), 6).alias("score"))
-    by_score = W.partitionBy(key).orderBy(F.desc("score"), "term")
-    top = (
-        scored.withColumn("rn", F.row_number().over(by_score)).filter(F.col("rn") <= n_terms)
-        .groupBy(key).agg(F.collect_list("term").alias("_terms"))  # at most n_terms values
-    )
-    phrases = F.filter(capital_phrases(F.col(text)), lambda p: F.length(p) >= min_len)
-    merged = F.array_union(phrases, F.coalesce("_terms", F.array().cast("array<string>")))
-    longest = F.slice(F.array_sort(F.transform(merged, lambda p: F.struct((-F.length(p)).alias("l"), p.alias("v")))),
-                      1, n)
-    return df.select(key, text).join(top, key, "left").select(
-        key, F.transform(longest, lambda s: s["v"]).alias("keywords"))
+    scored = terms.join(per_term, "value").join(F.broadcast(total)).select(  # one-row side
+        key, "value", F.round(F.col("tf") * F.log(F.col("n") / F.col("df").cast("double")), 6).alias("score"))
+    by_score = W.partitionBy(key).orderBy(F.desc("score"), "value")
+    top = scored.withColumn("rn", F.row_number().over(by_score)).filter(F.col("rn") <= n_terms).select(key, "value")
+    rest = counts.filter(F.col("phrase").isNull() | F.col("phrase")).select(key, "value")
+    # what one chunk holds: its phrases and n_terms terms
+    merged = top.unionByName(rest).groupBy(key).agg(F.collect_set("value").alias("_v"))
+    longest = F.slice(F.array_sort(F.transform("_v", lambda p: F.struct((-F.length(p)).alias("l"), p.alias("v")))), 1, n)
+    return merged.select(key, F.transform(longest, lambda s: s["v"]).alias("keywords"))
 
 
 def importance(chunks: DataFrame, references: DataFrame) -> DataFrame:

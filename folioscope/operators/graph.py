@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.rows import explode_rows
 from folioscope.functions.vocab import EDGE_WEIGHTS
 from folioscope.operators.windows import with_neighbours
 
@@ -40,7 +41,7 @@ def graph_nodes(chunks: DataFrame) -> DataFrame:
     """id, type, doc_id, title for documents, sections (one per title and document) and chunks."""
     docs = chunks.select(doc_node(F.col("doc_id")).alias("id"), F.lit("document").alias("type"), "doc_id",
                          F.lit(None).cast("string").alias("title")).distinct()
-    titles = chunks.select("doc_id", F.explode("path_parts").alias("title")).distinct()
+    titles = explode_rows(chunks, ["doc_id"], "path_parts", "title").distinct()
     sections = titles.select(section_node(F.col("doc_id"), F.col("title")).alias("id"), F.lit("section").alias("type"),
                              "doc_id", "title")
     leaves = chunks.select(F.col("chunk_id").alias("id"), F.lit("chunk").alias("type"), "doc_id",
@@ -82,7 +83,7 @@ def edges_adjacent(chunks: DataFrame) -> DataFrame:
 def keyword_hubs(chunks: DataFrame, keywords: DataFrame) -> DataFrame:
     """hub, doc_id, keyword, chunk_id for keywords that at least two chunks of a document share."""
     member = chunks.select("doc_id", "chunk_id").join(
-        keywords.select("chunk_id", F.explode("keywords").alias("keyword")), "chunk_id").distinct()
+        explode_rows(keywords, ["chunk_id"], "keywords", "keyword"), "chunk_id").distinct()
     size = member.groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return member.join(size, ["doc_id", "keyword"]).select(
         F.concat_ws("#", "doc_id", "keyword").alias("hub"), "doc_id", "keyword", "chunk_id", "n")

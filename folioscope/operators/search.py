@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from folioscope.functions.rows import explode_rows
 from folioscope.functions.text import tokens
 from folioscope.functions.vocab import RERANK_GAP, RERANK_WEIGHTS
 from folioscope.operators.windows import top_k
@@ -24,7 +25,7 @@ def bm25_index(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
     """
     placed = chunks.select("chunk_id", text).repartition("chunk_id").select("chunk_id", tokens(F.col(text)).alias("_t"))
     return (
-        placed.select("chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+        explode_rows(placed, ["chunk_id", F.size("_t").alias("dl")], "_t", "term")
         .groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     )
 
@@ -41,7 +42,7 @@ def index_stats(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term — the distinct tokens of each question."""
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return explode_rows(queries, ["query_id"], F.array_distinct(tokens(F.col("text"))), "term")
 
 
 def bm25_scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -66,7 +67,7 @@ def bm25_search(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: in
 
 def query_vectors(queries: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
     """Unit tf-idf vectors of the questions, weighted with the corpus frequencies: query_id, term, qw."""
-    tf = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(
+    tf = explode_rows(queries, ["query_id"], tokens(F.col("text")), "term").groupBy("query_id", "term").agg(
         F.count(F.lit(1)).alias("tf"))
     df = document_frequency(postings.join(tf.select("term").distinct(), "term", "left_semi"))
     raw = tf.join(df, "term", "left").join(F.broadcast(stats)).select(  # one-row side

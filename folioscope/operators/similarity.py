@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.rows import explode_rows
 from folioscope.functions.text import (
     char_ngrams, jaccard, key_phrases, normalize_text, normalized_sentences, tokens, word_ngrams, words,
 )
@@ -42,7 +43,7 @@ def pair_cosine(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     sides = pairs.select(*keys, F.explode(F.array(
         F.struct(F.lit(1).alias("side"), F.col(a).alias("t")), F.struct(F.lit(2).alias("side"), F.col(b).alias("t")),
     )).alias("s"))
-    terms = sides.select(*keys, F.col("s.side").alias("side"), F.explode(tokens(F.col("s.t"))).alias("term"))
+    terms = explode_rows(sides, [*keys, F.col("s.side").alias("side")], tokens(F.col("s.t")), "term")
     tf = terms.groupBy(*keys, "term").agg(
         F.count(F.when(F.col("side") == 1, 1)).alias("ta"), F.count(F.when(F.col("side") == 2, 1)).alias("tb"))
     df = tf.groupBy("term").agg(F.sum((F.col("ta") > 0).cast("int") + (F.col("tb") > 0).cast("int")).alias("df"))
@@ -62,7 +63,7 @@ def combined_similarity(pairs: DataFrame, keys: list[str], a: str, b: str, name:
 
 
 def _long_sentences(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    parts = df.select(*keep, F.explode(normalized_sentences(F.col(text))).alias("sentence"))
+    parts = explode_rows(df, keep, normalized_sentences(F.col(text)), "sentence")
     return parts.filter(F.size(words(F.col("sentence"))) >= 4).withColumn("sid", F.md5("sentence"))
 
 
@@ -91,11 +92,11 @@ def sentence_overlap(left: DataFrame, right: DataFrame, left_id: list[str], righ
                                  F.col("sentence").alias(f"{p}text"))
     verified = met.join(side("l"), "lsid").join(side("r"), "rsid")
     # exploding a one-element array keeps the costly value from being worked out again in the filter
-    close = verified.select("lsid", "rsid", "ltext", "rtext", F.explode(
-        F.filter(F.array(_dot("lvec", "rvec")), lambda c: c > floor)).alias("cosine"))
+    close = explode_rows(verified, ["lsid", "rsid", "ltext", "rtext"],
+                         F.filter(F.array(_dot("lvec", "rvec")), lambda c: c > floor), "cosine")
     # rounded first: equal sentences without key phrases reach the threshold exactly, not past it
     score = F.round(weighted_similarity(F.col("cosine"), F.col("ltext"), F.col("rtext")), 6)
-    similar = close.select("lsid", "rsid", F.explode(F.filter(F.array(score), lambda s: s > threshold)).alias("s"))
+    similar = explode_rows(close, ["lsid", "rsid"], F.filter(F.array(score), lambda s: s > threshold), "s")
     lids = ls.select(*left_id, *on, F.col("sid").alias("lsid")).distinct()
     rids = rs.select(*right_id, *on, F.col("sid").alias("rsid")).distinct()
     out = list(dict.fromkeys([*left_id, *right_id, *on]))
@@ -105,7 +106,7 @@ def sentence_overlap(left: DataFrame, right: DataFrame, left_id: list[str], righ
 def _leading_terms(sentences: DataFrame, floor: float) -> DataFrame:
     """sid, sentence, vec (term → weight of the unit vector), lead (terms to join on), per distinct sentence."""
     distinct = sentences.groupBy("sid").agg(F.first("sentence").alias("sentence"))
-    tf = distinct.select("sid", F.explode(tokens(F.col("sentence"))).alias("term")).groupBy("sid", "term").agg(
+    tf = explode_rows(distinct, ["sid"], tokens(F.col("sentence")), "term").groupBy("sid", "term").agg(
         F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = distinct.agg(F.count(F.lit(1)).alias("n"))

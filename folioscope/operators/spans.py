@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from folioscope.functions.rows import explode_rows
 from folioscope.functions.text import squeeze, words
 
 _MARK = "\u0001"
@@ -41,7 +42,7 @@ def find_spans(rows: DataFrame, document: str = "text", needle: str = "needle")
     loose = exact.withColumn("_lead", lead)
     both = loose.withColumn("_hits", F.when(F.col("_lead").isNull(), F.col("_at")).otherwise(
         _starts(F.col("_d"), F.coalesce("_lead", F.lit(_MARK)))))
-    hit = both.select(*keep, "_d", "_n", "_lead", F.explode("_hits").alias("start"))
+    hit = explode_rows(both, [*keep, "_d", "_n", "_lead"], "_hits", "start")
     dot = F.expr("locate('.', _d, start + 1)") - 1
     end = F.when(F.col("_lead").isNull(), F.col("start") + F.length("_n")).when(dot >= 0, dot).otherwise(
         F.least(F.col("start") + F.length("_n") * 2, F.length("_d")))
@@ -53,8 +54,8 @@ def find_spans(rows: DataFrame, document: str = "text", needle: str = "needle")
 def phrase_scan(docs: DataFrame, key: str, phrases: list[str], text: str = "text") -> DataFrame:
     """key, phrase, n: case-blind hits of a short phrase list, by one alternation over the whole text."""
     pattern = "(?iu)(?:" + "|".join(re.escape(p) for p in phrases) + ")"
-    hits = F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
-    return docs.select(key, hits.alias("hit")).groupBy(key, F.lower("hit").alias("phrase")).agg(
+    hits = explode_rows(docs, [key], F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), "hit")
+    return hits.groupBy(key, F.lower("hit").alias("phrase")).agg(
         F.count(F.lit(1)).alias("n"))
 
 

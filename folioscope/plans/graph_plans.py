@@ -35,9 +35,12 @@ sd AS (SELECT source, arg_min(src, (doc_id, chunk_index)) AS seed FROM refs JOIN
 
 
 def build(spark, sf, keep: bool = False) -> SimpleNamespace:
-    """The graph tables of the corpus; ``keep`` writes them out for plans that read them in rounds."""
+    """The graph tables of the corpus; ``keep`` writes them out for plans that read them in rounds.
+
+    The chunk table is always written: every node and edge kind reads it.
+    """
     hold = cut_lineage if keep else (lambda df: df)
-    chunks = hold(titled(spark, sf).select(
+    chunks = cut_lineage(titled(spark, sf).select(
         "doc_id", "source", "chunk_index", "chunk_id", "chunk_text", "path_parts", "section_title"))
     keywords = enrich.keywords(chunks.select("chunk_id", "chunk_text"), "chunk_id", "chunk_text")
     references = graph.first_occurrence_references(chunks)
@@ -97,10 +100,9 @@ def _keyword(spark, sf):
 @query("edges_final", _q("""SELECT src, dst, type, weight FROM fe WHERE type <> 'keyword'
 UNION ALL SELECT chunk_id, doc_id || '#' || keyword, 'keyword', 0.3e0 FROM km WHERE n > 1"""))
 def _final(spark, sf):
-    g = build(spark, sf)
-    hubs = cut_lineage(g.hubs)
-    edges = graph.edges_final(g.hierarchical, g.contains, g.reference, g.adjacent, hubs)
-    shared = hubs.select(F.col("chunk_id").alias("src"), F.col("hub").alias("dst"), F.lit("keyword").alias("type"),
+    g = build(spark, sf, keep=True)
+    edges = g.edges
+    shared = g.hubs.select(F.col("chunk_id").alias("src"), F.col("hub").alias("dst"), F.lit("keyword").alias("type"),
                          F.lit(EDGE_WEIGHTS["keyword"]).alias("weight"))
     return edges.unionByName(shared)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.vocab import PROMPTS, SCORE_PATTERNS, USED_ENTRY, USED_SECTION
 from folioscope.operators import context, search, spans
 from folioscope.operators.windows import with_neighbours
-from folioscope.plans.inputs import chunks, documents
+from folioscope.plans.inputs import chunks, documents, texts
 from folioscope.plans.registry import query
 from folioscope.plans.sql_parts import CHUNKS, lit, tokens_sql, trim_sql, words_sql
 from folioscope.plans.text_plans import VECTORS_SQL
@@ -331,7 +331,7 @@ _PHRASES = ["of the", "de la", "und der", "the and"]
 @query("phrase_scan", f"""
 SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?i)(?:{'|'.join(_PHRASES)})'))) AS phrase FROM documents) GROUP BY ALL""")
 def _phrase_scan(spark, sf):
-    return spans.phrase_scan(documents(spark, sf), "doc_id", _PHRASES)
+    return spans.phrase_scan(texts(spark, sf), "doc_id", _PHRASES)
 
 
 @query("highlight_records", f"""WITH {HITS_SQL}

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.operators import similarity
-from folioscope.plans.inputs import documents
+from folioscope.plans.inputs import documents, texts
 from folioscope.plans.registry import query
 from folioscope.plans.retrieval_plans import BM25_SQL, bm25_hits, qa_pairs
 from folioscope.plans.sql_parts import (
     char_grams_sql, jaccard_sql, key_phrases_sql, normalize_list_sql, tokens_sql, word_grams_sql, words_sql,
 )
-from folioscope.session import cut_lineage, read_table
+from folioscope.session import cut_lineage, read_table, spread
 
 _PAIRS = """
 pairs AS (SELECT conv_id, turn, question AS a, text AS b FROM (
@@ -46,7 +46,7 @@ def _cosine_sql(name: str, src: str, keys: str, a: str, b: str) -> str:
 
 
 def _pairs(spark, sf):
-    return qa_pairs(read_table(spark, sf, "conversations"))
+    return qa_pairs(spread(read_table(spark, sf, "conversations"), "conv_id"))
 
 
 @query("word_jaccard", f"WITH {_PAIRS} SELECT conv_id, turn, round({_word('a', 'b')}, 6) AS similarity FROM pairs")
@@ -93,7 +93,7 @@ def _overlap_sql(name: str, left: str, right: str, lid: str, rid: str, on: str =
 SELECT doc_id, item_id, best FROM ov""")
 def _overlap(spark, sf):
     return similarity.sentence_overlap(
-        documents(spark, sf).select("doc_id", "text"), read_table(spark, sf, "benchmark"), ["doc_id"], ["item_id"],
+        texts(spark, sf).select("doc_id", "text"), read_table(spark, sf, "benchmark"), ["doc_id"], ["item_id"],
         threshold=0.7)
 
 

@@ -9,13 +9,13 @@ from folioscope.functions.text import (
 )
 from folioscope.functions.vocab import MAX_BYTES, NO_INFO_PHRASES
 from folioscope.operators import build, chunking, enrich, predicates
-from folioscope.plans.inputs import chunks, documents, titled
+from folioscope.plans.inputs import chunks, documents, texts, titled
 from folioscope.plans.registry import query
 from folioscope.plans.sql_parts import (
     CHUNKS, ELEMENTS, TITLE_CHUNKS, char_grams_sql, importance_weight_sql, key_phrases_sql, language_sql, lit,
     normalize_list_sql, semantic_sql, trim_sql, word_grams_sql,
 )
-from folioscope.session import read_table
+from folioscope.session import read_table, spread
 from folioscope.sources import corpus, html
 
 
@@ -48,7 +48,7 @@ els AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1
 
 @query("html_elements", f"WITH {_HTML} SELECT page_id, pos, kind, text FROM els")
 def _html_elements(spark, sf):
-    return html.html_elements(read_table(spark, sf, "pages"))
+    return html.html_elements(spread(read_table(spark, sf, "pages"), "page_id"))
 
 
 @query("html_links", r"""
@@ -56,7 +56,7 @@ SELECT page_id, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS href F
  SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'),
         '(?i)<a\s[^>]*href=["'']([^"'']*)["'']', 1) AS l FROM pages)""")
 def _html_links(spark, sf):
-    return html.html_links(read_table(spark, sf, "pages"))
+    return html.html_links(spread(read_table(spark, sf, "pages"), "page_id"))
 
 
 @query("drop_blank", "SELECT conv_id, turn, text FROM conversations WHERE trim(text) <> ''")
@@ -150,25 +150,25 @@ SELECT r.page_id, (sec - 1)::INT AS section_no,
        string_agg(f.line, chr(10) ORDER BY f.ln) AS section_text
 FROM run r JOIN fl f ON f.page_id = r.page_id AND f.ln = r.ln WHERE mode > 0 GROUP BY r.page_id, sec""")
 def _sectionize(spark, sf):
-    return chunking.sectionize(html.marked_text(read_table(spark, sf, "pages")))
+    return chunking.sectionize(html.marked_text(spread(read_table(spark, sf, "pages"), "page_id")))
 
 
 @query("title_chunks", f"""WITH RECURSIVE {TITLE_CHUNKS}
 SELECT doc_id, chunk_index, chunk_text, page_number, title AS section_title FROM tchunks""")
 def _title_chunks(spark, sf):
-    return chunking.title_chunks(chunking.line_elements(documents(spark, sf).drop("source", "lang")))
+    return chunking.title_chunks(chunking.line_elements(texts(spark, sf).drop("source", "lang")))
 
 
 @query("page_of_chunk", f"""WITH RECURSIVE {TITLE_CHUNKS}
 SELECT doc_id, chunk_index, coalesce(page_number, (doc_id % 7)::INT) AS page_number FROM tchunks""")
 def _page_of_chunk(spark, sf):
-    docs = documents(spark, sf).withColumn("own_page", (F.col("doc_id") % 7).cast("int"))
+    docs = texts(spark, sf).withColumn("own_page", (F.col("doc_id") % 7).cast("int"))
     return chunking.title_chunks(chunking.line_elements(docs)).select("doc_id", "chunk_index", "page_number")
 
 
 @query("window_chunks", f"WITH {CHUNKS} SELECT doc_id, chunk_index, chunk_text FROM chunks")
 def _window_chunks(spark, sf):
-    return chunking.window_chunks(documents(spark, sf).select("doc_id", "text"))
+    return chunking.window_chunks(texts(spark, sf).select("doc_id", "text"))
 
 
 @query("sentence_chunks", f"""
@@ -181,7 +181,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY bucket) - 1)::IN
        concat_ws('. ', first(prev ORDER BY i), string_agg(sent, '. ' ORDER BY i)) || '.' AS chunk_text, count(*)::INT AS n_sentences
 FROM b GROUP BY doc_id, bucket""")
 def _sentence_chunks(spark, sf):
-    return chunking.sentence_chunks(documents(spark, sf).select("doc_id", "text"))
+    return chunking.sentence_chunks(texts(spark, sf).select("doc_id", "text"))
 
 
 @query("chunk_id", f"WITH {CHUNKS} SELECT doc_id, chunk_index, chunk_id FROM chunks")
@@ -277,7 +277,7 @@ def _importance(spark, sf):
 @query("detect_language", f"""WITH {language_sql('dl', 'documents', 'doc_id', 'text')}
 SELECT doc_id, lang, round(confidence, 6) AS confidence, id_hits FROM dl""")
 def _detect_language(spark, sf):
-    found = enrich.detect_language(documents(spark, sf).select("doc_id", "text"), ["doc_id"], "text")
+    found = enrich.detect_language(texts(spark, sf).select("doc_id", "text"), ["doc_id"], "text")
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
@@ -336,7 +336,7 @@ SELECT chunk_id, chunk_text AS text, doc_id, chunk_index, coalesce(path_parts[-1
   round(0.3e0 * least(coalesce(ref_count, 0) / 10e0, 1e0) + 0.2e0 * (1e0 - chunk_index / 100e0) + 0.5e0 * {importance_weight_sql('semantic_type')}, 6) AS importance_score,
   lang AS language FROM st LEFT JOIN deg USING (chunk_id) LEFT JOIN kl USING (chunk_id)""")
 def _chunk_build(spark, sf):
-    usable, _ = build.split_usable(documents(spark, sf))
+    usable, _ = build.split_usable(texts(spark, sf))
     return build.chunk_build(usable).select(
         "chunk_id", "text", "doc_id", "chunk_index", "section_title", "parent_section", "semantic_type",
         F.array_join("keywords", "; ").alias("keywords"), "page_number", "ref_count",

@@ -50,10 +50,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that iterative plans stay short and survive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written once to the shared folder and read back.
+
+    Plans that read a result several times, or in rounds, stay short and survive lost executors. Unlike a
+    checkpoint this computes the rows once and keeps column pruning and size statistics for later joins.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partitions by ``key`` when the scan has fewer splits than the cluster has cores.
+
+    Heavy map-only work on a few unsplit files would otherwise run in a few tasks; a scan with enough
+    splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

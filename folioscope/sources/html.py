@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.rows import posexplode_rows
 from folioscope.functions.text import squeeze
 
 _NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
@@ -42,13 +43,13 @@ def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def html_elements(pages: DataFrame) -> DataFrame:
     """page_id, pos, kind (Title/NarrativeText/ListItem), text."""
-    return with_elements(pages).select("page_id", F.posexplode("elements").alias("pos", "e")).select(
+    return posexplode_rows(with_elements(pages), ["page_id"], "elements", "pos", "e").select(
         "page_id", "pos", F.col("e.kind").alias("kind"), F.col("e.text").alias("text"))
 
 
 def html_links(pages: DataFrame) -> DataFrame:
     links = F.regexp_extract_all(F.regexp_replace("html", _NOISE, " "), F.lit(_LINK), F.lit(1))
-    return pages.select("page_id", F.posexplode(links).alias("pos", "href"))
+    return posexplode_rows(pages, ["page_id"], links, "pos", "href")
 
 
 def marked_text(pages: DataFrame) -> DataFrame:
