@@ -15,6 +15,7 @@ from folioscope.functions.vocab import (
     EXAMPLE_WORDS, IMPORTANCE_BY_TYPE, IMPORTANCE_WEIGHTS, INDONESIAN_WORDS, SEMANTIC_TYPES,
     STOP_WORDS, TYPE_MIN_SCORE, TYPE_WEIGHTS, java_pattern,
 )
+from folioscope.session import cut_lineage
 
 
 def _count(tests: list[Column]) -> Column:
@@ -41,7 +42,10 @@ def _type_score(text: str, name: str, patterns: list[str], keywords: list[str],
     ]
     if name == "EXAMPLE":
         parts.append(("_example", "linguistic"))
-    return " + ".join(f"{p} * {TYPE_WEIGHTS[w]}D" for p, w in parts)
+    weigh = lambda some: " + ".join(f"{p} * {TYPE_WEIGHTS[w]}D" for p, w in some)
+    # all patterns together add at most their weight: below that distance from the minimum they cannot matter
+    need = TYPE_MIN_SCORE - TYPE_WEIGHTS["pattern"] - 1e-6
+    return f"IF({weigh(parts[1:])} >= {need:.6f}D, {weigh(parts)}, 0D)"
 
 
 def semantic_type(df: DataFrame, text: str = "chunk_text") -> DataFrame:
@@ -60,20 +64,28 @@ def semantic_type(df: DataFrame, text: str = "chunk_text") -> DataFrame:
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf — combined on the map side before the one shuffle."""
+    """key, term, tf. The texts move once, to the task of their key; their tokens, far larger, do not."""
     return (
-        explode_rows(df, [key], tokens(F.col(text)), "term")
+        explode_rows(df.select(key, text).repartition(key), [key], tokens(F.col(text)), "term")
         .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
 def vectorize(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Sparse unit vectors: key, term, w with w ∝ tf · (ln((1+N)/(1+df)) + 1)."""
-    counts = term_counts(df, key, text)
-    per_term = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = df.agg(F.count(F.lit(1)).alias("n"))
+    """Sparse unit vectors of a text column: key, term, w."""
+    return unit_vectors(term_counts(df, key, text), key, df.agg(F.count(F.lit(1)).alias("n")))
+
+
+def vocabulary(counts: DataFrame) -> DataFrame:
+    """term, df — written out, so that Spark knows its size and broadcasts it only while it is small."""
+    return cut_lineage(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+
+
+def unit_vectors(counts: DataFrame, key: str, total: DataFrame) -> DataFrame:
+    """key, term, w from key, term, tf with w ∝ tf · (ln((1+N)/(1+df)) + 1). ``total``: one row, n."""
+    per_term = vocabulary(counts)
     weighted = (
-        counts.join(per_term, "term").join(F.broadcast(total))  # one-row side
+        counts.select(key, "term", "tf").join(per_term, "term").join(F.broadcast(total.select("n")))  # one-row side
         .withColumn("raw", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
@@ -92,23 +104,25 @@ def embed(df: DataFrame, text: str, load_model, batch_size: int = 256, name: str
 def keywords(df: DataFrame, key: str, text: str, n: int = 10, n_terms: int = 5, min_len: int = 4) -> DataFrame:
     """key, keywords: capitalised phrases plus the top tf-idf terms, the ``n`` longest kept.
 
-    Terms and phrases leave the text in one pass, marked apart, and meet again per key at the end.
+    Terms and phrases leave the text in one pass, marked apart, and meet again per key at the end. The texts
+    move once, to the task of their key, so that counting, ranking and gathering stay there.
     """
     tagged = lambda items, phrase: F.transform(items, lambda v: F.struct(F.lit(phrase).alias("phrase"), v.alias("value")))
     both = F.filter(F.concat(tagged(tokens(F.col(text)), False), tagged(capital_phrases(F.col(text)), True)),
                     lambda s: F.length(s["value"]) >= min_len)
-    items = df.select(key, F.explode_outer(both).alias("i")).select(key, "i.phrase", "i.value")  # keeps bare keys
+    items = df.select(key, text).repartition(key).select(key, F.explode_outer(both).alias("i")).select(key, "i.phrase", "i.value")  # keeps bare keys
     counts = items.groupBy(key, "phrase", "value").agg(F.count(F.lit(1)).alias("tf"))
-    terms = counts.filter(~F.col("phrase"))
-    per_term = terms.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
+    once = F.array_distinct(F.filter(tokens(F.col(text)), lambda t: F.length(t) >= min_len))
+    per_term = vocabulary(explode_rows(df, [], once, "term"))
+    per_term = per_term.select(F.lit(False).alias("phrase"), F.col("term").alias("value"), "df")
     total = df.agg(F.count(F.lit(1)).alias("n"))
-    scored = terms.join(per_term, "value").join(F.broadcast(total)).select(  # one-row side
-        key, "value", F.round(F.col("tf") * F.log(F.col("n") / F.col("df").cast("double")), 6).alias("score"))
-    by_score = W.partitionBy(key).orderBy(F.desc("score"), "value")
-    top = scored.withColumn("rn", F.row_number().over(by_score)).filter(F.col("rn") <= n_terms).select(key, "value")
-    rest = counts.filter(F.col("phrase").isNull() | F.col("phrase")).select(key, "value")
+    scored = counts.join(per_term, ["phrase", "value"], "left").join(F.broadcast(total)).withColumn(  # one-row side
+        "score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df").cast("double")), 6))
+    by_score = W.partitionBy(key).orderBy(F.col("score").desc_nulls_last(), "value")
+    kept = scored.withColumn("rn", F.row_number().over(by_score)).filter(
+        (F.col("rn") <= n_terms) | F.coalesce("phrase", F.lit(True)))
     # what one chunk holds: its phrases and n_terms terms
-    merged = top.unionByName(rest).groupBy(key).agg(F.collect_set("value").alias("_v"))
+    merged = kept.groupBy(key).agg(F.collect_set("value").alias("_v"))
     longest = F.slice(F.array_sort(F.transform("_v", lambda p: F.struct((-F.length(p)).alias("l"), p.alias("v")))), 1, n)
     return merged.select(key, F.transform(longest, lambda s: s["v"]).alias("keywords"))
 

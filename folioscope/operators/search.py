@@ -12,6 +12,7 @@ from folioscope.functions.rows import explode_rows
 from folioscope.functions.text import tokens
 from folioscope.functions.vocab import RERANK_GAP, RERANK_WEIGHTS
 from folioscope.operators.windows import top_k
+from folioscope.session import cut_lineage
 
 # No broadcast hints below: Spark broadcasts a side when its measured size is under the threshold
 # and shuffles (with skew splitting) when it is not.
@@ -45,24 +46,100 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return explode_rows(queries, ["query_id"], F.array_distinct(tokens(F.col("text"))), "term")
 
 
-def bm25_scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, score for every chunk that shares a term with the question."""
+def _weight_blocks(weights: DataFrame, limit: int):
+    """(query ids, rows) of query_id, term, weight in driver-sized blocks of about ``limit`` rows."""
+    held = cut_lineage(weights)
+    blocks = max(1, math.ceil(held.count() / limit))
+    for b in range(blocks):
+        part = held if blocks == 1 else held.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = part.collect()  # bounded by the block size
+        if rows:
+            yield sorted({r["query_id"] for r in rows}), rows
+
+
+def score_terms(postings: DataFrame, weights: DataFrame, k: int | None = None, threshold: float | None = None,
+                block: int = 100_000) -> DataFrame:
+    """query_id, chunk_id, score = Σ impact · weight over shared terms.
+
+    ``postings``: chunk_id, term, impact; ``weights``: query_id, term, weight. Either the best ``k`` per
+    question and task (ties by chunk_id) or every score from ``threshold`` on. The terms of a chunk are scored
+    against a block of questions as one array product, so the questions × chunks table is never built and
+    frequent words cost no more than a multiplication.
+    """
+    spark = postings.sparkSession
+    types = dict(weights.dtypes)["query_id"], dict(postings.dtypes)["chunk_id"]
+    schema = f"query_id {types[0]}, chunk_id {types[1]}, score double"
+    out = spark.createDataFrame([], schema)
+    for ids, rows in _weight_blocks(weights, block):
+        terms = sorted({r["term"] for r in rows})
+        at, where = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
+        cells = [(at[r["term"]], where[r["query_id"]], r["weight"]) for r in rows]
+
+        def scan(batches, ids=ids, n_terms=len(terms), cells=cells):
+            import numpy as np
+            import pandas as pd
+
+            w = np.zeros((n_terms, len(ids)))
+            for i, j, x in cells:
+                w[i, j] = x
+            best: list = [[] for _ in ids]
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                pdf = pdf.sort_values("chunk_id", kind="stable")
+                step = max(1, 4_000_000 // (len(ids) * 64))
+                for lo in range(0, len(pdf), step):
+                    part = pdf.iloc[lo:lo + step]
+                    sizes = part["idx"].str.len().to_numpy()
+                    idx, impact = np.concatenate(part["idx"].to_numpy()), np.concatenate(part["impact"].to_numpy())
+                    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                    score = np.round(np.add.reduceat(w[idx] * impact[:, None], starts, axis=0), 6)
+                    names = part["chunk_id"].to_numpy()
+                    if threshold is not None:
+                        r, c = np.nonzero(score >= threshold)
+                        yield pd.DataFrame({"query_id": [ids[j] for j in c], "chunk_id": names[r], "score": score[r, c]})
+                        continue
+                    for j in range(len(ids)):
+                        full = len(best[j]) == k
+                        floor = -best[j][-1][0] if full else 0.0
+                        near = np.nonzero((score[:, j] >= floor) & (score[:, j] > 0))[0]
+                        if len(near):
+                            near = near[np.argsort(-score[near, j], kind="stable")[:k]]
+                            best[j] = sorted(best[j] + [(-score[i, j], names[i]) for i in near])[:k]
+            if threshold is None:
+                flat = [(ids[j], n, -s) for j in range(len(ids)) for s, n in best[j]]
+                yield pd.DataFrame(flat, columns=["query_id", "chunk_id", "score"])
+
+        codes = spark.createDataFrame([(t, i) for t, i in at.items()], "term string, idx int")
+        packed = (
+            postings.join(F.broadcast(codes), "term")  # at most one block of question terms
+            .groupBy("chunk_id").agg(F.collect_list(F.struct("idx", "impact")).alias("p"))  # the terms of one chunk
+            .select("chunk_id", F.transform("p", lambda x: x["idx"]).alias("idx"),
+                    F.transform("p", lambda x: x["impact"].cast("double")).alias("impact"))
+        )
+        out = out.unionByName(packed.mapInPandas(scan, schema))
+    return out
+
+
+def _ranked(scores: DataFrame, k: int) -> DataFrame:
+    return top_k(scores, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+
+
+def bm25_weights(postings: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, term, weight = idf of each question term that occurs in the corpus."""
     terms = query_terms(queries)
     df = document_frequency(postings.join(terms.select("term").distinct(), "term", "left_semi"))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").join(F.broadcast(stats)).select(  # one-row side
-        "query_id", "term", idf.alias("idf"), "avgdl")
-    tf, length = F.col("tf"), F.col("dl") / F.col("avgdl")
-    part = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length))
-    return (
-        postings.join(weighted, "term")
-        .groupBy("chunk_id", "query_id").agg(F.round(F.sum(part), 6).alias("score"))
-    )
+    return terms.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", idf.alias("weight"))  # one-row side
 
 
-def bm25_search(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def bm25_search(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2,
+                b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, score, rank."""
-    return top_k(bm25_scores(postings, stats, queries), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    tf, length = F.col("tf"), F.col("dl") / F.col("avgdl")
+    impact = postings.join(F.broadcast(stats)).select(  # one-row side
+        "chunk_id", "term", ((tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length))).alias("impact"))
+    return _ranked(score_terms(impact, bm25_weights(postings, stats, queries), k), k)
 
 
 def query_vectors(queries: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
@@ -77,16 +154,15 @@ def query_vectors(queries: DataFrame, postings: DataFrame, stats: DataFrame) ->
     return raw.select("query_id", "term", (F.col("raw") / norm).alias("qw"))
 
 
-def cosine_scores(vectors: DataFrame, query_vecs: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score = Σ w·qw over shared terms of unit vectors."""
-    return (
-        vectors.join(query_vecs, "term")
-        .groupBy("chunk_id", "query_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
-    )
+def cosine_search(vectors: DataFrame, query_vecs: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, chunk_id, score, rank over unit term vectors."""
+    return _ranked(score_terms(vectors.withColumnRenamed("w", "impact"), query_vecs.withColumnRenamed("qw", "weight"), k), k)
 
 
-def cosine_search(vectors: DataFrame, query_vecs: DataFrame, k: int = 10) -> DataFrame:
-    return top_k(cosine_scores(vectors, query_vecs), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+def cosine_above(vectors: DataFrame, query_vecs: DataFrame, threshold: float) -> DataFrame:
+    """query_id, chunk_id, score of every chunk at or above the threshold."""
+    return score_terms(vectors.withColumnRenamed("w", "impact"), query_vecs.withColumnRenamed("qw", "weight"),
+                       threshold=threshold)
 
 
 def reciprocal_rank_fusion(dense: DataFrame, keyword: DataFrame, top: int = 10, rrf_k: int = 60) -> DataFrame:

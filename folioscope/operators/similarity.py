@@ -40,7 +40,7 @@ def _idf(n: Column, df: Column) -> Column:
 
 def pair_cosine(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, cosine of tf-idf vectors; the frequencies come from all texts on both sides."""
-    sides = pairs.select(*keys, F.explode(F.array(
+    sides = pairs.select(*keys, a, b).repartition(*keys).select(*keys, F.explode(F.array(
         F.struct(F.lit(1).alias("side"), F.col(a).alias("t")), F.struct(F.lit(2).alias("side"), F.col(b).alias("t")),
     )).alias("s"))
     terms = explode_rows(sides, [*keys, F.col("s.side").alias("side")], tokens(F.col("s.t")), "term")

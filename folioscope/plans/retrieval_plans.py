@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions.vocab import PROMPTS, SCORE_PATTERNS, USED_ENTRY, USED_SECTION
-from folioscope.operators import context, search, spans
+from folioscope.operators import context, enrich, search, spans
 from folioscope.operators.windows import with_neighbours
 from folioscope.plans.inputs import chunks, documents, texts
 from folioscope.plans.registry import query
 from folioscope.plans.sql_parts import CHUNKS, lit, tokens_sql, trim_sql, words_sql
 from folioscope.plans.text_plans import VECTORS_SQL
-from folioscope.session import read_table
+from folioscope.session import cut_lineage, read_table
 
 BM25_SQL = f"""{CHUNKS},
 ptok AS (SELECT chunk_id, unnest({tokens_sql('chunk_text')}) AS term FROM chunks),
@@ -42,9 +42,14 @@ def questions(spark, sf):
     return read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def bm25_hits(spark, sf, k: int = 10):
+def stored_index(spark, sf):
+    """(postings, stats): the keyword index, written once, and its one-row statistics."""
     base = chunks(spark, sf)
-    return search.bm25_search(search.bm25_index(base), search.index_stats(base), questions(spark, sf), k)
+    return cut_lineage(search.bm25_index(base)), search.index_stats(base)
+
+
+def bm25_hits(spark, sf, k: int = 10):
+    return search.bm25_search(*stored_index(spark, sf), questions(spark, sf), k)
 
 
 def hits_with_text(spark, sf):
@@ -65,13 +70,10 @@ def _bm25_search(spark, sf):
     return bm25_hits(spark, sf)
 
 
-def _cosine(spark, sf):
-    from folioscope.operators.enrich import vectorize
-    base = chunks(spark, sf)
-    stats = base.agg(F.count(F.lit(1)).alias("n"))
-    vecs = vectorize(base, "chunk_id", "chunk_text")
-    qv = search.query_vectors(questions(spark, sf), search.bm25_index(base), stats)
-    return vecs, qv
+def _cosine(spark, sf, index=None):
+    postings, _ = index or stored_index(spark, sf)
+    total = chunks(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    return enrich.unit_vectors(postings, "chunk_id", total), search.query_vectors(questions(spark, sf), postings, total)
 
 
 @query("cosine_search", f"WITH {CHUNKS}, {COS_SQL} SELECT query_id, chunk_id, score, rank FROM cos")
@@ -85,7 +87,9 @@ fused AS (SELECT query_id, chunk_id, c.rank AS dense_rank, b.rank AS keyword_ran
   FROM cos c FULL JOIN bm b USING (query_id, chunk_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM fused) WHERE rank <= 10""")
 def _hybrid(spark, sf):
-    return search.reciprocal_rank_fusion(search.cosine_search(*_cosine(spark, sf)), bm25_hits(spark, sf))
+    index = stored_index(spark, sf)
+    dense = search.cosine_search(*_cosine(spark, sf, index))
+    return search.reciprocal_rank_fusion(dense, search.bm25_search(*index, questions(spark, sf)))
 
 
 _CAPS = """
@@ -95,7 +99,7 @@ capt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 def _capped(spark, sf):
-    scored = search.cosine_scores(*_cosine(spark, sf)).join(chunks(spark, sf).select("chunk_id", "doc_id"), "chunk_id")
+    scored = search.cosine_above(*_cosine(spark, sf), 0.25).join(chunks(spark, sf).select("chunk_id", "doc_id"), "chunk_id")
     return search.threshold_and_caps(scored, threshold=0.25)
 
 

@@ -89,12 +89,12 @@ def _overlap_sql(name: str, left: str, right: str, lid: str, rid: str, on: str =
 {name} AS (SELECT {out}, max(sim) AS best FROM {name}_l l JOIN {name}_m m ON l.s = m.sa JOIN {name}_r r ON r.s = m.sb{join_on} GROUP BY ALL)"""
 
 
-@query("sentence_overlap", f"""WITH {_overlap_sql('ov', 'documents', 'benchmark', 'doc_id', 'item_id', limit=0.7)}
+@query("sentence_overlap", f"""WITH {_overlap_sql('ov', 'documents', 'benchmark', 'doc_id', 'item_id', limit=0.74)}
 SELECT doc_id, item_id, best FROM ov""")
 def _overlap(spark, sf):
     return similarity.sentence_overlap(
         texts(spark, sf).select("doc_id", "text"), read_table(spark, sf, "benchmark"), ["doc_id"], ["item_id"],
-        threshold=0.7)
+        threshold=0.74)
 
 
 # each question's best document, line by line, against the question's passage
