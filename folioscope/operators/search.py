@@ -35,9 +35,9 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def index_stats(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
+def index_stats(postings: DataFrame) -> DataFrame:
     """One row: n chunks with a token, avgdl."""
-    sizes = chunks.select(F.size(tokens(F.col(text))).alias("dl")).filter("dl > 0")
+    sizes = postings.groupBy("chunk_id").agg(F.max("dl").alias("dl"))
     return sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
@@ -46,10 +46,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return explode_rows(queries, ["query_id"], F.array_distinct(tokens(F.col("text"))), "term")
 
 
-def _weight_blocks(weights: DataFrame, limit: int):
-    """(query ids, rows) of query_id, term, weight in driver-sized blocks of about ``limit`` rows."""
+def _weight_blocks(weights: DataFrame, limit: int, most_queries: int = 1000):
+    """(query ids, rows) of query_id, term, weight in driver-sized blocks of about ``limit`` rows.
+
+    Both rows and questions are bounded, and with them the term × question array each task holds.
+    """
     held = cut_lineage(weights)
-    blocks = max(1, math.ceil(held.count() / limit))
+    size = held.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("query_id").alias("ids")).first()
+    blocks = max(1, math.ceil(size["rows"] / limit), math.ceil(size["ids"] / most_queries))
     for b in range(blocks):
         part = held if blocks == 1 else held.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         rows = part.collect()  # bounded by the block size
@@ -58,7 +62,7 @@ def _weight_blocks(weights: DataFrame, limit: int):
 
 
 def score_terms(postings: DataFrame, weights: DataFrame, k: int | None = None, threshold: float | None = None,
-                block: int = 100_000) -> DataFrame:
+                block: int = 20_000) -> DataFrame:
     """query_id, chunk_id, score = Σ impact · weight over shared terms.
 
     ``postings``: chunk_id, term, impact; ``weights``: query_id, term, weight. Either the best ``k`` per

@@ -231,9 +231,10 @@ def _memberships(spark, sf):
 
 
 @query("primary_group", f"""WITH {PEOPLE} SELECT user_id, coalesce(g::VARCHAR, 'public') AS group_id
-FROM us LEFT JOIN (SELECT user_id, arg_min(group_id, ord) AS g FROM mb WHERE group_id < 20 GROUP BY 1) USING (user_id)""")
+FROM us LEFT JOIN (SELECT user_id, arg_min(group_id, ord) AS g FROM mb JOIN us USING (user_id) WHERE is_active GROUP BY 1) USING (user_id)""")
 def _primary(spark, sf):
-    return catalog.primary_group(users(spark, sf), membership(spark, sf).filter("group_id < 20"))
+    active = users(spark, sf).filter("is_active")
+    return catalog.primary_group(users(spark, sf), membership(spark, sf).join(active, "user_id", "left_semi"))
 
 
 @query("group_report", f"""WITH {PEOPLE} SELECT group_id, name, coalesce(n, 0) AS members_count, username AS member,
@@ -254,13 +255,13 @@ def _user_report(spark, sf):
     return catalog.user_report(users(spark, sf), membership(spark, sf), groups(spark, sf), admins(spark, sf), tag)
 
 
-@query("membership_violations", f"""WITH {PEOPLE}, nm AS (SELECT name FROM gr UNION ALL SELECT replace(name, '_', ' ') FROM gr WHERE group_id >= 20)
+@query("membership_violations", f"""WITH {PEOPLE}, nm AS (SELECT name FROM gr UNION ALL SELECT replace(name, '_', ' ') FROM gr)
 SELECT 'several groups' AS rule, user_id::VARCHAR AS subject, count(DISTINCT group_id) AS n FROM mb GROUP BY user_id HAVING count(DISTINCT group_id) > 1
 UNION ALL SELECT 'admin outside group', user_id::VARCHAR, count(*) FROM ad WHERE NOT EXISTS (SELECT 1 FROM mb WHERE mb.group_id = ad.group_id AND mb.user_id = ad.user_id) GROUP BY user_id
 UNION ALL SELECT 'same id', replace(lower(name), ' ', '_'), count(*) FROM nm GROUP BY 2 HAVING count(*) > 1""")
 def _violations(spark, sf):
     g = groups(spark, sf)
-    twins = g.filter("group_id >= 20").select("group_id", F.replace("name", F.lit("_"), F.lit(" ")).alias("name"))
+    twins = g.select("group_id", F.replace("name", F.lit("_"), F.lit(" ")).alias("name"))
     return catalog.membership_violations(membership(spark, sf), admins(spark, sf), g.unionByName(twins))
 
 

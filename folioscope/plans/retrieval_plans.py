@@ -44,8 +44,8 @@ def questions(spark, sf):
 
 def stored_index(spark, sf):
     """(postings, stats): the keyword index, written once, and its one-row statistics."""
-    base = chunks(spark, sf)
-    return cut_lineage(search.bm25_index(base)), search.index_stats(base)
+    postings = cut_lineage(search.bm25_index(chunks(spark, sf)))
+    return postings, cut_lineage(search.index_stats(postings))
 
 
 def bm25_hits(spark, sf, k: int = 10):

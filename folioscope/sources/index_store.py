@@ -11,11 +11,11 @@ from folioscope.session import cut_lineage
 def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet by group, sorted by document inside the files so that a document's rows are read together.
 
-    Groups are spread over several tasks by document, so that a large group is no single writer; only the
-    groups present in ``chunks`` are replaced.
+    Ranges of (group, document) are cut by sampling, so that a large group is written by as many tasks as its
+    share of the rows asks for; only the groups present in ``chunks`` are replaced.
     """
     (
-        chunks.repartition("group_id", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("group_id", "doc_id")
+        chunks.repartitionByRange("group_id", "doc_id").sortWithinPartitions("group_id", "doc_id")
         .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("group_id").parquet(path)
     )
 

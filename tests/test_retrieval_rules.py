@@ -81,7 +81,8 @@ def test_knn_blocks_and_recall(spark):
 def test_term_scores_by_block(spark):
     chunks = spark.createDataFrame([(f"c{i}", f"w{i % 7} w{i % 3} common") for i in range(60)], "chunk_id string, chunk_text string")
     asked = spark.createDataFrame([(i, f"w{i} common common") for i in range(7)], "query_id long, text string")
-    index, stats = search.bm25_index(chunks), search.index_stats(chunks)
+    index = search.bm25_index(chunks)
+    stats = search.index_stats(index)
     weights = search.bm25_weights(index, stats, asked)
     impact = index.withColumn("impact", F.col("tf") * 1.0)
     one = {tuple(r) for r in search.score_terms(impact, weights, threshold=0.0001).collect()}
