@@ -14,9 +14,9 @@ from folioscope import plans  # noqa: E402
 from folioscope.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "chunk_build", "semantic_type", "detect_language", "keywords", "bm25_search", "hybrid_search", "knn_exact",
+    "semantic_type", "detect_language", "keywords", "chunk_build", "bm25_search", "hybrid_search", "knn_exact",
     "assemble_context", "extract_citations", "find_spans", "sentence_overlap", "edges_final", "components",
-    "shortest_path", "catalog_listing", "feedback_stream", "ingest_stream",
+    "catalog_listing", "feedback_stream", "ingest_stream",
 ]
 
 
