@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm.decontaminate import benchmark_hits, judged
 from folioscope.llm.exact_dedup import exact_dedup
+from folioscope.llm.packing import pack, piece_digests
+from folioscope.llm.unit_dedup import dedup_passages, passage_digests
 from folioscope.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +65,36 @@ select d.doc_id, len(d.w) as n_words, coalesce(c.n_hit, 0) as n_hit, coalesce(m.
 from words_of d left join covered c using (doc_id) left join named m using (doc_id)""")
 def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return judged(benchmark_hits(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))).drop("spans")
+
+
+@query("op7_passage_dedup", f"""
+with cut as (
+  select doc_id, unnest(u) as unit, generate_subscripts(u, 1) - 1 as pos
+  from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+') as u from documents)),
+units as (
+  select *, trim(regexp_replace({ascii_lower_sql("unit")}, '[\x20\x09-\x0D]+', ' ', 'g')) as norm,
+         cast(sum(length(unit)) over (partition by doc_id order by pos) as bigint) as last
+  from cut),
+repeats as (
+  select *, case when norm = '' then 0 else len(string_split(norm, ' ')) end as words, last - length(unit) as first,
+         pos - row_number() over (partition by doc_id order by pos) as island
+  from units qualify row_number() over (partition by norm order by doc_id, pos) > 1),
+islands as (
+  select doc_id, min(first) as first, max(last) as last
+  from (select doc_id, words, first, last, pos - row_number() over (partition by doc_id order by pos) as island from repeats)
+  group by doc_id, island having sum(words) >= 20),
+gone as (
+  select doc_id, count(*) as n_removed, cast(sum(last - first) as bigint) as chars_removed,
+         string_agg(first || ':' || last, ',' order by first) as spans, list(first order by first) as firsts, list(last order by first) as lasts
+  from islands group by doc_id)
+select doc_id, coalesce(n_removed, 0) as n_removed, coalesce(chars_removed, 0) as chars_removed, coalesce(spans, '') as spans,
+       sha256(case when spans is null then coalesce(text, '') else array_to_string(list_transform(generate_series(0, len(firsts)),
+         lambda i: substring(text, coalesce(lasts[i], 0) + 1, coalesce(firsts[i + 1], length(text)) - coalesce(lasts[i], 0))), '') end) as text_sha256
+from documents left join gone using (doc_id)""")
+def op7_passage_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return passage_digests(dedup_passages(read_table(spark, sf, "documents")))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return piece_digests(pack(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
