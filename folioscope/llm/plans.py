@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.llm import toxicity
 from folioscope.llm.decontaminate import benchmark_hits, judged
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.packing import pack, piece_digests
@@ -98,3 +99,9 @@ def op7_passage_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return piece_digests(pack(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return toxicity.judged(toxicity.score(docs, toxicity.train(docs, read_table(spark, sf, "labels"))))
