@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import toxicity
+from folioscope.llm import lm_score, toxicity
 from folioscope.llm.decontaminate import benchmark_hits, judged
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.packing import pack, piece_digests
@@ -105,3 +106,10 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     return toxicity.judged(toxicity.score(docs, toxicity.train(docs, read_table(spark, sf, "labels"))))
+
+
+@query("op10_lm_score")
+def op10_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.coalesce(toxicity.fold_of(5) == 1, F.lit(False))
+    scored = lm_score.score(read_table(spark, sf, "documents"), ~held_out)
+    return scored.withColumn("held_out", held_out)

@@ -41,7 +41,7 @@ END, OTHER, SYMBOLS = 26, 27, 28
 ACCENTED = {"a": "àáâãäåÀÁÂÃÄÅ", "c": "çÇ", "e": "èéêëÈÉÊË", "i": "ìíîïÌÍÎÏ", "n": "ñÑ", "o": "òóôõöøÒÓÔÕÖØ",
             "s": "ß", "u": "ùúûüÙÚÛÜ", "y": "ýÿÝ"}
 _CODES = np.full(256, END, np.uint16)
-_CODES[192:] = OTHER
+_CODES[48:58] = _CODES[192:] = OTHER
 for _letter in "abcdefghijklmnopqrstuvwxyz":
     for _form in _letter + _letter.upper() + ACCENTED.get(_letter, ""):
         _CODES[ord(_form)] = ord(_letter) - 97
