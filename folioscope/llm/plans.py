@@ -13,6 +13,7 @@ from folioscope.llm.decontaminate import benchmark_hits, judged
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.packing import pack, piece_digests
 from folioscope.llm.unit_dedup import dedup_passages, passage_digests
+from folioscope.llm.url_templates import url_verdicts, verdict_sql
 from folioscope.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +114,12 @@ def op10_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     held_out = F.coalesce(toxicity.fold_of(5) == 1, F.lit(False))
     scored = lm_score.score(read_table(spark, sf, "documents"), ~held_out)
     return scored.withColumn("held_out", held_out)
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+             ("com", "/de/", "block")]
+
+
+@query("op3_url_templates", verdict_sql(URL_RULES))
+def op3_url_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return url_verdicts(read_table(spark, sf, "pages"), URL_RULES).drop("share")
