@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import lm_score, toxicity
+from folioscope.llm import lm_score, pii, toxicity
 from folioscope.llm.decontaminate import benchmark_hits, judged
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.packing import pack, piece_digests
@@ -123,3 +123,9 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 @query("op3_url_templates", verdict_sql(URL_RULES))
 def op3_url_templates(spark: SparkSession, sf: str) -> DataFrame:
     return url_verdicts(read_table(spark, sf, "pages"), URL_RULES).drop("share")
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return pii.span_digests(pii.find_pii(docs, pii.train(docs)))
