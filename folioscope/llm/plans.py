@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.llm import lm_score, pii, toxicity
 from folioscope.llm.decontaminate import benchmark_hits, judged
 from folioscope.llm.exact_dedup import exact_dedup
+from folioscope.llm.jaccard_join import jaccard_components
 from folioscope.llm.packing import pack, piece_digests
 from folioscope.llm.unit_dedup import dedup_passages, passage_digests
 from folioscope.llm.url_templates import url_verdicts, verdict_sql
@@ -129,3 +130,21 @@ def op3_url_templates(spark: SparkSession, sf: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     return pii.span_digests(pii.find_pii(docs, pii.train(docs)))
+
+
+@query("op6_jaccard_join", f"""
+with recursive words_of as (
+  select doc_id, regexp_extract_all({ascii_lower_sql("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as s
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from words_of where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+  join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id
+from words_of d left join sizes using (doc_id) left join (select a as doc_id, min(b) as m from reach group by a) using (doc_id)""")
+def op6_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf, "documents"))
