@@ -13,9 +13,10 @@ from folioscope.llm.decontaminate import benchmark_hits, judged
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.jaccard_join import jaccard_components
 from folioscope.llm.packing import pack, piece_digests
+from folioscope.llm.token_files import read_tokens, write_tokens
 from folioscope.llm.unit_dedup import dedup_passages, passage_digests
 from folioscope.llm.url_templates import url_verdicts, verdict_sql
-from folioscope.session import read_table
+from folioscope.session import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +149,10 @@ select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc
 from words_of d left join sizes using (doc_id) left join (select a as doc_id, min(b) as m from reach group by a) using (doc_id)""")
 def op6_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf, "documents"))
+
+
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    write_tokens(read_table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
