@@ -17,8 +17,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from folioscope.llm.text import WordHashes, arrow_schema, encoded, gram_hashes, keyed, letter_words, map_texts
+from folioscope.llm.text import WordHashes, arrow_schema, encoded, gram_hashes, keyed, letter_words, map_texts, parts_of
+from folioscope.session import cut_lineage
 
 WINDOW = 13
 #: Windows per broadcast block: at most about 300 MB with the words that verify hits, 16 MB of hashes.
@@ -100,7 +102,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         "doc_id", "n_words", merged_ranges("spans").alias("spans"), "items")
 
 
-def merged_ranges(spans: str) -> Column:
+def merged_ranges(spans: str | Column) -> Column:
     """Sorted ranges with overlapping and touching ones joined."""
     start = F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)")
     return F.aggregate(spans, start, lambda acc, x: F.when(
@@ -141,3 +143,30 @@ def judged(hits: DataFrame, least: int = 20) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.lit(least) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, least: int = 20, text_col: str = "text", item_col: str = "item_id",
+                        item_text: str = "text", size: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns; map-only if the windows fit one block."""
+    found = docs.withColumn("_n", F.lit(0)).withColumn("_spans", F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)"))
+    for k, windows in enumerate(_blocks(_windows(benchmark, size, item_col, item_text), block)):
+        found = _with_hits(cut_lineage(found) if k else found, docs.sparkSession.sparkContext.broadcast(windows), text_col)
+    hits = F.aggregate(merged_ranges(F.array_sort("_spans")), F.lit(0).cast("bigint"), lambda acc, x: acc + x["last"] - x["first"])
+    return found.where((hits == 0) | (F.lit(least) * hits < F.col("_n"))).select(*docs.columns)
+
+
+def _with_hits(rows: DataFrame, shared, text_col: str) -> DataFrame:
+    """Rows with ``_n`` (words) and ``_spans`` (hit ranges so far)."""
+    to = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _scan(shared)()
+        for batch in batches:
+            for part in parts_of(batch, text_col):
+                found = scan(part.column(text_col).to_pylist())
+                spans = [old + new for old, new in zip(part.column("_spans").to_pylist(), found["spans"])]
+                columns = dict(zip(part.schema.names, part.columns)) | {
+                    "_n": pa.array(found["n_words"], pa.int32()), "_spans": pa.array(spans, to.field("_spans").type)}
+                yield pa.RecordBatch.from_arrays([columns[f.name] for f in to], schema=to)
+
+    return rows.mapInArrow(run, rows.schema)

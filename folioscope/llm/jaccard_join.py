@@ -237,21 +237,14 @@ def _next_pairs(regions: DataFrame, measured: DataFrame, first: int, last: int)
             .join(measured.select("x", "p"), ["x", "p"], "left_anti"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links, its own included).
-
-    A document's set holds its distinct ``size``-word shingles; a shorter text is one shingle; a text without words (or
-    null) has an empty set, links with nothing and keeps its own id. Equal sets are one point of the join. Null ids take
-    part and get their component's smallest id, if it has one. Rows that repeat are points like any other; an empty
-    table gives an empty result; other columns are not looked at. Hashes have 64 bits a shingle and 128 a set.
-    """
-    rows = with_text_key(docs, id_col, text_col)
+def _classes(rows: DataFrame, size: int) -> DataFrame:
+    """doc_id, text_key, n, least: per row of ``with_text_key``, its component's first row (no_id, doc_id, text_key); null for an empty set."""
     scan = cut_lineage(_first_scan(rows, size))
     sets = scan.where("slots is null").select("doc_id", "text_key", "n", "set_key")
-    shared = docs.sparkSession.sparkContext.broadcast(_levels(scan.where("slots is not null")))
+    shared = rows.sparkSession.sparkContext.broadcast(_levels(scan.where("slots is not null")))
     regions = cut_lineage(_regions(_prefixes(rows, shared, size)))
-    points = cut_lineage(sets.where("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("one")))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    points = cut_lineage(sets.where("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min(row).alias("one")))
 
     heads = regions.where("place = 0").select("token", F.col("node").alias("p"), F.col("n").alias("n_p"))
     pairs = cut_lineage(regions.where("place > 0").join(heads, "token").where(_sizes_fit("n", "n_p"))
@@ -271,9 +264,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         measured = cut_lineage(measured.unionByName(_measured(pairs, texts, size)))
         regions = regions.drop("root")
         first, last = last, last * GROWTH
-    named = points.join(classes, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_set = named.join(least, "root").select(F.col("node").alias("set_key"), "component_id")
-    return sets.join(of_set, "set_key", "left").select(
+    named = points.join(classes, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("one").alias("least"))
+    of_set = named.join(least, "root").select(F.col("node").alias("set_key"), "least")
+    return sets.join(of_set, "set_key", "left").select("doc_id", "text_key", "n", "least")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links, its own included).
+
+    A document's set holds its distinct ``size``-word shingles; a shorter text is one shingle; a text without words (or
+    null) has an empty set, links with nothing and keeps its own id. Equal sets are one point of the join. Null ids take
+    part and get their component's smallest id, if it has one. Rows that repeat are points like any other; an empty
+    table gives an empty result; other columns are not looked at. Hashes have 64 bits a shingle and 128 a set.
+    """
+    return _classes(with_text_key(docs, id_col, text_col), size).select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
-        F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"))
+
+
+def keep_least(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """Of each component, the row with the smallest id (then text hash) stays, with all its columns; null ids rank last.
+
+    Texts without words all stay; of rows that repeat id and text, one does.
+    """
+    classes = _classes(with_text_key(docs, id_col, text_col), size)
+    first = F.col("least").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
+    kept = classes.where(first).select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
+    rows = docs.withColumn("_id", F.col(id_col).cast("bigint")).withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return (rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
+            .dropDuplicates(["_id", "_key"]).select(*docs.columns))
