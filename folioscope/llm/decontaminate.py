@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from folioscope.llm.text import WordHashes, arrow_schema, encoded, gram_hashes, keyed, letter_words, map_texts, parts_of
+from folioscope.llm.text import WordHashes, arrow_schema, encoded, fresh, gram_hashes, keyed, letter_words, map_texts, parts_of
 from folioscope.session import cut_lineage
 
 WINDOW = 13
@@ -148,15 +148,17 @@ def judged(hits: DataFrame, least: int = 20) -> DataFrame:
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, least: int = 20, text_col: str = "text", item_col: str = "item_id",
                         item_text: str = "text", size: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; map-only if the windows fit one block."""
-    found = docs.withColumn("_n", F.lit(0)).withColumn("_spans", F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)"))
+    n, spans = fresh(docs, "_n", "_spans")
+    found = docs.withColumn(n, F.lit(0)).withColumn(spans, F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)"))
     for k, windows in enumerate(_blocks(_windows(benchmark, size, item_col, item_text), block)):
-        found = _with_hits(cut_lineage(found) if k else found, docs.sparkSession.sparkContext.broadcast(windows), text_col)
-    hits = F.aggregate(merged_ranges(F.array_sort("_spans")), F.lit(0).cast("bigint"), lambda acc, x: acc + x["last"] - x["first"])
-    return found.where((hits == 0) | (F.lit(least) * hits < F.col("_n"))).select(*docs.columns)
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
+        found = _with_hits(cut_lineage(found) if k else found, shared, text_col, n, spans)
+    hits = F.aggregate(merged_ranges(F.array_sort(spans)), F.lit(0).cast("bigint"), lambda acc, x: acc + x["last"] - x["first"])
+    return found.where((hits == 0) | (F.lit(least) * hits < F.col(n))).select(*docs.columns)
 
 
-def _with_hits(rows: DataFrame, shared, text_col: str) -> DataFrame:
-    """Rows with ``_n`` (words) and ``_spans`` (hit ranges so far)."""
+def _with_hits(rows: DataFrame, shared, text_col: str, n: str, spans: str) -> DataFrame:
+    """Rows with the number of words in ``n`` and the hit ranges so far in ``spans``."""
     to = to_arrow_schema(rows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +166,9 @@ def _with_hits(rows: DataFrame, shared, text_col: str) -> DataFrame:
         for batch in batches:
             for part in parts_of(batch, text_col):
                 found = scan(part.column(text_col).to_pylist())
-                spans = [old + new for old, new in zip(part.column("_spans").to_pylist(), found["spans"])]
+                both = [old + new for old, new in zip(part.column(spans).to_pylist(), found["spans"])]
                 columns = dict(zip(part.schema.names, part.columns)) | {
-                    "_n": pa.array(found["n_words"], pa.int32()), "_spans": pa.array(spans, to.field("_spans").type)}
+                    n: pa.array(found["n_words"], pa.int32()), spans: pa.array(both, to.field(spans).type)}
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in to], schema=to)
 
     return rows.mapInArrow(run, rows.schema)

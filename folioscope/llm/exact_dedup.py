@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.text import arrow_schema
+from folioscope.llm.text import arrow_schema, fresh
 
 SLOTS = 4
 KICKS = 200
@@ -180,7 +180,8 @@ def keep_largest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The join key holds the id besides the digest, so a digest with very many copies is spread over all tasks.
     """
-    groups = exact_groups(docs, id_col, text_col).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    rows = docs.withColumn("_of", _digest(text_col)).withColumn("_id", F.col(id_col).cast("bigint"))
-    kept = rows.join(groups, (F.col("_of") == F.col("_digest")) & F.col("_id").eqNullSafe(F.col("_keep")))
-    return kept.dropDuplicates(["_of", "_id"]).select(*docs.columns)
+    of, own, digest, keep = fresh(docs, "_of", "_id", "_digest", "_keep")
+    groups = exact_groups(docs, id_col, text_col).select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
+    rows = docs.withColumn(of, _digest(text_col)).withColumn(own, F.col(id_col).cast("bigint"))
+    kept = rows.join(groups, (F.col(of) == F.col(digest)) & F.col(own).eqNullSafe(F.col(keep)))
+    return kept.dropDuplicates([of, own]).select(*docs.columns)

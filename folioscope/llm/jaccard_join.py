@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.text import WordHashes, arrow_schema, gram_hashes, keyed, parts_of, space_words
+from folioscope.llm.text import WordHashes, arrow_schema, fresh, gram_hashes, keyed, parts_of, space_words
 from folioscope.session import cut_lineage
 
 SHINGLE = 5
@@ -290,7 +290,8 @@ def keep_least(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     classes = _classes(with_text_key(docs, id_col, text_col), size)
     first = F.col("least").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
-    kept = classes.where(first).select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
-    rows = docs.withColumn("_id", F.col(id_col).cast("bigint")).withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return (rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
-            .dropDuplicates(["_id", "_key"]).select(*docs.columns))
+    own, key, kept_id, kept_key = fresh(docs, "_id", "_key", "_kept_id", "_kept_key")
+    kept = classes.where(first).select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key)).distinct()
+    rows = docs.withColumn(own, F.col(id_col).cast("bigint")).withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return (rows.join(kept, F.col(own).eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
+            .dropDuplicates([own, key]).select(*docs.columns))

@@ -23,6 +23,8 @@ KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_LENGTH = 4_000, 4_000, 64
 #: Window length, and how many characters neighbouring windows share.
 WINDOW, SHARED = 256, 32
+#: Shorter windows are padded to a multiple of this.
+PADDING = 32
 #: Windows tagged at a time.
 LANES = 2048
 #: What a span that the tagger adds must hold: so many of these characters, by kind.
@@ -123,24 +125,26 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS, windows: int = TRAIN_WINDOWS,
 
 
 def tagged(model: dict, texts: list[str]) -> list[np.ndarray]:
-    """The tags of every character of each text."""
+    """The tags of every character of each text. Windows of one padded length run together, so no tag depends on the batch."""
     stride = WINDOW - SHARED
     codes = [char_tagger.symbols(t) for t in texts]
-    windows = [(d, at) for d, c in enumerate(codes) for at in range(0, max(1, len(c) - SHARED), stride) if len(c)]
-    windows.sort(key=lambda w: min(WINDOW, len(codes[w[0]]) - w[1]))  # like lengths together
+    by_length: dict[int, list[tuple[int, int]]] = {}
+    for d, c in enumerate(codes):
+        for at in range(0, max(1, len(c) - SHARED), stride) if len(c) else ():
+            by_length.setdefault(-(-min(WINDOW, len(c) - at) // PADDING) * PADDING, []).append((d, at))
     out = [np.zeros(len(c), np.uint8) for c in codes]
-    for i in range(0, len(windows), LANES):
-        some = windows[i:i + LANES]
-        longest = max(min(WINDOW, len(codes[d]) - at) for d, at in some)
-        x = np.full((len(some), longest), char_tagger.LINE, np.uint8)
-        for k, (d, at) in enumerate(some):
-            piece = codes[d][at:at + WINDOW]
-            x[k, :len(piece)] = piece
-        tags = char_tagger.decode(model, np.ascontiguousarray(x.T)).T
-        for k, (d, at) in enumerate(some):
-            first = SHARED // 2 if at else 0
-            last = len(out[d]) - at if at + WINDOW >= len(out[d]) else WINDOW - SHARED // 2
-            out[d][at + first:at + last] = tags[k, first:last]
+    for length, windows in by_length.items():
+        for i in range(0, len(windows), LANES):
+            some = windows[i:i + LANES]
+            x = np.full((len(some), length), char_tagger.LINE, np.uint8)
+            for row, (d, at) in zip(x, some):
+                piece = codes[d][at:at + WINDOW]
+                row[:len(piece)] = piece
+            tags = char_tagger.decode(model, np.ascontiguousarray(x.T)).T
+            for row, (d, at) in zip(tags, some):
+                first = SHARED // 2 if at else 0
+                last = len(out[d]) - at if at + WINDOW >= len(out[d]) else WINDOW - SHARED // 2
+                out[d][at + first:at + last] = row[first:last]
     return out
 
 
@@ -195,7 +199,11 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _number_of(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def span_digests(found: DataFrame) -> DataFrame:
     """doc_id, matches of each pattern, base_sha256, spans as text."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    counts = [_number_of(k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))

@@ -87,6 +87,16 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where a column of ``docs`` has one already."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """For the driver: workers cannot parse DDL."""
     return to_arrow_schema(StructType.fromDDL(ddl))

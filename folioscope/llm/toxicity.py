@@ -91,7 +91,7 @@ def character_costs(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
 class Channel:
     """Restores stretches of text by Viterbi decoding."""
 
-    SWAP, DROP, REPEAT, KEPT_ODD = 0.5, 0.2, 0.3, 4.0
+    SWAP, DROP, KEEP, REPEAT, KEPT_ODD = 0.5, 0.2, 2.0, 0.3, 4.0
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
@@ -99,7 +99,7 @@ class Channel:
     def options(self, char: str, times: int) -> list[tuple[str, float]]:
         """What a run of one character may stand for, with the channel's cost."""
         if char.isspace() or char in SEPARATORS:
-            return [("", self.DROP), (" ", 0.0)]
+            return [("", self.DROP), (" ", self.KEEP)]
         letters = LOOK_ALIKES.get(char, "")
         if letters:
             found = [(x * k, self.SWAP * times) for x in letters for k in sorted({1, min(times, 2)})]
