@@ -1,81 +1,65 @@
-"""Sections, chunks and their identity. Every operator here is map-only: no shuffle."""
+"""Sections, chunks and their identity. Every operator is map-only, and linear in the length of a document."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.rows import posexplode_rows
-from folioscope.functions.text import sentences, strip, words
-from folioscope.functions.vocab import (
-    CHUNK_OVERLAP, CHUNK_SIZE, CODE_MARKS, TITLE_COMBINE, TITLE_MAX, TITLE_SOFT, java_pattern,
-)
-
-ELEMENT = "array<struct<kind:string,text:string,page:int>>"
-SECTION = "array<struct<kind:string,first:int,last:int>>"
+from folioscope.functions.rows import expand_rows
+from folioscope.functions.text import SPACES, strip
+from folioscope.functions.vocab import CHUNK_OVERLAP, CHUNK_SIZE, CODE_MARKS, TITLE_COMBINE, TITLE_MAX, TITLE_SOFT
 
+SENTENCE_END = re.compile("[.!?]+")
 
-def _contains_any(text: Column, parts: list[str]) -> Column:
-    test = F.lit(False)
-    for part in parts:
-        test = test | text.contains(part)
-    return test
+ELEMENT = "array<struct<kind:string,text:string,page:int>>"
+HEADING = re.compile(rf"^[{SPACES}]*#+ [{SPACES}]*[^{SPACES}].*[^{SPACES}][{SPACES}]*$")
 
 
-def section_ranges(lines: Column) -> Column:
-    """Line ranges of paragraphs, code blocks and headings, from one pass over the lines.
+def sections_of(text: str | None) -> list[tuple[int, str, str]]:
+    """(number, kind, text) of paragraphs, code blocks and headings, from one pass over the lines.
 
     A code block keeps going over blank lines and ends only at a plain line that is indented
     less than the block's first line; a block that opens at the margin therefore never ends.
     """
-    flagged = F.transform(lines, lambda line, i: F.struct(
-        i.alias("at"),
-        (strip(line) == "").alias("blank"),
-        _contains_any(line, CODE_MARKS).alias("codey"),
-        F.length(F.regexp_extract(line, java_pattern(r"^(\s*)"), 1)).alias("indent"),
-        line.rlike(java_pattern(r"^\s*#+ \s*\S.*\S\s*$")).alias("heading"),
-    ))
-    start = F.struct(
-        F.array().cast(SECTION).alias("done"), F.lit("").alias("kind"),
-        F.lit(0).alias("first"), F.lit(0).alias("indent"),
-    )
-
-    def closed(acc, line):
-        section = F.struct(acc["kind"].alias("kind"), acc["first"].alias("first"), (line["at"] - 1).alias("last"))
-        return F.when(acc["kind"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(section)))
-
-    def state(done, kind, first, indent):
-        return F.struct(done.alias("done"), F.lit(kind).alias("kind"), first.alias("first"), indent.alias("indent"))
-
-    def step(acc, line):
-        heading = F.struct(F.lit("heading").alias("kind"), line["at"].alias("first"), line["at"].alias("last"))
-        in_code = acc["kind"] == "code"
-        leaves = in_code & ~line["blank"] & ~line["codey"] & (line["indent"] < acc["indent"])
-        return (
-            F.when(leaves, state(closed(acc, line), "paragraph", line["at"], F.lit(0)))
-            .when(in_code, acc)
-            .when(line["codey"], state(closed(acc, line), "code", line["at"], line["indent"]))
-            .when(line["heading"], state(F.concat(closed(acc, line), F.array(heading)), "", F.lit(0), F.lit(0)))
-            .when(line["blank"], state(closed(acc, line), "", F.lit(0), F.lit(0)))
-            .when(acc["kind"] == "", state(acc["done"], "paragraph", line["at"], F.lit(0)))
-            .otherwise(acc)
-        )
-
-    end = F.struct(F.size(lines).alias("at"))
-    return F.aggregate(flagged, start, step, lambda acc: closed(acc, end))
+    found: list[tuple[int, str, str]] = []
+    if not text:
+        return found
+    lines = text.split("\n")
+    kind, first, margin = "", 0, 0
+
+    def close(after: int) -> None:
+        if kind:
+            found.append((len(found), kind, "\n".join(lines[first:after])))
+
+    for at, line in enumerate(lines):
+        bare = line.lstrip(SPACES)
+        indent, blank, codey = len(line) - len(bare), not bare, any(mark in line for mark in CODE_MARKS)
+        if kind == "code":
+            if not blank and not codey and indent < margin:
+                close(at)
+                kind, first = "paragraph", at
+        elif codey:
+            close(at)
+            kind, first, margin = "code", at, indent
+        elif HEADING.match(line):
+            close(at)
+            found.append((len(found), "heading", line))
+            kind = ""
+        elif blank:
+            close(at)
+            kind = ""
+        elif not kind:
+            kind, first = "paragraph", at
+    close(len(lines))
+    return found
 
 
 def sectionize(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per section: section_no, kind (heading/paragraph/code), section_text."""
-    keep = [c for c in docs.columns if c != text]
-    lines = F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
-    return (
-        docs.withColumn("_lines", lines)
-        .transform(posexplode_rows, [*keep, "_lines"], section_ranges(F.col("_lines")), "section_no", "_s")
-        .select(*keep, "section_no", F.col("_s.kind").alias("kind"),
-                F.array_join(F.slice("_lines", F.col("_s.first") + 1, F.col("_s.last") - F.col("_s.first") + 1),
-                             "\n").alias("section_text"))
-    )
+    return expand_rows(docs, [c for c in docs.columns if c != text], [text], sections_of,
+                       "section_no int, kind string, section_text string")
 
 
 def line_elements(docs: DataFrame, title_max: int = 60, lines_per_page: int = 10) -> DataFrame:
@@ -88,33 +72,34 @@ def line_elements(docs: DataFrame, title_max: int = 60, lines_per_page: int = 10
     return docs.withColumn("elements", F.filter(lines, lambda e: strip(e["text"]) != "").cast(ELEMENT))
 
 
-def _split_long(elements: Column, limit: int) -> Column:
-    def pieces(e):
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(e["text"])), F.lit(limit)),
-            lambda s: F.struct(e["kind"].alias("kind"), F.substring(e["text"], s, F.lit(limit)).alias("text"),
-                               e["page"].alias("page")),
-        )
-    return F.flatten(F.transform(elements, pieces))
-
-
-def chunk_starts(elements: Column, hard: int, soft: int, combine: int) -> Column:
-    """Positions (from 0) at which a greedy fill opens a new chunk."""
-    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("len"))
-
-    def step(acc, e):
-        n = F.length(e["text"])
-        opens = (
-            (acc["at"] == 0) | ((e["kind"] == "Title") & (acc["len"] >= combine))
-            | (acc["len"] >= soft) | (acc["len"] + 2 + n > hard)
-        )
-        return F.struct(
-            F.when(opens, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"),
-            (acc["at"] + 1).alias("at"),
-            F.when(opens, n).otherwise(acc["len"] + 2 + n).alias("len"),
-        )
-
-    return F.aggregate(elements, start, step, lambda acc: acc["starts"])
+def title_chunks_of(elements: list[dict] | None, own_page: int | None, hard: int, soft: int,
+                    combine: int) -> list[tuple[int, str, int | None, str | None]]:
+    """(index, text, page, title) of a greedy fill; elements longer than ``hard`` are cut first."""
+    found: list[tuple[int, str, int | None, str | None]] = []
+    parts: list[str] = []
+    page = title = latest = None
+    length = 0
+
+    def close() -> None:
+        if parts:
+            found.append((len(found), "\n\n".join(parts), own_page if page is None else page, title))
+
+    for element in elements or []:
+        whole = element["text"] or ""
+        for at in range(0, max(1, len(whole)), hard):
+            text = whole[at:at + hard]
+            is_title = element["kind"] == "Title"
+            if is_title:
+                latest = text
+            if not parts or (is_title and length >= combine) or length >= soft or length + 2 + len(text) > hard:
+                close()
+                parts, page, title, length = [], None, latest, -2
+            parts.append(text)
+            length += 2 + len(text)
+            if page is None:
+                page = element["page"]
+    close()
+    return found
 
 
 def title_chunks(docs: DataFrame, hard: int = TITLE_MAX, soft: int = TITLE_SOFT,
@@ -124,65 +109,37 @@ def title_chunks(docs: DataFrame, hard: int = TITLE_MAX, soft: int = TITLE_SOFT,
     Adds chunk_index, chunk_text, page_number (first page among the parts, else ``own_page`` when the
     input carries one) and section_title (nearest title at or before the chunk's first element).
     """
-    own = F.col("own_page") if "own_page" in docs.columns else F.lit(None).cast("int")
     keep = [c for c in docs.columns if c not in ("elements", "text", "own_page")]
-    e = F.col("_e")
-    first, after = F.col("_first"), F.col("_after")
-    parts = F.slice(e, first + 1, after - first)
-    pages = F.filter(F.transform(parts, lambda p: p["page"]), lambda p: p.isNotNull())
-    titles = F.filter(F.slice(e, F.lit(1), first + 1), lambda p: p["kind"] == "Title")
-    return (
-        docs.withColumn("_e", _split_long(F.col("elements"), hard)).withColumn("_own", own)
-        .withColumn("_starts", chunk_starts(e, hard, soft, combine))
-        .transform(posexplode_rows, [*keep, "_e", "_own", "_starts"], "_starts", "chunk_index", "_first")
-        .withColumn("_after", F.coalesce(F.try_element_at("_starts", F.col("chunk_index") + 2), F.size("_e")))
-        .select(
-            *keep, "chunk_index",
-            F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("chunk_text"),
-            F.coalesce(F.try_element_at(pages, F.lit(1)), F.col("_own")).alias("page_number"),
-            F.try_element_at(titles, F.lit(-1))["text"].alias("section_title"),
-        )
-    )
+    own = docs if "own_page" in docs.columns else docs.withColumn("own_page", F.lit(None).cast("int"))
+    return expand_rows(own, keep, ["elements", "own_page"],
+                       lambda elements, page: title_chunks_of(elements, page, hard, soft, combine),
+                       "chunk_index int, chunk_text string, page_number int, section_title string")
 
 
 def window_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Fixed windows of ``size`` characters that share ``overlap`` characters with the one before."""
-    keep = [c for c in docs.columns if c != "text"]
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - overlap), F.lit(size - overlap))
-    return (
-        docs.select(*keep, "text", F.posexplode(starts).alias("chunk_index", "_s"))
-        .select(*keep, "chunk_index", F.substring("text", F.col("_s"), F.lit(size)).alias("chunk_text"))
-    )
+    def windows(text: str | None) -> list[tuple[int, str]]:
+        if text is None:
+            return []
+        return [(i, text[at:at + size]) for i, at in enumerate(range(0, max(1, len(text) - overlap), size - overlap))]
+
+    return expand_rows(docs, [c for c in docs.columns if c != "text"], ["text"], windows, "chunk_index int, chunk_text string")
 
 
 def sentence_chunks(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     """Sentences packed by running length; from the second chunk on, each opens with the sentence before it."""
-    keep = [c for c in docs.columns if c != "text"]
-    parts = F.filter(F.transform(sentences(F.col("text")), strip), lambda s: s != "")
-    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"),
-                     F.lit(0).cast("long").alias("total"), F.lit(-1).cast("long").alias("bucket"))
-
-    def step(acc, s):
-        bucket = F.floor(acc["total"] / size)
-        return F.struct(
-            F.when(bucket == acc["bucket"], acc["starts"])
-            .otherwise(F.concat(acc["starts"], F.array(acc["at"]))).alias("starts"),
-            (acc["at"] + 1).alias("at"),
-            (acc["total"] + F.length(s) + 2).alias("total"),
-            bucket.alias("bucket"),
-        )
-
-    first, after = F.col("_first"), F.col("_after")
-    lead = F.greatest(first, F.lit(1))
-    return (
-        docs.withColumn("_p", parts)
-        .withColumn("_starts", F.aggregate("_p", start, step, lambda acc: acc["starts"]))
-        .transform(posexplode_rows, [*keep, "_p", "_starts"], "_starts", "chunk_index", "_first")
-        .withColumn("_after", F.coalesce(F.try_element_at("_starts", F.col("chunk_index") + 2), F.size("_p")))
-        .select(*keep, "chunk_index",
-                F.concat(F.array_join(F.slice("_p", lead, after - lead + 1), ". "), F.lit(".")).alias("chunk_text"),
-                (after - first).alias("n_sentences"))
-    )
+    def packed(text: str | None) -> list[tuple[int, str, int]]:
+        parts = [p for p in (s.strip(SPACES) for s in SENTENCE_END.split(text or "")) if p]
+        starts, total, bucket = [], 0, -1
+        for at, part in enumerate(parts):
+            if total // size != bucket:
+                bucket = total // size
+                starts.append(at)
+            total += len(part) + 2
+        return [(i, ". ".join(parts[max(a - 1, 0):b]) + ".", b - a) for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(parts)]))]
+
+    return expand_rows(docs, [c for c in docs.columns if c != "text"], ["text"], packed,
+                       "chunk_index int, chunk_text string, n_sentences int")
 
 
 def chunk_id(name: Column, index: Column, text: Column) -> Column:
@@ -205,12 +162,3 @@ def section_path(df: DataFrame, path: str = "path", kind: Column | None = None)
 
 def drop_blank(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
     return chunks.filter(strip(F.col(text)) != "")
-
-
-def text_preview(text: Column, n: int = 100) -> Column:
-    return F.substring(text, 1, n)
-
-
-def word_count(text: Column) -> Column:
-    return F.size(words(text))
-

@@ -4,51 +4,51 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from folioscope.functions.rows import explode_rows
-from folioscope.functions.text import squeeze, words
+from folioscope.functions.rows import expand_rows, explode_rows
+from folioscope.functions.text import SPACES
 
-_MARK = "\u0001"
+_SPACE = re.compile(f"[{SPACES}]+")
 
 
-def _starts(text: Column, needle: Column) -> Column:
-    """Start positions (from 0) of every occurrence, overlapping ones too."""
-    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
-    parts = F.split(F.regexp_replace(text, quoted, F.lit(_MARK)), _MARK, -1)
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"))
-    return F.aggregate(
-        F.slice(parts, F.lit(1), F.size(parts) - 1), start,
-        lambda acc, p: F.struct(F.concat(acc["at"], F.array(acc["n"] + F.length(p))).alias("at"),
-                                (acc["n"] + F.length(p)).alias("n")),
-        lambda acc: acc["at"],
-    )
+def _squeezed(text: str | None) -> str:
+    return _SPACE.sub(" ", text or "").strip(" ")
+
+
+def _starts(text: str, needle: str) -> list[int]:
+    """Start positions of every occurrence, overlapping ones too."""
+    found, at = [], text.find(needle)
+    while at >= 0:
+        found.append(at)
+        at = text.find(needle, at + 1)
+    return found
+
+
+def spans_of(document: str | None, needle: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, text) of a needle in a document; positions count in the squeezed document."""
+    text, needle = _squeezed(document), _squeezed(needle)
+    if not text or not needle:
+        return []
+    exact = [(at, at + len(needle)) for at in _starts(text, needle)]
+    lead = needle.split(" ")[:3]
+    if not exact and len(lead) == 3:
+        for at in _starts(text, " ".join(lead)):
+            dot = text.find(".", at)
+            exact.append((at, dot if dot >= 0 else min(at + 2 * len(needle), len(text))))
+    return [(a, b, text[a:b].strip(" ")) for a, b in exact]
 
 
 def find_spans(rows: DataFrame, document: str = "text", needle: str = "needle") -> DataFrame:
     """One row per span: start, end, span_text; positions count in the white-space-squeezed document.
 
     Exact occurrences first. Without any, and from three words on, the first three words are looked
-    for and the span runs to the next '.', else twice the needle's length.
+    for and the span runs to the next '.', else twice the needle's length. Linear in the document and its hits.
     """
-    keep = [c for c in rows.columns if c not in (document, needle)]
-    base = rows.select(*keep, squeeze(F.col(document)).alias("_d"), squeeze(F.col(needle)).alias("_n"))
-    base = base.filter((F.col("_n") != "") & (F.col("_d") != ""))
-    exact = base.withColumn("_at", _starts(F.col("_d"), F.col("_n")))
-    w = words(F.col("_n"))
-    lead = F.when((F.size("_at") == 0) & (F.size(w) >= 3), F.array_join(F.slice(w, 1, 3), " "))
-    loose = exact.withColumn("_lead", lead)
-    both = loose.withColumn("_hits", F.when(F.col("_lead").isNull(), F.col("_at")).otherwise(
-        _starts(F.col("_d"), F.coalesce("_lead", F.lit(_MARK)))))
-    hit = explode_rows(both, [*keep, "_d", "_n", "_lead"], "_hits", "start")
-    dot = F.expr("locate('.', _d, start + 1)") - 1
-    end = F.when(F.col("_lead").isNull(), F.col("start") + F.length("_n")).when(dot >= 0, dot).otherwise(
-        F.least(F.col("start") + F.length("_n") * 2, F.length("_d")))
-    spanned = hit.withColumn("end", end)
-    return spanned.select(*keep, "start", "end", F.trim(
-        F.substring("_d", F.col("start") + 1, F.col("end") - F.col("start"))).alias("span_text"))
+    return expand_rows(rows, [c for c in rows.columns if c not in (document, needle)], [document, needle], spans_of,
+                       "start int, end int, span_text string")
 
 
 def phrase_scan(docs: DataFrame, key: str, phrases: list[str], text: str = "text") -> DataFrame:

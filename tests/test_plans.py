@@ -22,10 +22,15 @@ def test_every_query_is_named_and_most_have_sql():
 
 def test_expression_operators_stay_in_the_jvm(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    for df in (chunking.sectionize(docs), chunking.window_chunks(docs), chunking.sentence_chunks(docs),
-               enrich.semantic_type(docs, "text")):
+    text = plan(enrich.semantic_type(docs, "text"))
+    assert "Python" not in text and "Arrow" not in text and "Exchange" not in text
+
+
+def test_chunkers_are_one_arrow_pass_without_a_shuffle(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for df in (chunking.sectionize(docs), chunking.window_chunks(docs), chunking.sentence_chunks(docs)):
         text = plan(df)
-        assert "Python" not in text and "Arrow" not in text and "Exchange" not in text
+        assert text.count("MapInArrow") == 1 and "EvalPython" not in text and "Exchange" not in text
 
 
 def test_scan_reads_only_needed_columns(spark):

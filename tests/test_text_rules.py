@@ -133,3 +133,35 @@ def test_text_files(spark):
     assert [(r.filename, r.text) for r in good.collect()] == [("a.TXT", "hé")]
     assert {r.filename: r.reason for r in bad.collect()} == {
         "b.md": "not utf-8", "c.pdf": "unsupported type", "d.txt": "no content", "e.txt": "too large"}
+
+
+def test_chunking_is_linear_in_the_document():
+    """Four times the lines take about four times as long; the bound leaves room for a noisy machine."""
+    import time
+
+    from folioscope.operators.chunking import sections_of, title_chunks_of
+    from folioscope.operators.spans import spans_of
+
+    def seconds(fn):
+        best = 1e9
+        for _ in range(3):
+            t = time.thread_time()
+            fn()
+            best = min(best, time.thread_time() - t)
+        return best
+
+    def body(n):
+        return "\n".join("some words in a line of text number " + str(i % 10) + ("\n" if i % 3 == 0 else "") for i in range(n))
+
+    small, large = body(16_000), body(64_000)
+    for fn in (sections_of, lambda t: spans_of(t, "in a line"),
+               lambda t: title_chunks_of([{"kind": "Title" if i % 9 == 0 else "T", "text": x, "page": None} for i, x in enumerate(t.split("\n"))], None, 1000, 800, 500)):
+        assert seconds(lambda fn=fn: fn(large)) < 9 * seconds(lambda fn=fn: fn(small))
+
+
+def test_a_very_long_document_is_chunked(spark):
+    body = "\n".join(f"line {i} of a long document that has very many lines in it" for i in range(64_000))
+    docs = spark.createDataFrame([(1, body)], "doc_id long, text string")
+    assert chunking.window_chunks(docs).count() == -(-(len(body) - 50) // 450)
+    assert chunking.title_chunks(chunking.line_elements(docs)).agg(F.max("chunk_index")).first()[0] > 3000
+    assert chunking.sectionize(docs).count() == 1 and chunking.sentence_chunks(docs).count() == 1
