@@ -176,15 +176,6 @@ NEGATIVE_CUES = ["not used", "irrelevant", "unrelated", "not relevant", "not a s
 RERANK_WEIGHTS = {"llm": 0.89, "initial": 0.11}
 RERANK_GAP = 0.1
 
-# --- fixed values: prompt template ---------------------------------------------------------
-PROMPTS = {
-    "document_query": (
-        "Answer the question based on the provided chunks of text.\n\n"
-        "Context:\n{context}\n\nQuestion: {query}\n\n"
-        "Answer: <answer>\nUsed chunks: [X from FILENAME, Y from FILENAME]"
-    ),
-}
-
 # --- fixed values: limits ------------------------------------------------------------------
 MAX_BYTES = 50 * 1024 * 1024
 TEXT_EXTENSIONS = ["txt", "md"]

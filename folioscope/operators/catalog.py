@@ -37,11 +37,14 @@ def missing_index(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", text
 
 
 def access_semi_join(rows: DataFrame, membership: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows (with group_id) that the asked users (user_id, role) may read: all for an 'admin', else their groups'."""
-    if not asked.filter("role = 'admin'").isEmpty():
-        return rows
-    groups = membership.join(asked, "user_id", "left_semi").select("group_id").distinct()
-    return rows.join(groups, "group_id", "left_semi")
+    """user_id and the rows (with group_id) that each asked user (user_id, role) may read: all for an 'admin', else their groups'.
+
+    Users meet groups first and single rows last; an admin's permission is one row for each group.
+    """
+    groups = rows.select("group_id").distinct()
+    own = membership.join(asked.filter("role <> 'admin' or role is null"), "user_id", "left_semi").select("user_id", "group_id").distinct()
+    every = asked.filter("role = 'admin'").select("user_id").distinct().crossJoin(groups)
+    return rows.join(own.unionByName(every), "group_id")
 
 
 def access_counts(rows: DataFrame, membership: DataFrame, users: DataFrame) -> DataFrame:
@@ -92,8 +95,9 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
                                                 F.sum(F.length("chunk_text")).alias("n_chars"))
 
 
-def language_mix(rows: DataFrame, scope: str, langs: list[str]) -> DataFrame:
-    return rows.groupBy(scope).pivot("lang", langs).agg(F.count(F.lit(1))).na.fill(0)
+def language_mix(rows: DataFrame, scope: str) -> DataFrame:
+    """scope, lang, n: every language that occurs, null too."""
+    return rows.groupBy(scope, "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_tags(tags: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from folioscope.functions.text import squeeze, strip
 from folioscope.functions.vocab import (
-    DOCUMENT_PATTERNS, NEGATIVE_CUES, PROMPTS, SCORE_PATTERNS, USED_ENTRY, USED_SECTION, java_pattern,
+    DOCUMENT_PATTERNS, NEGATIVE_CUES, SCORE_PATTERNS, USED_ENTRY, USED_SECTION, java_pattern,
 )
 
 
@@ -49,11 +49,16 @@ def assemble_context(hits: DataFrame) -> DataFrame:
                                  lambda s: s["_line"]), "\n").alias("context"))
 
 
-def fill_prompt(contexts: DataFrame, template: str = "document_query") -> DataFrame:
-    """Adds prompt; an unknown template gives ''."""
-    text = F.lit(PROMPTS.get(template, ""))
-    return contexts.withColumn("prompt", F.replace(F.replace(text, F.lit("{query}"), F.col("query")),
-                                                   F.lit("{context}"), F.col("context")))
+def fill_prompt(contexts: DataFrame, templates: DataFrame) -> DataFrame:
+    """Adds prompt from ``templates`` (name, body) by the rows' ``template``; an unknown template gives ''.
+
+    The body is cut at its placeholders and every cut is filled once, so a question that itself holds a
+    placeholder is left as it is.
+    """
+    bodies = templates.select(F.col("name").alias("template"), F.split("body", r"(?=\{query\}|\{context\})|(?<=\{query\}|\{context\})", -1).alias("_parts"))
+    filled = F.transform("_parts", lambda p: F.when(p == "{query}", F.col("query")).when(p == "{context}", F.col("context")).otherwise(p))
+    return contexts.join(bodies, "template", "left").withColumn(
+        "prompt", F.coalesce(F.array_join(filled, "", ""), F.lit(""))).drop("_parts")
 
 
 def parse_context(contexts: DataFrame) -> DataFrame:

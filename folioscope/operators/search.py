@@ -224,8 +224,8 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int, planes=
             import pandas as pd
 
             q = np.asarray(vecs, dtype=np.float64)
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
-            best = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(ids)
+            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            best: list = [None] * len(ids)  # scores and ids, of the ids' own type
             if planes is not None:
                 tables, bits, seed = planes
                 normals = np.random.default_rng(seed).standard_normal((q.shape[1], tables * bits))
@@ -236,8 +236,11 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int, planes=
                 if not len(pdf):
                     continue
                 v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                vid = pdf["vec_id"].to_numpy()
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                some = norm[:, 0] > 0  # a zero vector is near to nothing
+                v, vid = v[some] / norm[some], np.array(pdf["vec_id"].tolist())[some]
+                if not len(v):
+                    continue
                 v_code = code(v) if planes is not None else None
                 sims = None if planes is not None else np.round(q @ v.T, 6)
                 for i in range(len(ids)):
@@ -246,10 +249,11 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int, planes=
                     else:
                         near = (v_code == q_code[i]).any(axis=1)
                         s, n = np.round(v[near] @ q[i], 6), vid[near]
-                    s, n = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], n])
+                    if best[i] is not None:
+                        s, n = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], n])
                     keep = np.lexsort((n, -s))[:k]
                     best[i] = (s[keep], n[keep])
-            out = [(ids[i], int(n), float(s)) for i in range(len(ids)) for s, n in zip(*best[i])]
+            out = [(ids[i], n.item(), float(s)) for i in range(len(ids)) if best[i] is not None and q[i].any() for s, n in zip(*best[i])]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
         results.append(vectors.select("vec_id", "embedding").mapInPandas(

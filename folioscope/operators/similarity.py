@@ -39,20 +39,18 @@ def _idf(n: Column, df: Column) -> Column:
 
 
 def pair_cosine(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """keys, cosine of tf-idf vectors; the frequencies come from all texts on both sides."""
-    sides = pairs.select(*keys, a, b).repartition(*keys).select(*keys, F.explode(F.array(
-        F.struct(F.lit(1).alias("side"), F.col(a).alias("t")), F.struct(F.lit(2).alias("side"), F.col(b).alias("t")),
-    )).alias("s"))
-    terms = explode_rows(sides, [*keys, F.col("s.side").alias("side")], tokens(F.col("s.t")), "term")
-    tf = terms.groupBy(*keys, "term").agg(
-        F.count(F.when(F.col("side") == 1, 1)).alias("ta"), F.count(F.when(F.col("side") == 2, 1)).alias("tb"))
-    df = tf.groupBy("term").agg(F.sum((F.col("ta") > 0).cast("int") + (F.col("tb") > 0).cast("int")).alias("df"))
-    total = pairs.agg((F.count(F.lit(1)) * 2).alias("n"))
-    scored = tf.join(df, "term").join(F.broadcast(total))  # one-row side
-    wa, wb = F.col("ta") * _idf(F.col("n"), F.col("df")), F.col("tb") * _idf(F.col("n"), F.col("df"))
+    """keys, cosine of the two texts' tf-idf vectors over these two texts alone: a pair's score has no other input."""
+    def shares(name: str, side: int) -> Column:
+        return F.transform(tokens(F.col(name)), lambda t: F.struct(t.alias("term"), F.lit(side).alias("side")))
+
+    terms = explode_rows(pairs.filter(F.col(a).isNotNull() | F.col(b).isNotNull()), keys,
+                         F.concat(F.coalesce(shares(a, 1), F.array()), F.coalesce(shares(b, 2), F.array())), "s")
+    tf = terms.groupBy(*keys, F.col("s.term").alias("term")).agg(
+        F.count(F.when(F.col("s.side") == 1, 1)).alias("ta"), F.count(F.when(F.col("s.side") == 2, 1)).alias("tb"))
+    idf = _idf(F.lit(2), (F.col("ta") > 0).cast("int") + (F.col("tb") > 0).cast("int"))
+    wa, wb = F.col("ta") * idf, F.col("tb") * idf
     norm = F.sqrt(F.sum(wa * wa)) * F.sqrt(F.sum(wb * wb))
-    return scored.groupBy(*keys).agg(
-        F.when(norm > 0, F.sum(wa * wb) / norm).otherwise(F.lit(0.0)).alias("cosine"))
+    return tf.groupBy(*keys).agg(F.when(norm > 0, F.sum(wa * wb) / norm).otherwise(F.lit(0.0)).alias("cosine"))
 
 
 def combined_similarity(pairs: DataFrame, keys: list[str], a: str, b: str, name: str = "similarity") -> DataFrame:

@@ -77,12 +77,15 @@ def _missing(spark, sf):
     return catalog.missing_index(documents(spark, sf), vectors).select("doc_id", "source")
 
 
-@query("access_semi_join", f"""WITH {PEOPLE} SELECT doc_id, group_id FROM gd WHERE group_id IN (
-  SELECT group_id FROM mb JOIN us USING (user_id) WHERE role <> 'admin' AND c_mktsegment = 'MACHINERY')""")
+@query("access_semi_join", f"""WITH {PEOPLE}, asked AS (SELECT user_id, role FROM us JOIN customer ON c_custkey = user_id
+  WHERE customer.c_mktsegment = 'MACHINERY'),
+per AS (SELECT DISTINCT user_id, group_id FROM mb JOIN asked USING (user_id) WHERE role <> 'admin'
+  UNION SELECT user_id, group_id FROM asked, (SELECT DISTINCT group_id FROM gd) WHERE role = 'admin')
+SELECT user_id, doc_id, group_id FROM gd JOIN per USING (group_id)""")
 def _access(spark, sf):
     machinery = read_table(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("user_id"))
-    asked = users(spark, sf).join(machinery, "user_id", "left_semi").filter("role <> 'admin'")
-    return catalog.access_semi_join(group_documents(spark, sf), membership(spark, sf), asked).select("doc_id", "group_id")
+    asked = users(spark, sf).join(machinery, "user_id", "left_semi")
+    return catalog.access_semi_join(group_documents(spark, sf), membership(spark, sf), asked).select("user_id", "doc_id", "group_id")
 
 
 @query("access_counts", f"""WITH {PEOPLE}, pg AS (SELECT group_id, count(*) AS n FROM gd GROUP BY 1),
@@ -148,11 +151,9 @@ def _chunk_counts(spark, sf):
     return catalog.chunk_counts(chunks(spark, sf))
 
 
-@query("language_mix", """
-SELECT source, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'fr') AS fr, count(*) FILTER (WHERE lang = 'de') AS de,
-  count(*) FILTER (WHERE lang = 'es') AS es FROM documents GROUP BY 1""")
+@query("language_mix", "SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2")
 def _language_mix(spark, sf):
-    return catalog.language_mix(documents(spark, sf), "source", ["en", "fr", "de", "es"])
+    return catalog.language_mix(documents(spark, sf), "source")
 
 
 @query("topk_per_key", """

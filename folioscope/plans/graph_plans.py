@@ -107,11 +107,13 @@ def _final(spark, sf):
     return edges.unionByName(shared)
 
 
-@query("graph_cleanup", _q("""SELECT id, type FROM gn WHERE id IN (SELECT src FROM re UNION SELECT dst FROM re UNION SELECT src FROM ae)"""))
+@query("graph_cleanup", _q("""SELECT 'node' AS kind, id AS src, NULL AS dst, type FROM gn WHERE id IN (SELECT src FROM fe UNION SELECT dst FROM fe)
+UNION ALL SELECT DISTINCT 'edge', src, dst, type FROM fe WHERE type <> 'keyword'"""))
 def _cleanup(spark, sf):
-    g = build(spark, sf)
-    nodes, _ = graph.graph_cleanup(g.nodes, g.reference.unionByName(g.adjacent).unionByName(g.adjacent))
-    return nodes.select("id", "type")
+    g = build(spark, sf, keep=True)
+    nodes, edges = graph.graph_cleanup(g.nodes, g.edges, g.hubs)
+    return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), "type").unionByName(
+        edges.select(F.lit("edge").alias("kind"), "src", "dst", "type"))
 
 
 # strongly connected components by mutual reach

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.functions.vocab import PROMPTS, SCORE_PATTERNS, USED_ENTRY, USED_SECTION
+from folioscope.functions.vocab import SCORE_PATTERNS, USED_ENTRY, USED_SECTION
 from folioscope.operators import context, enrich, search, spans
 from folioscope.operators.windows import with_neighbours
 from folioscope.plans.inputs import chunks, documents, texts
@@ -193,13 +193,23 @@ lined AS (SELECT query_id, drank, rank, CASE WHEN rank = drank THEN '=== From Do
 ctx AS (SELECT query_id, string_agg(line, chr(10) ORDER BY drank, rank) AS context FROM lined GROUP BY 1)"""
 
 
+#: Sample bodies; a question picks one by its number, and number 2 has none.
+TEMPLATES = {"plain": "Read this.\n{context}\nThen say: {query}", "short": "{query}\n---\n{context}"}
+_TEMPLATE_SQL = "CASE item_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'short' ELSE 'missing' END"
+
+
 @query("assemble_context", f"""WITH {HITS_SQL}, {_CONTEXT_SQL}
-SELECT query_id, context, replace(replace({lit(PROMPTS['document_query'])}, '{{query}}', text), '{{context}}', context) AS prompt
+SELECT query_id, {_TEMPLATE_SQL} AS template, context,
+  CASE item_id % 3 WHEN 0 THEN 'Read this.' || chr(10) || context || chr(10) || 'Then say: ' || text
+    WHEN 1 THEN text || chr(10) || '---' || chr(10) || context ELSE '' END AS prompt
 FROM ctx JOIN benchmark ON item_id = query_id""")
 def _assemble(spark, sf):
     built = context.assemble_context(hits_with_text(spark, sf))
-    asked = questions(spark, sf).withColumnRenamed("text", "query")
-    return context.fill_prompt(built.join(asked, "query_id")).drop("query")
+    kind = F.col("query_id") % 3
+    asked = questions(spark, sf).withColumnRenamed("text", "query").withColumn(
+        "template", F.when(kind == 0, "plain").when(kind == 1, "short").otherwise("missing"))
+    templates = spark.createDataFrame(list(TEMPLATES.items()), "name string, body string")
+    return context.fill_prompt(built.join(asked, "query_id"), templates).drop("query")
 
 
 @query("parse_context", f"""WITH {HITS_SQL}

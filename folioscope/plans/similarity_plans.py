@@ -38,9 +38,7 @@ def _cosine_sql(name: str, src: str, keys: str, a: str, b: str) -> str:
     return f"""
 {name}_t AS (SELECT {keys}, 1 AS side, unnest({tokens_sql(a)}) AS term FROM {src} UNION ALL SELECT {keys}, 2, unnest({tokens_sql(b)}) FROM {src}),
 {name}_f AS (SELECT {keys}, term, count(*) FILTER (WHERE side = 1) AS ta, count(*) FILTER (WHERE side = 2) AS tb FROM {name}_t GROUP BY ALL),
-{name}_d AS (SELECT term, sum((ta > 0)::INT + (tb > 0)::INT) AS df FROM {name}_f GROUP BY 1),
-{name}_w AS (SELECT {keys}, ta * i AS wa, tb * i AS wb FROM (SELECT *, ln((1e0 + 2 * (SELECT count(*) FROM {src})) / (1e0 + df)) + 1e0 AS i
-  FROM {name}_f JOIN {name}_d USING (term))),
+{name}_w AS (SELECT {keys}, ta * i AS wa, tb * i AS wb FROM (SELECT *, ln(3e0 / (1e0 + (ta > 0)::INT + (tb > 0)::INT)) + 1e0 AS i FROM {name}_f)),
 {name} AS (SELECT {keys}, CASE WHEN sum(wa * wa) > 0 AND sum(wb * wb) > 0 THEN sum(wa * wb) / (sqrt(sum(wa * wa)) * sqrt(sum(wb * wb))) ELSE 0e0 END AS cosine
   FROM {name}_w GROUP BY {keys})"""
 

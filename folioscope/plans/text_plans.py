@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import (
-    char_ngrams, key_phrases, normalize_text, word_ngrams,
+    char_ngrams, extension, key_phrases, normalize_text, word_ngrams,
 )
 from folioscope.functions.vocab import MAX_BYTES, NO_INFO_PHRASES
 from folioscope.operators import build, chunking, enrich, predicates
@@ -15,15 +15,19 @@ from folioscope.plans.sql_parts import (
     CHUNKS, ELEMENTS, TITLE_CHUNKS, char_grams_sql, importance_weight_sql, key_phrases_sql, language_sql, lit,
     normalize_list_sql, semantic_sql, trim_sql, word_grams_sql,
 )
-from folioscope.session import read_table, spread
+from folioscope.session import read_table, scratch_path, spread
 from folioscope.sources import corpus, html
 
 
 @query("read_corpus", """
-SELECT source AS group_id, count(*) AS n_documents, sum(length(text))::BIGINT AS n_chars,
-       count(DISTINCT lang) AS n_langs FROM documents GROUP BY 1""")
+SELECT source AS group_id, (strlen(text) + 1)::BIGINT AS n_bytes, sha256(text || chr(10)) AS content_sha256, 'txt' AS extension FROM documents""")
 def _read_corpus(spark, sf):
-    return corpus.group_summary(documents(spark, sf))
+    """Every document as a text file below its group's folder, read back as files."""
+    root = scratch_path(spark, "corpus")
+    documents(spark, sf).select("text", F.col("source").alias("group_id")).repartition("group_id").write.partitionBy("group_id").option(
+        "maxRecordsPerFile", 1).text(root)
+    return corpus.read_corpus(spark, root).select(
+        "group_id", "n_bytes", F.sha2("content", 256).alias("content_sha256"), extension(F.col("filename")).alias("extension"))
 
 
 @query("size_guard", """
@@ -36,13 +40,14 @@ def _size_guard(spark, sf):
 _HTML = r"""
 clean AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g') AS h
   FROM pages),
-blocks AS (SELECT page_id, unnest(b) AS block, generate_subscripts(b, 1) AS i
-  FROM (SELECT page_id, regexp_extract_all(h, '(?is)<(?:title|h[1-6]|p|li)(?:\s[^>]*)?>.*?</(?:title|h[1-6]|p|li)>') AS b FROM clean)),
-parts AS (SELECT page_id, i, lower(regexp_extract(block, '^<([A-Za-z0-9]+)', 1)) AS tag,
-  trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(block, '<[^>]*>', ' ', 'g'),
+marked AS (SELECT page_id, string_split(regexp_replace(h, '(?i)<(/?(?:""" + html.BLOCK_TAGS + r"""))\b[^>]*>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS b FROM clean),
+blocks AS (SELECT page_id, unnest(b) AS piece, generate_subscripts(b, 1) AS i FROM marked),
+parts AS (SELECT page_id, i, CASE WHEN contains(piece, chr(2)) THEN lower(split_part(piece, chr(2), 1)) ELSE '' END AS tag,
+  trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(
+   CASE WHEN contains(piece, chr(2)) THEN split_part(piece, chr(2), 2) ELSE piece END, '<[^>]*>', ' ', 'g'),
    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM blocks),
 els AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos,
-  CASE WHEN tag = 'title' OR starts_with(tag, 'h') THEN 'Title' WHEN tag = 'li' THEN 'ListItem' ELSE 'NarrativeText' END AS kind, text
+  CASE WHEN regexp_full_match(tag, 'title|h[1-6]') THEN 'Title' WHEN tag = 'li' THEN 'ListItem' ELSE 'NarrativeText' END AS kind, text
   FROM parts WHERE text <> '')"""
 
 
@@ -97,9 +102,9 @@ def _ownership(spark, sf):
 
 
 @query("target_document", """
-WITH asked AS (SELECT conv_id AS query_id, conv_id % 150 AS user_id,
+WITH asked AS (SELECT conv_id * 1000000 + turn AS query_id, conv_id % 150 AS user_id,
     CASE WHEN conv_id % 3 = 0 THEN text ELSE '@' || (conv_id % 12) || ' ' || text END AS text
-  FROM conversations WHERE turn = 0 OR (turn = 1 AND role = 'user')),
+  FROM conversations WHERE role = 'user'),
 docs AS (SELECT doc_id % 150 AS user_id, doc_id AS ord, doc_id || '_' || source || '.TXT' AS filename FROM documents),
 parts AS (SELECT *, starts_with(text, '@') AS tagged, regexp_extract(text, '^@(\\S*)', 1) AS prefix FROM asked),
 hit AS (SELECT q.query_id, arg_min(d.filename, d.ord) AS filename FROM parts q JOIN docs d
@@ -107,9 +112,9 @@ hit AS (SELECT q.query_id, arg_min(d.filename, d.ord) AS filename FROM parts q J
 SELECT query_id, filename, CASE WHEN tagged THEN regexp_extract(text, '^@\\S* ?((?s).*)$', 1) ELSE text END AS query_text,
        CASE WHEN filename IS NULL THEN 'no document' END AS error FROM parts LEFT JOIN hit USING (query_id)""".replace("\\\\", "\\"))
 def _target_document(spark, sf):
-    conv = read_table(spark, sf, "conversations").filter("turn = 0 or (turn = 1 and role = 'user')")
+    conv = read_table(spark, sf, "conversations").filter("role = 'user'")
     asked = conv.select(
-        F.col("conv_id").alias("query_id"), (F.col("conv_id") % 150).alias("user_id"),
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("query_id"), (F.col("conv_id") % 150).alias("user_id"),
         F.when(F.col("conv_id") % 3 == 0, F.col("text"))
         .otherwise(F.concat(F.lit("@"), F.col("conv_id") % 12, F.lit(" "), F.col("text"))).alias("text"))
     docs = documents(spark, sf).select(
@@ -334,10 +339,14 @@ kl AS (SELECT chunk_id, string_agg(keyword, '; ' ORDER BY rn) AS keywords FROM k
 SELECT chunk_id, chunk_text AS text, doc_id, chunk_index, coalesce(path_parts[-1], 'Uncategorized') AS section_title, path_parts[-2] AS parent_section,
   semantic_type, coalesce(keywords, '') AS keywords, page_number, coalesce(ref_count, 0) AS ref_count,
   round(0.3e0 * least(coalesce(ref_count, 0) / 10e0, 1e0) + 0.2e0 * (1e0 - chunk_index / 100e0) + 0.5e0 * {importance_weight_sql('semantic_type')}, 6) AS importance_score,
-  lang AS language FROM st LEFT JOIN deg USING (chunk_id) LEFT JOIN kl USING (chunk_id)""")
+  lang AS language, NULL::VARCHAR AS rejected FROM st LEFT JOIN deg USING (chunk_id) LEFT JOIN kl USING (chunk_id)
+UNION ALL SELECT NULL, NULL, doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, lang,
+  CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' ELSE 'too large' END FROM documents WHERE text IS NULL OR trim(text) = '' OR strlen(text) > 52428800""")
 def _chunk_build(spark, sf):
-    usable, _ = build.split_usable(texts(spark, sf))
-    return build.chunk_build(usable).select(
+    usable, rejected = build.split_usable(texts(spark, sf))
+    built = build.chunk_build(usable).select(
         "chunk_id", "text", "doc_id", "chunk_index", "section_title", "parent_section", "semantic_type",
         F.array_join("keywords", "; ").alias("keywords"), "page_number", "ref_count",
-        F.round("importance_score", 6).alias("importance_score"), F.col("metadata")["language"].alias("language"))
+        F.round("importance_score", 6).alias("importance_score"), F.col("metadata")["language"].alias("language"),
+        F.lit(None).cast("string").alias("rejected"))
+    return built.unionByName(rejected.select("doc_id", F.col("lang").alias("language"), F.col("reason").alias("rejected")), allowMissingColumns=True)

@@ -45,9 +45,3 @@ def size_guard(docs: DataFrame, text: str = "text", limit: int = MAX_BYTES) -> t
     """(accepted, rejected) by payload bytes."""
     sized = docs.withColumn("n_bytes", F.octet_length(text)).withColumn("accepted", F.col("n_bytes") <= limit)
     return sized.filter("accepted"), sized.filter("not accepted")
-
-
-def group_summary(docs: DataFrame) -> DataFrame:
-    return docs.groupBy(F.col("source").alias("group_id")).agg(
-        F.count(F.lit(1)).alias("n_documents"), F.sum(F.length("text")).alias("n_chars"),
-        F.count_distinct("lang").alias("n_langs"))

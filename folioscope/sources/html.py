@@ -9,7 +9,10 @@ from folioscope.functions.rows import posexplode_rows
 from folioscope.functions.text import squeeze
 
 _NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-_BLOCK = r"(?is)<(?:title|h[1-6]|p|li)(?:\s[^>]*)?>.*?</(?:title|h[1-6]|p|li)>"
+#: Tags that begin or end a block; all other tags stand inside one.
+BLOCK_TAGS = ("title|h[1-6]|p|li|ul|ol|dl|dt|dd|div|section|article|main|aside|nav|header|footer|body|head|html|table|caption|thead|tbody|tfoot|"
+              "tr|td|th|pre|blockquote|figure|figcaption|form|fieldset|address|details|summary|br|hr")
+_BLOCK = rf"(?i)<(/?(?:{BLOCK_TAGS}))\b[^>]*>"
 _LINK = r"""(?i)<a\s[^>]*href=["']([^"']*)["']"""
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
@@ -22,18 +25,18 @@ def _plain(fragment: Column) -> Column:
 
 
 def _elements(html: Column) -> Column:
-    blocks = F.regexp_extract_all(F.regexp_replace(html, _NOISE, " "), F.lit(_BLOCK), F.lit(0))
+    """The text between block tags, typed by the tag before it. No text is lost, however tags are nested or left open."""
+    marked = F.regexp_replace(F.regexp_replace(html, _NOISE, " "), _BLOCK, "\u0001$1\u0002")
 
-    def element(block):
-        tag = F.lower(F.regexp_extract(block, "^<([A-Za-z0-9]+)", 1))
+    def element(piece):
+        tag = F.when(piece.contains("\u0002"), F.lower(F.substring_index(piece, "\u0002", 1))).otherwise("")
         return F.struct(
-            F.when((tag == "title") | tag.startswith("h"), "Title")
-            .when(tag == "li", "ListItem").otherwise("NarrativeText").alias("kind"),
-            _plain(block).alias("text"),
+            F.when(tag.rlike("^(?:title|h[1-6])$"), "Title").when(tag == "li", "ListItem").otherwise("NarrativeText").alias("kind"),
+            _plain(F.substring_index(piece, "\u0002", -1)).alias("text"),
             F.lit(None).cast("int").alias("page"),
         )
 
-    return F.filter(F.transform(blocks, element), lambda e: e["text"] != "")
+    return F.filter(F.transform(F.split(marked, "\u0001", -1), element), lambda e: e["text"] != "")
 
 
 def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,20 +36,28 @@ def upsert_chunks(old: DataFrame, new: DataFrame, key: str = "chunk_id", version
 
 
 def without_documents(table: DataFrame, deletes: DataFrame) -> DataFrame:
-    """Rows whose (group_id, filename) is not in the delete list."""
-    return table.join(deletes.select("group_id", "filename").distinct(), ["group_id", "filename"], "left_anti")
+    """Rows whose (group_id, filename) is not in the delete list; nulls are values like any other."""
+    t, d = table.alias("t"), deletes.select("group_id", "filename").distinct().alias("d")
+    return t.join(d, F.col("t.group_id").eqNullSafe(F.col("d.group_id")) & F.col("t.filename").eqNullSafe(F.col("d.filename")), "left_anti")
 
 
 def delete_from_index(spark: SparkSession, path: str, deletes: DataFrame) -> None:
-    """Rewrites only the groups named in the delete list; a group left empty is removed."""
-    groups = deletes.select("group_id").distinct()
-    touched = spark.read.parquet(path).join(groups, "group_id", "left_semi")
-    kept = cut_lineage(without_documents(touched, deletes))  # written out before its source is replaced
+    """Rewrites only the groups named in the delete list; a group left without rows becomes an empty file.
+
+    The folder of such a group is the one that its files report, so a name that Spark escapes is found as it is written.
+    """
+    groups = deletes.select("group_id").distinct().alias("g")
+    named = F.col("t.group_id").eqNullSafe(F.col("g.group_id"))
+    table = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_path")).alias("t")
+    touched = cut_lineage(table.join(groups, named, "left_semi"))  # written out before its source is replaced
+    kept = without_documents(touched, deletes).drop("_file")
     write_index(kept, path)
-    empty = groups.join(kept.select("group_id").distinct(), "group_id", "left_anti")
-    for row in empty.toLocalIterator():  # partition names only
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/group_id={row[0]}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    folder = F.regexp_extract("_file", "^(.*)/[^/]*$", 1)
+    left = kept.select("group_id").distinct().alias("k")
+    emptied = touched.alias("t").join(left, F.col("t.group_id").eqNullSafe(F.col("k.group_id")), "left_anti").select(folder.alias("folder")).distinct()
+    nothing = kept.drop("group_id").limit(0)
+    for row in emptied.toLocalIterator():  # one row for each emptied group
+        nothing.write.mode("overwrite").parquet(unquote(row["folder"]))
 
 
 def append_feedback(rows: DataFrame, path: str) -> None:

@@ -56,6 +56,16 @@ def test_index_delete_and_rewrite(spark):
     assert [(r.group_id, r.filename) for r in spark.read.parquet(path).collect()] == [("g1", "b")]
 
 
+def test_index_delete_of_odd_group_names(spark):
+    path = scratch_path(spark, "test-index")
+    rows = spark.createDataFrame([("a:b", 1, "x"), ("a:b", 2, "y"), ("c/d e%", 3, "x"), (None, 4, "x"), (None, 5, None), ("z", 6, "x")],
+                                 "group_id string, doc_id long, filename string")
+    index_store.write_index(rows, path)
+    gone = [("a:b", "x"), ("a:b", "y"), ("c/d e%", "x"), (None, "x"), (None, None), ("q", "x")]
+    index_store.delete_from_index(spark, path, spark.createDataFrame(gone, "group_id string, filename string"))
+    assert [(r.group_id, r.doc_id) for r in spark.read.parquet(path).collect()] == [("z", 6)]
+
+
 def test_settings_json(spark):
     text = '{"default":"p0","groups":{"g1":"p1"},"retrieval_params":{"g2":{"chunks_per_doc":5}}}'
     got = {r.group_id: (r.provider, r.chunks_per_doc) for r in catalog_json.settings_rows(

@@ -123,3 +123,41 @@ def test_overlap_join_against_all_pairs(spark):
         if r.s > 0.75:
             want[(r.lid, r.rid)] = max(r.s, want.get((r.lid, r.rid), 0))
     assert want and found == want
+
+
+def test_knn_of_text_ids_and_zero_vectors(spark):
+    base = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("zero", [0.0, 0.0]), ("up", [0.0, 1.0])], "vec_id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 0.0])], "query_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r["rank"]) for r in search.knn_exact(base, q, 3).collect()]
+    assert sorted(got, key=lambda r: r[2]) == [(1, "a", 1), (1, "b", 2), (1, "up", 3)]
+
+
+def test_prompt_is_filled_once(spark):
+    rows = spark.createDataFrame([(1, "what is {context}?", "CTX {query}", "t"), (2, "q", "c", "none")], "id long, query string, context string, template string")
+    bodies = spark.createDataFrame([("t", "{context}|{query}|{query}{x}")], "name string, body string")
+    got = {r.id: r.prompt for r in context.fill_prompt(rows, bodies).collect()}
+    assert got == {1: "CTX {query}|what is {context}?|what is {context}?{x}", 2: ""}
+
+
+def test_a_pair_scores_the_same_in_any_company(spark):
+    pair, others = (1, "the red fox ran home", "the red dog ran away"), [(i, f"the fox {i} ran", f"red dog {i} home") for i in range(2, 40)]
+    score = lambda rows: {r.id: r.similarity for r in similarity.combined_similarity(
+        spark.createDataFrame(rows, "id long, a string, b string"), ["id"], "a", "b").collect()}
+    assert abs(score([pair])[1] - score([pair, *others])[1]) < 1e-12
+
+
+def test_an_admin_opens_rows_to_nobody_else(spark):
+    from folioscope.operators import catalog
+    rows = spark.createDataFrame([(1, "g"), (2, "h")], "doc_id long, group_id string")
+    member = spark.createDataFrame([(7, "g"), (7, "g"), (8, "x")], "user_id long, group_id string")
+    asked = spark.createDataFrame([(7, "user"), (8, None), (9, "admin")], "user_id long, role string")
+    got = sorted((r.user_id, r.doc_id) for r in catalog.access_semi_join(rows, member, asked).collect())
+    assert got == [(7, 1), (9, 1), (9, 2)]
+
+
+def test_no_visible_word_of_a_page_is_lost(spark):
+    from folioscope.sources import html
+    page = "<body>top<div class=ad>one <b>two</b></div><p>open <p>three<table><tr><td>x&amp;y</td></tr></table><pre>four</pre><script>gone</script><li>item</body>"
+    rows = html.html_elements(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("pos").collect()
+    assert [(r.kind, r.text) for r in rows] == [("NarrativeText", "top"), ("NarrativeText", "one two"), ("NarrativeText", "open"), ("NarrativeText", "three"),
+                                                ("NarrativeText", "x&y"), ("NarrativeText", "four"), ("ListItem", "item")]
