@@ -151,28 +151,24 @@ def indonesian_hits(text: Column) -> Column:
     return _count([low.rlike(java_pattern(rf"\b{p}\b")) for p in INDONESIAN_WORDS])
 
 
-def _profile(spark) -> DataFrame:
-    rows = [(lang, w) for lang, ws in STOP_WORDS.items() for w in sorted(set(ws.split()))]
-    return spark.createDataFrame(rows, "plang string, term string")
+def _listed(terms: list[str]) -> Column:
+    """How many of ``_tokens`` are in a fixed list."""
+    return F.size(F.filter("_tokens", lambda t: t.isin(terms)))
 
 
 def detect_language(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, lang, confidence, id_hits. ``keys`` must identify a row.
+    """keys, lang, confidence, id_hits; map-only, and linear in a text's words.
 
-    Word-pattern rule first, then the stop-word profile with the largest share of hits. A row's tokens
-    meet in its own task, so the shuffle carries one row per text.
+    Word-pattern rule first, then the stop-word profile with the largest share of hits.
     """
     body = strip(F.coalesce(F.col(text), F.lit("")))
-    # measured before the explode: next to it they would be worked out again for every token
-    measured = df.select(
+    # measured once, before the lists are matched
+    per_row = df.select(
         *keys, indonesian_hits(body).alias("id_hits"), F.size(words(body)).alias("n_words"),
         F.length(body).alias("n_chars"), tokens(body).alias("_tokens"))
-    base = measured.select(*keys, "id_hits", "n_words", "n_chars", F.explode_outer("_tokens").alias("term"))
     langs = list(STOP_WORDS)
-    matched = base.join(F.broadcast(_profile(df.sparkSession)), "term", "left")  # fixed word list
-    per_row = matched.groupBy(*keys).agg(
-        F.max("id_hits").alias("id_hits"), F.max("n_words").alias("n_words"), F.max("n_chars").alias("n_chars"),
-        *[F.count(F.when(F.col("plang") == lang, 1)).alias(f"_{lang}") for lang in langs])
+    lists = {lang: sorted(set(ws.split())) for lang, ws in STOP_WORDS.items()}
+    per_row = per_row.select(*keys, "id_hits", "n_words", "n_chars", *[_listed(lists[lang]).alias(f"_{lang}") for lang in langs])
     hits = F.array(*[F.col(f"_{lang}") for lang in langs])
     total = reduce(lambda a, b: a + b, [F.col(f"_{lang}") for lang in langs])
     guess = F.when(total > 0, F.element_at(F.array(*[F.lit(x) for x in langs]),

@@ -4,24 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from folioscope.plans.registry import query
 from folioscope.plans.sql_parts import CHUNKS
-from folioscope.session import scratch_path
+from folioscope.session import read_table, scratch_path
 from folioscope.streaming import live
 
 
 @query("feedback_stream", """
-WITH v AS (SELECT DISTINCT date_trunc('day', ts) AS d, user_id, event_type FROM events WHERE event_type IN ('click', 'error'))
-SELECT d::TIMESTAMP AS day, CASE event_type WHEN 'click' THEN 'like' ELSE 'dislike' END AS vote, count(*) AS n FROM v
-WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_type IN ('click', 'error')) - INTERVAL 1 HOUR GROUP BY ALL""")
+WITH v AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type, arg_min(ts, (ts, event_id)) AS ts
+  FROM events WHERE event_type IN ('click', 'error') GROUP BY user_id)
+SELECT date_trunc('day', ts)::TIMESTAMP AS day, CASE event_type WHEN 'click' THEN 'like' ELSE 'dislike' END AS vote, count(*) AS n FROM v GROUP BY ALL""")
 def _feedback(spark, sf):
-    events = live.read_files(spark, sf, "events.parquet").filter("event_type in ('click', 'error')")
-    votes = events.select("ts", F.concat_ws("-", "user_id", "event_type").alias("response_id"),
-                          F.when(F.col("event_type") == "click", "like").otherwise("dislike").alias("vote"))
+    """A user's events are votes on one response; files arrive in the order of the events' rank within their user."""
+    rated = read_table(spark, sf, "events").filter("event_type in ('click', 'error')")
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    votes = rated.select("ts", F.col("user_id").cast("string").alias("response_id"),
+                         F.when(F.col("event_type") == "click", "like").otherwise("dislike").alias("vote"), F.least(nth, F.lit(2)).alias("nth"))
     path = scratch_path(spark, "feedback-stream")
-    live.drain_to_files(live.feedback_counts(votes).select(F.col("span.start").alias("day"), "vote", "n"), path)
-    return spark.read.schema("day timestamp, vote string, n long").parquet(f"{path}/out")
+    votes.filter("nth = 1").drop("nth").coalesce(1).write.parquet(f"{path}/in")
+    live.with_closing_row(votes.filter("nth = 2").drop("nth"), f"{path}/in")
+    stream = live.read_files(spark, f"{path}/in", "*.parquet", per_batch=1).withColumn(
+        "response_id", F.coalesce("response_id", F.lit("closing row")))
+    live.drain_to_files(live.feedback_counts(stream, memory="365 days").select(F.col("span.start").alias("day"), "vote", "n"), path)
+    return spark.read.schema("day timestamp, vote string, n long").parquet(f"{path}/out").filter("vote is not null")
 
 
 @query("ingest_stream", f"WITH {CHUNKS} SELECT doc_id, source, lang, chunk_index, chunk_text, chunk_id FROM chunks")
@@ -47,10 +54,11 @@ def _last_used(spark, sf):
 WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
 e AS (SELECT user_id, min(ts)::TIMESTAMP AS opened, (max(ts) + INTERVAL 30 MINUTE)::TIMESTAMP AS closed, count(*) AS n FROM s GROUP BY user_id, k)
-SELECT * FROM e WHERE closed <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT * FROM e""")
 def _sessions(spark, sf):
-    events = live.read_files(spark, sf, "events.parquet").select("ts", "user_id")
     path = scratch_path(spark, "session-stream")
+    live.with_closing_row(read_table(spark, sf, "events").select("ts", "user_id"), f"{path}/in")
+    events = live.read_files(spark, f"{path}/in", "*.parquet", per_batch=1)
     live.drain_to_files(live.session_ends(events).select(
         "user_id", F.col("session.start").alias("opened"), F.col("session.end").alias("closed"), "n"), path)
     return spark.read.schema("user_id long, opened timestamp, closed timestamp, n long").parquet(f"{path}/out")

@@ -1,7 +1,8 @@
 """Stream-shaped behaviour: feedback counts, ingest, last use, session documents.
 
 Sources are folders of Parquet files. Results are complete up to the watermark: windows and sessions
-still open when the input ends stay in state, as they would in a running job.
+still open when the input ends stay in state, as they would in a running job. A closing row far behind the
+last event (``with_closing_row``) moves the watermark past them; it closes windows and is in none that is returned.
 """
 
 from __future__ import annotations
@@ -13,21 +14,33 @@ from folioscope.operators.chunking import chunk_id, window_chunks
 from folioscope.sources.index_store import upsert_chunks
 
 
-def read_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Stream over the files of ``folder`` that match ``name``, with the schema of those there now."""
+def read_files(spark: SparkSession, folder: str, name: str, per_batch: int | None = None) -> DataFrame:
+    """Stream over the files of ``folder`` that match ``name``, with the schema of those there now; oldest files first."""
     schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(folder)
+
+
+def with_closing_row(events: DataFrame, path: str, after: str = "400 days") -> None:
+    """Writes ``events`` (ts and others) as one file, then a second file with one row ``after`` the last event."""
+    events.coalesce(1).write.mode("append").parquet(path)
+    last = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr(f"INTERVAL {after}")).cast(events.schema["ts"].dataType).alias("ts"))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
+    last.select("ts", *rest).select(*events.columns).coalesce(1).write.mode("append").parquet(path)
 
 
 def _timed(events: DataFrame, delay: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def feedback_counts(votes: DataFrame, delay: str = "1 hour", span: str = "1 day") -> DataFrame:
-    """window, vote, n: votes per time window, one per response and window. ``votes``: ts, response_id, vote."""
-    placed = _timed(votes, delay).withColumn("span", F.window("ts", span))
-    once = placed.dropDuplicates(["response_id", "span"])
-    return once.groupBy("span", "vote").agg(F.count(F.lit(1)).alias("n"))
+def feedback_counts(votes: DataFrame, memory: str = "30 days", span: str = "1 day") -> DataFrame:
+    """window, vote, n: votes per time window, one per response. ``votes``: ts, response_id, vote.
+
+    The first vote that arrives for a response counts, in its own window; later ones are dropped for as long as
+    ``memory`` lasts after it, whichever window they fall into. Windows are final ``memory`` after their end.
+    """
+    once = _timed(votes, memory).dropDuplicatesWithinWatermark(["response_id"])
+    return once.withColumn("span", F.window("ts", span)).groupBy("span", "vote").agg(F.count(F.lit(1)).alias("n"))
 
 
 def session_ends(events: DataFrame, delay: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
