@@ -216,14 +216,14 @@ def _shortest(spark, sf):
 prs AS (SELECT seed AS src, min(dst) AS dst FROM sd JOIN re ON src = seed GROUP BY 1),
 wk AS (SELECT p.src, p.dst, p.src AS id, [p.src] AS path, 0e0 AS weight FROM prs p
   UNION ALL SELECT w.src, w.dst, e.dst, list_append(w.path, e.dst), round(w.weight + e.weight, 6) FROM wk w JOIN fe e ON e.src = w.id
-  WHERE w.id <> w.dst AND len(w.path) <= 3 AND NOT list_contains(w.path, e.dst))
+  WHERE w.id <> w.dst AND len(w.path) <= 5 AND NOT list_contains(w.path, e.dst))
 SELECT src, dst, array_to_string(path, ' ') AS path, weight, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY weight DESC, len(path), path)::INT AS rank FROM wk WHERE id = dst) WHERE rank <= 3"""))
 def _top_paths(spark, sf):
     g = build(spark, sf, keep=True)
     start = seeds(g).select(F.col("chunk_id").alias("src"))
     pairs = start.join(g.reference, "src").groupBy("src").agg(F.min("dst").alias("dst"))
-    found = graph_walks.top_paths(pairs, g.edges, g.hubs, max_edges=3)
+    found = graph_walks.top_paths(pairs, g.edges, g.hubs)
     return found.select("src", "dst", F.array_join("path", " ").alias("path"), "weight", "rank")
 
 
