@@ -62,7 +62,7 @@ def edges_hierarchical(chunks: DataFrame) -> DataFrame:
 
 
 def edges_contains(chunks: DataFrame) -> DataFrame:
-    return _typed(chunks.select(doc_node(F.col("doc_id")).alias("src"), F.col("chunk_id").alias("dst")).distinct(), "contains")
+    return _typed(chunks.select(doc_node(F.col("doc_id")).alias("src"), F.col("chunk_id").alias("dst")), "contains")
 
 
 def edges_reference(references: DataFrame, nodes: DataFrame) -> DataFrame:
