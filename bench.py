@@ -16,7 +16,8 @@ from folioscope.session import build_session  # noqa: E402
 HEADLINE = [
     "semantic_type", "detect_language", "keywords", "chunk_build", "bm25_search", "hybrid_search", "knn_exact",
     "assemble_context", "extract_citations", "find_spans", "sentence_overlap", "edges_final", "components",
-    "catalog_listing", "feedback_stream", "ingest_stream",
+    "catalog_listing", "feedback_stream", "ingest_stream", "shortest_path", "related_chunks", "graph_stats", "k_hop",
+    "semantic_edges", "should_highlight", "best_section",
 ]
 
 
