@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from folioscope.llm.text import WordHashes, arrow_schema, keyed, map_texts, parts_of, scrambled, space_words
 from folioscope.session import cut_lineage
 
-BITS = 1 << 28
+BITS = 1 << 27
 SEGMENTS = 64
 PROBES = 3
 BASE = 1.4
 #: Words whose exact counts are broadcast.
-FREQUENT = 200_000
+FREQUENT = 50_000
 #: Share of pairs' mass that is taken from their counts; the rest goes to the lower order.
 SHARE = 0.8
 WORD, PAIR, MASS = 1, 2, 3
@@ -158,8 +158,9 @@ def filter_segments(rows: DataFrame, bits: int) -> np.ndarray:
 
     filled = np.zeros((SEGMENTS, segment_bits // 8), np.uint8)
     segments = rows.mapInArrow(deal, "segment int, kind int, key bigint, levels int").repartition(SEGMENTS, "segment")
-    for r in segments.mapInArrow(fill, "segment int, bytes binary").toLocalIterator():
-        filled[r["segment"]] |= np.frombuffer(r["bytes"], np.uint8)
+    found = segments.mapInArrow(fill, "segment int, bytes binary").toArrow()
+    for s, data in zip(found.column("segment").to_pylist(), found.column("bytes")):
+        filled[s] |= np.frombuffer(data.as_buffer(), np.uint8)
     return filled
 
 
@@ -222,10 +223,10 @@ def score(docs: DataFrame, fold: Column, bits: int = BITS, frequent: int = FREQU
     rows = keyed(docs, id_col, text_col)
     model, words = train(rows.where(fold), bits)
     sc = docs.sparkSession.sparkContext
-    top = sorted((r["key"], r["n"]) for r in words.orderBy(F.desc("n"), "key").limit(frequent).collect())
-    known = np.array([k for k, _ in top], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    best = sc.broadcast((known[order], np.array([n for _, n in top], np.float64)[order]))
+    top = words.orderBy(F.desc("n"), "key").limit(frequent).toArrow()
+    known, times = (top.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(known.view(np.uint64))
+    best = sc.broadcast((known.view(np.uint64)[order], times[order].astype(np.float64)))
     scanned = map_texts(rows, _scan(sc.broadcast(model), best), "n_tokens bigint, score double, frequent_sum double, rare array<bigint>")
     scanned = cut_lineage(scanned.withColumn("row", F.monotonically_increasing_id()))
     rare = (scanned.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))

@@ -37,7 +37,7 @@ def letter_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word to 64-bit hash, remembered up to a fixed number of words."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
