@@ -48,10 +48,13 @@ for _letter in "abcdefghijklmnopqrstuvwxyz":
 _CODES[ord("?")] = OTHER  # what Latin-1 cannot write
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Tokens with a letter and a look-alike or separator in them, or a letter three times in a row.
-ODD = re.compile(r"[^\W\d_].*[0-9@$!|+(€.\-_*~]|[0-9@$!|+(€.\-_*~].*[^\W\d_]|([^\W\d_])\1\1")
-#: Single letters (or look-alikes) with a separator between them.
-SPACED = re.compile(r"(?<![^\s.\-_*~])(?:[^\W_]|[@$!|+(€])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|+(€])){2,30}(?![^\s.,;:?\-_*~])")
+#: Punctuation around a token, and runs of one sign behind it, say nothing about its letters.
+BEFORE, BEHIND = "\"'([", ".,;:!?\"')]"
+SIGN_RUN = re.compile(r"([^\w\s])\1\1+\Z")
+THRICE = re.compile(r"(.)\1\1")
+#: Single letters (or look-alikes) with a separator between them, four at least; and what every such stretch holds.
+SPACED = re.compile(r"(?<![^\s.\-_*~])(?:[^\W_]|[@$!|+(€])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|+(€])){3,30}(?![^\s.,;:?\-_*~])")
+SPACED_INSIDE = re.compile(r"[ .\-_*~][^\s.\-_*~][ .\-_*~]{1,2}[^\s.\-_*~][ .\-_*~]")
 RUN = re.compile(r"(.)\1*", re.S)
 
 
@@ -126,10 +129,12 @@ class Channel:
         return min((total + self.costs[a][b][END], text) for (a, b), (total, text) in paths.items())[1]
 
     def words(self, token: str) -> list[str]:
-        """Letter words of a lower-case token, restored if it looks obfuscated. Very long tokens are taken as they are."""
-        if len(token) <= 64 and (" " in token or ODD.search(token)):
-            return LETTERS.findall(token) + LETTERS.findall(self.restored(token))
-        return LETTERS.findall(token)
+        """Letter words of a lower-case token, restored too if it looks obfuscated. Very long tokens are taken as they are."""
+        token = SIGN_RUN.sub("", token).lstrip(BEFORE).rstrip(BEHIND)
+        plain = token.isalpha()
+        if len(token) > 64 or (plain and not THRICE.search(token)) or not any(map(str.isalpha, token)):
+            return [token] if plain else LETTERS.findall(token)
+        return LETTERS.findall(token) + LETTERS.findall(self.restored(token))
 
 
 def features(word: str) -> Iterator[str]:
@@ -156,10 +161,13 @@ class Reader(dict):
 
     def __init__(self, channel: Channel, known: set[str] | None):
         self.channel, self.known = channel, known
+        self.heads = None if known is None else {f[1:4] for f in known}  # no other word has a known feature
 
     def _of(self, token: str) -> tuple[str, ...]:
-        found = {f for w in self.channel.words(token) for f in features(w)}
-        return tuple(found if self.known is None else found & self.known)
+        words = self.channel.words(token)
+        if self.known is None:
+            return tuple({f for w in words for f in features(w)})
+        return tuple({f for w in words if w[:3] in self.heads for f in features(w)} & self.known)
 
     def __missing__(self, token: str) -> tuple[str, ...]:
         if len(self) >= self.LIMIT:
@@ -172,8 +180,9 @@ class Reader(dict):
             return set()
         text = text.lower()
         found = set().union(*map(self.__getitem__, set(text.split())))
-        for m in SPACED.finditer(text):
-            found.update(self[m[0]])
+        if SPACED_INSIDE.search(text):
+            for m in SPACED.finditer(text):
+                found.update(self[m[0]])
         return found
 
 
