@@ -6,8 +6,6 @@ import hashlib
 import itertools
 import random
 
-import pytest
-
 from folioscope.llm.components import components
 from folioscope.llm.exact_dedup import CuckooIndex, exact_dedup, keep_largest
 from folioscope.llm.jaccard_join import jaccard_components, keep_least
@@ -95,9 +93,8 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_components_are_exact(spark, seed):
-    rows = near_copies(seed)
+def test_jaccard_components_are_exact(spark):
+    rows = near_copies(1) + [(i + 50_000, t) for i, t in near_copies(2)]
     got = jaccard_components(frame(spark, rows)).collect()
     assert sorted(((str(r.doc_id), r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
 
