@@ -7,25 +7,29 @@ region of the sets that begin with it. In every region
 
 1. the first member is the pivot, and every other member's exact distance to it is measured; members within the distance
    join the pivot's class at once, and are then as good as one point;
-2. the region recurses over what is left: while members of different classes remain, the next members (seven times as
-   many in each round) become pivots for the ones behind them. Two members are compared only if they are in different
-   classes, their sizes admit a link, the pair has not been measured elsewhere, and their distances to the region's
-   first pivot differ by no more than the link distance (triangle inequality): members near an inner pivot's boundary
-   are met by those beyond it, all others are not.
-
-A region of near copies collapses in the first step, so its cost is linear; nothing is cut off. The order of shingles
-comes from a counting sketch of fixed size over the whole corpus; it steers only how much work is done. Texts move only
-for sets that have a candidate at all, selected by a bitmap of fixed size; a pivot with very many members is measured in
-several tasks.
+2. the region recurses over what is left: members outside the region's largest class are compared with its next members,
+   sixteen times as many in each round, until they join that class or have met all. Two members are compared only if they
+   are in different classes, their sizes admit a link, the pair has not been measured before, and their distances to the
+   region's first pivot differ by no more than the link distance (triangle inequality): members near the boundary of the
+   pivot's neighbourhood are met by those beyond it, all others are not.
+
+A region of near copies collapses in the first step, so its cost is linear; nothing is cut off. How rare a shingle is,
+is counted exactly over the corpus: shingles that occur once are first in the order and never travel further, so most
+texts without near copies are in no region at all. Before two sets are compared on their texts, a parity bitmap of each
+(a bit a shingle) bounds their intersection. Texts move only for sets that are in a region, selected by a bitmap of fixed
+size; a pivot with very many members is measured in several tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +40,15 @@ from folioscope.session import cut_lineage
 SHINGLE = 5
 #: Sets link when PARTS * intersection >= SHARE * union.
 SHARE, PARTS = 75, 100
-SKETCH_BITS = 20
-SKETCH_ROWS = 16
-BITMAP_BITS = 27
+#: Bits of a shingle's hash that are counted and joined on. Equal ones cost a needless comparison, no more.
+TOKEN_BITS = 50
+#: Shingles and documents counted together by a scan task.
+CHUNK_SHINGLES, CHUNK_DOCS = 2_000_000, 60_000
+BITMAP_BITS = 26
 #: Members measured against one copy of their pivot.
 MEMBERS = 256
-GROWTH = 8
+#: Members that one outside its region's largest class is compared with in a round; the number grows from round to round.
+FIRST_STEP, GROWTH = 8, 16
 
 
 def shingle_set(text: str | None, hashes: WordHashes, size: int) -> np.ndarray:
@@ -49,105 +56,194 @@ def shingle_set(text: str | None, hashes: WordHashes, size: int) -> np.ndarray:
     return np.unique(gram_hashes(hashes.of(space_words(text)), size))
 
 
-def prefix_size(n: int) -> int:
+def prefix_size(n: np.ndarray) -> np.ndarray:
     """How many of a set's first shingles must hold one of any set that it links with."""
-    return n - -(-SHARE * n // PARTS) + 1 if n else 0
+    return n - -(-SHARE * n // PARTS) + (n > 0)
+
+
+def parity_bits(found: np.ndarray) -> bytes:
+    """A bit for each slot that holds an odd number of the set's shingles; as many slots as the next power of two."""
+    slots = max(64, 1 << int(len(found) - 1).bit_length()) if len(found) else 64
+    return np.packbits(np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def most_common(bits_x: bytes, n_x: int, bits_p: bytes, n_p: int) -> int:
+    """A bound of the intersection: every odd slot of the symmetric difference holds one of its shingles at least."""
+    x, p = np.frombuffer(bits_x, np.uint8), np.frombuffer(bits_p, np.uint8)
+    while len(x) > len(p):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(p) > len(x):
+        p = p[:len(p) // 2] ^ p[len(p) // 2:]
+    return min(n_x, n_p, (n_x + n_p - int(np.bitwise_count(x ^ p).sum())) // 2)
 
 
 def with_text_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed(docs, id_col, text_col).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def _first_scan(rows: DataFrame, size: int) -> DataFrame:
-    """Per document: doc_id, text_key, n, set_key (null for an empty set). Per task: counts of shingles by slot (slots, counts)."""
-    schema = "doc_id bigint, text_key bigint, n int, set_key binary, slots int, counts binary"
-    to = arrow_schema(schema)
+SCAN = ("bucket int, chunk bigint, tokens binary, docs binary, counts binary, "
+        "ordinal int, doc_id bigint, text_key bigint, n int, set_key binary, bits binary")
+SETS = "doc_id bigint, text_key bigint, n int, set_key binary, bits binary, tokens array<bigint>"
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all next ones and so on: the shuffle's compression removes the empty ones."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.tobytes(), kind)
+
+
+def _asked(rows: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Per document its set's key, size and parity bits; per chunk of documents and bucket of tokens, the tokens and their documents."""
+    to = arrow_schema(SCAN)
+
+    def batch_of(n: int, columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in to], schema=to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        hashes, chunk = WordHashes(), TaskContext.get().partitionId() << 24
+        held: list[np.ndarray] = []
+
+        def questions() -> pa.RecordBatch:
+            tokens = np.concatenate(held) >> np.uint64(64 - TOKEN_BITS)
+            docs = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
+            order = np.argsort(tokens, kind="stable")
+            tokens, docs = tokens[order], docs[order]
+            edges = np.searchsorted(tokens, [(b << TOKEN_BITS) // buckets for b in range(buckets + 1)])
+            full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+            parts = [slice(edges[b], edges[b + 1]) for b in full]
+            return batch_of(len(full), {"bucket": full, "chunk": [chunk] * len(full),
+                                        "tokens": [_planes(np.diff(tokens[p], prepend=np.uint64(0))) for p in parts],
+                                        "docs": [_planes(docs[p]) for p in parts]})
+
         for batch in batches:
             for part in parts_of(batch):
-                sizes, keys, held = [], [], []
-                for text in part.column("text").to_pylist():
-                    found = shingle_set(text, hashes, size)
-                    sizes.append(len(found))
-                    keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                    held.append(found)
-                slots = (np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                counts += np.bincount(slots, minlength=len(counts)).astype(np.uint32)
-                none = pa.nulls(part.num_rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()),
-                     none.cast(pa.int32()), none.cast(pa.binary())], schema=to)
-        yield pa.RecordBatch.from_pylist([{"slots": i, "counts": c.tobytes()} for i, c in enumerate(np.split(counts, SKETCH_ROWS))], to)
-
-    return rows.select("doc_id", "text_key", "text").mapInArrow(run, schema)
-
-
-def _levels(sketch: DataFrame) -> np.ndarray:
-    """The binary logarithm of every slot's count: a table of fixed size."""
-    schema = "slots int, levels binary"
-    to = arrow_schema(schema)
+                found = [shingle_set(t, hashes, size) for t in part.column("text").to_pylist()]
+                at = 0
+                while at < len(found):
+                    room, total = CHUNK_SHINGLES - sum(map(len, held)), 0
+                    first = at
+                    while at < len(found) and at - first + len(held) < CHUNK_DOCS and (at == first or total + len(found[at]) <= room):
+                        total += len(found[at])
+                        at += 1
+                    some, n = found[first:at], at - first
+                    yield batch_of(n, {
+                        "bucket": [chunk % buckets] * n, "chunk": [chunk] * n, "ordinal": list(range(len(held), len(held) + n)),
+                        "doc_id": part.column("doc_id").slice(first, n), "text_key": part.column("text_key").slice(first, n),
+                        "n": [len(f) for f in some], "bits": [parity_bits(f) for f in some],
+                        "set_key": [xxhash.xxh3_128_digest(f.tobytes()) if len(f) else None for f in some]})
+                    held += some
+                    if at < len(found) or sum(map(len, held)) >= CHUNK_SHINGLES:
+                        yield questions()
+                        held, chunk = [], chunk + 1
+        if held:
+            yield questions()
+
+    return rows.select("doc_id", "text_key", "text").mapInArrow(run, SCAN)
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """The questions with only the tokens that two documents or more have, and how many (255: that or more)."""
+    to = arrow_schema(SCAN)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, tokens, docs = [], [], []
         for batch in batches:
-            for i, c in zip(batch.column("slots").to_pylist(), batch.column("counts").to_pylist()):
-                counts = np.frombuffer(c, np.uint32).astype(np.uint64)
-                held[i] = held[i] + counts if i in held else counts
-        rows = [{"slots": i, "levels": np.log2(c + 1).astype(np.uint8).tobytes()} for i, c in held.items()]
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, to)
-
-    found = sketch.select("slots", "counts").repartition(SKETCH_ROWS, "slots").mapInArrow(add, schema).collect()
-    levels = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.uint8)
-    for r in found:
-        levels[r["slots"]] = np.frombuffer(r["levels"], np.uint8)
-    return levels.reshape(-1)
-
-
-def _prefixes(rows: DataFrame, shared, size: int) -> DataFrame:
-    """token, node (set_key), n: the first shingles of every set, in the order of (level, hash)."""
-    schema = "token bigint, node binary, n int"
-    to = arrow_schema(schema)
+            question = pc.is_valid(batch.column("tokens"))
+            yield batch.filter(pc.invert(question))
+            asked_here = batch.filter(question)
+            chunks += asked_here.column("chunk").to_pylist()
+            tokens += [np.cumsum(_from_planes(t, np.uint64), dtype=np.uint64) for t in asked_here.column("tokens").to_pylist()]
+            docs += [_from_planes(d, np.uint16) for d in asked_here.column("docs").to_pylist()]
+        if not chunks:
+            return
+        every = np.concatenate(tokens)
+        order = np.argsort(every, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) > 0]))
+        sizes = np.diff(np.append(first, len(every)))
+        counts = np.empty(len(every), np.uint8)
+        counts[order] = np.repeat(np.minimum(sizes, 255).astype(np.uint8), sizes)
+        out, at = [], 0
+        for chunk, t, d in zip(chunks, tokens, docs):
+            c = counts[at:at + len(t)]
+            at += len(t)
+            shared = c > 1
+            if shared.any():
+                out.append({"chunk": chunk, "tokens": _planes(t[shared]), "docs": _planes(d[shared]), "counts": c[shared].tobytes()})
+            if len(out) >= 500:
+                yield pa.RecordBatch.from_pylist(out, to)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, to)
+
+    return asked.mapInArrow(run, SCAN)
+
+
+def _with_first_tokens(answered: DataFrame) -> DataFrame:
+    """One row per document: its set and those of its first tokens, rarest first, that another document has.
+
+    Tokens of one document only come first in the order. They can be in no other set, so they are counted, not listed.
+    """
+    to = arrow_schema(SETS)
+
+    def chosen(members: list[dict], shared: list[dict]) -> pa.RecordBatch:
+        members.sort(key=lambda r: r["ordinal"])
+        n = np.array([r["n"] for r in members], np.int64)
+        listed: list = [[]] * len(members)
+        if shared:
+            docs = np.concatenate([_from_planes(r["docs"], np.uint16) for r in shared]).astype(np.int64)
+            tokens = np.concatenate([_from_planes(r["tokens"], np.uint64) for r in shared])
+            order = np.lexsort((tokens, np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in shared]), docs))
+            docs, tokens = docs[order], tokens[order]
+            held = np.bincount(docs, minlength=len(n))
+            begin = np.cumsum(held) - held
+            wanted = np.minimum(held, np.maximum(prefix_size(n) - (n - held), 0))
+            listed = [tokens[a:a + k].astype(np.int64) for a, k in zip(begin.tolist(), wanted.tolist())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[f.name] for r in members] if f.name != "tokens" else listed, f.type) for f in to], schema=to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, levels = WordHashes(), shared.value
+        own, members, shared = None, [], []
         for batch in batches:
-            for part in parts_of(batch):
-                tokens, nodes, sizes = [], [], []
-                for text in part.column("text").to_pylist():
-                    found = shingle_set(text, hashes, size)
-                    if not len(found):
-                        continue
-                    level = levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                    order = (level << np.uint64(58)) | (found >> np.uint64(6))
-                    k = prefix_size(len(found))
-                    tokens.append(np.partition(order, k - 1)[:k])
-                    nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    sizes.append(len(found))
-                if tokens:
-                    each = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(each)),
-                         pa.array(np.array(sizes, np.int32)[each])], schema=to)
-
-    return rows.select("text").mapInArrow(run, schema)
+            for row in batch.to_pylist():
+                if row["chunk"] != own:
+                    if members:
+                        yield chosen(members, shared)
+                    own, members, shared = row["chunk"], [], []
+                (members if row["tokens"] is None else shared).append(row)
+        if members:
+            yield chosen(members, shared)
+
+    return answered.sortWithinPartitions("chunk").mapInArrow(run, SETS)
+
+
+def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """doc_id, text_key, n, set_key (null if empty), bits, tokens of every row.
+
+    Chunks of documents ask, in packed form, how many documents have each token; the answer comes back to the chunk.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = _asked(rows, size, 4 * parts)
+    return _with_first_tokens(_answered(asked.repartition(parts, "bucket")).repartition(parts, "chunk"))
 
 
 def _sizes_fit(a: str, b: str):
     return F.lit(PARTS).cast("bigint") * F.least(a, b) >= F.lit(SHARE) * F.greatest(a, b)
 
 
-def _regions(prefixes: DataFrame) -> DataFrame:
-    """token, node, n, place (0: the pivot) of shingles with two members or more; equal sets count once."""
+def _regions(tokens: DataFrame) -> DataFrame:
+    """token, node, n, place (0: the pivot) of tokens with two members or more; equal sets count once, equal regions too."""
     by_token = Window.partitionBy("token").orderBy("node")
-    placed = (prefixes.withColumn("before", F.lag("node").over(by_token)).withColumn("behind", F.lead("node").over(by_token))
+    placed = (tokens.withColumn("before", F.lag("node").over(by_token)).withColumn("behind", F.lead("node").over(by_token))
               .where("(before is null or before != node) and (before is not null or behind is not null)"))
-    # copies of a set next to each other leave one row; a shingle of copies only is left with one row
-    return (placed.withColumn("place", F.row_number().over(by_token) - 1)
-            .withColumn("more", F.lead("node").over(by_token)).where("place > 0 or more is not null")
-            .select("token", "node", "n", "place"))
+    # copies of a set next to each other leave one row; a token of copies only is left with one row
+    rows = cut_lineage(placed.withColumn("place", F.row_number().over(by_token) - 1)
+                       .withColumn("more", F.lead("node").over(by_token)).where("place > 0 or more is not null")
+                       .select("token", "node", "n", "place"))
+    mark = F.xxhash64("node")
+    members = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(mark).alias("a"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("b"))
+    return rows.join(members.groupBy("size", "a", "b").agg(F.min("token").alias("token")), "token", "left_semi")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -156,9 +252,10 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     rows = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     bits = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        piece = np.frombuffer(bytes(r["bits"]), np.uint8)
-        begin = (r["bucket"] - 1) * len(piece)
+    found = rows.toArrow()
+    for bucket, data in zip(found.column("bucket").to_pylist(), found.column("bits")):
+        piece = np.frombuffer(data.as_buffer(), np.uint8)
+        begin = (bucket - 1) * len(piece)
         bits[begin:begin + len(piece)] = piece[:len(bits) - begin]
     return bits
 
@@ -176,18 +273,43 @@ def _texts_of(rows: DataFrame, members: DataFrame) -> DataFrame:
     at = F.pmod(F.xxhash64("text_key", F.lit(3)), F.lit(1 << BITMAP_BITS))
     some = rows.withColumn("at", at).mapInArrow(maybe, "doc_id bigint, text string, text_key bigint, at bigint").alias("d")
     m = members.alias("m")
-    return (some.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_key") == F.col("m.text_key")))
-            .select("node", "text").dropDuplicates(["node"]))
+    found = cut_lineage(some.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_key") == F.col("m.text_key")))
+                        .select("node", "text").dropDuplicates(["node"]))
+    shared.destroy()
+    return found
+
+
+def _screened(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """pairs (x, p) with low, the least distance that their parity bits admit, and possible: a link is not excluded."""
+    schema = "x binary, p binary, low double, possible boolean"
+    to = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, possible = [], []
+            for bits_x, n_x, bits_p, n_p in zip(*(batch.column(c).to_pylist() for c in ("bits_x", "n_x", "bits_p", "n_p"))):
+                common = most_common(bits_x, n_x, bits_p, n_p)
+                low.append(1 - common / (n_x + n_p - common))
+                possible.append(PARTS * common >= SHARE * (n_x + n_p - common))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("p"), pa.array(low, pa.float64()), pa.array(possible, pa.bool_())], schema=to)
+
+    of = lambda name: points.select(F.col("node").alias(name), F.col("bits").alias(f"bits_{name}"), F.col("n").alias(f"n_{name}"))
+    return pairs.join(of("x"), "x").join(of("p"), "p").select("x", "p", "bits_x", "n_x", "bits_p", "n_p").mapInArrow(run, schema)
 
 
-def _measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """pairs (x, p) with common (size of the intersection). A pivot's members are measured MEMBERS at a time."""
-    schema = "x binary, p binary, common int, n_x int, n_p int"
+def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """x, p, low, high (bounds of the distance; equal where it was measured), linked.
+
+    Pairs whose parity bits admit a link are measured on their texts, MEMBERS members of a pivot at a time.
+    """
+    schema = "x binary, p binary, low double, high double, linked boolean"
     to = arrow_schema(schema)
-    share = pairs.groupBy("p").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("lanes"))
+    screened = cut_lineage(_screened(pairs, points))
+    open_pairs = screened.where("possible").select("x", "p")
+    share = open_pairs.groupBy("p").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("lanes"))
     pivots = share.join(texts.withColumnRenamed("node", "p"), "p").select(
         "p", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(None).cast("binary").alias("x"), "text")
-    members = pairs.join(share, "p").join(texts.withColumnRenamed("node", "x"), "x").select(
+    members = open_pairs.join(share, "p").join(texts.withColumnRenamed("node", "x"), "x").select(
         "p", F.pmod(F.xxhash64("x"), F.col("lanes")).cast("int").alias("lane"), "x", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,70 +322,71 @@ def _measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     own, pivot = (p, lane), found
                 elif own == (p, lane):
                     common = len(np.intersect1d(pivot, found, assume_unique=True))
-                    out.append({"x": x, "p": p, "common": common, "n_x": len(found), "n_p": len(pivot)})
+                    union = len(found) + len(pivot) - common
+                    out.append({"x": x, "p": p, "low": 1 - common / union, "high": 1 - common / union, "linked": PARTS * common >= SHARE * union})
                 else:
                     raise ValueError("a member came without its pivot")
             yield pa.RecordBatch.from_pylist(out, to)
 
     both = pivots.unionByName(members).repartition("p", "lane").sortWithinPartitions("p", "lane", F.col("x").asc_nulls_first())
-    return both.mapInArrow(run, schema)
+    excluded = screened.where("not possible").select("x", "p", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
+    return both.mapInArrow(run, schema).unionByName(excluded)
 
 
-def _distance():
-    return 1 - F.col("common") / (F.col("n_x") + F.col("n_p") - F.col("common"))
+def _open_regions(regions: DataFrame, classes: DataFrame) -> DataFrame:
+    """Regions with members yet to be compared: root (the member's class) and waits (outside the largest class, not through)."""
+    named = regions.drop("root", "waits").join(classes.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = named.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "root")).alias("main"))
+    marked = named.join(main, "token").withColumn("waits", (F.col("root") != F.col("main.root")) & (F.col("done") < F.col("size"))).drop("main")
+    return marked.join(marked.where("waits").select("token").distinct(), "token", "left_semi")
 
 
-def _open_regions(regions: DataFrame, classes: DataFrame) -> DataFrame:
-    """Regions with a class column, without those whose members are all of one class."""
-    named = regions.join(classes.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("token")
-    return named.join(mixed, "token", "left_semi")
-
-
-def _next_pairs(regions: DataFrame, measured: DataFrame, first: int, last: int) -> DataFrame:
-    """Pairs (x, p): pivots at places first..last-1 with the members behind them, as far as a link is possible."""
-    one = F.col("place") == 0
-    pivots = regions.where((F.col("place") >= first) & (F.col("place") < last))
-    to_first = measured.select(F.col("x").alias("node"), F.col("p").alias("first"), _distance().alias("d"))
-    heads = regions.where(one).select("token", F.col("node").alias("first"))
-    # distances to the region's first pivot, where they were measured
-    placed = regions.join(heads, "token").join(to_first, ["node", "first"], "left").drop("first")
-    a = placed.select("token", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.col("place").alias("place_x"), F.col("d").alias("d_x"))
-    b = placed.join(pivots.select("token", "node"), ["token", "node"], "left_semi").select(
-        "token", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("root").alias("root_p"), F.col("place").alias("place_p"), F.col("d").alias("d_p"))
-    near = F.coalesce(F.abs(F.col("d_x") - F.col("d_p")) <= (1 - SHARE / PARTS) + 1e-9, F.lit(True))
-    return (a.join(b, "token").where((F.col("place_x") > F.col("place_p")) & (F.col("root_x") != F.col("root_p")) & _sizes_fit("n_x", "n_p") & near)
-            .select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
+def _next_pairs(regions: DataFrame, lists: DataFrame, measured: DataFrame, step: int) -> DataFrame:
+    """Pairs (x, p) of every waiting member with the next ``step`` members of its region, as far as a link is possible.
+
+    A pair that has several regions in common is met in the first of them only.
+    """
+    to_head = measured.select(F.col("x").alias("node"), F.col("p").alias("head"), "low", "high")
+    placed = regions.join(to_head, ["node", "head"], "left").join(lists, "node").withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("high", F.coalesce("high", F.lit(1.0)))
+    a, b = placed.where("waits").alias("a"), placed.alias("b")
+    reach = F.lit(1 - SHARE / PARTS + 1e-9)
+    near = (F.col("a.low") - F.col("b.high") <= reach) & (F.col("b.low") - F.col("a.high") <= reach)
+    here = (F.col("b.place") >= F.col("a.done")) & (F.col("b.place") < F.col("a.done") + step)
+    first = F.array_min(F.array_intersect("a.tokens", "b.tokens")) == F.col("a.token")
+    found = a.join(b, (F.col("a.token") == F.col("b.token")) & here & (F.col("a.root") != F.col("b.root")) & _sizes_fit("a.n", "b.n") & near & first)
+    return (found.select(F.greatest("a.node", "b.node").alias("x"), F.least("a.node", "b.node").alias("p")).distinct()
             .join(measured.select("x", "p"), ["x", "p"], "left_anti"))
 
 
 def _classes(rows: DataFrame, size: int) -> DataFrame:
     """doc_id, text_key, n, least: per row of ``with_text_key``, its component's first row (no_id, doc_id, text_key); null for an empty set."""
-    scan = cut_lineage(_first_scan(rows, size))
-    sets = scan.where("slots is null").select("doc_id", "text_key", "n", "set_key")
-    shared = rows.sparkSession.sparkContext.broadcast(_levels(scan.where("slots is not null")))
-    regions = cut_lineage(_regions(_prefixes(rows, shared, size)))
+    sets = cut_lineage(shingle_sets(rows, size))
+    regions = _regions(sets.select(F.explode("tokens").alias("token"), F.col("set_key").alias("node"), "n"))
+    sizes = regions.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("head"))
+    regions = cut_lineage(regions.join(sizes, "token").withColumn("done", F.lit(1)))
+    lists = cut_lineage(regions.groupBy("node").agg(F.collect_set("token").alias("tokens")))  # a quarter of a set at most
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    points = cut_lineage(sets.where("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(F.min(row).alias("one")))
+    points = cut_lineage(sets.where("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(
+        F.min(row).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
-    heads = regions.where("place = 0").select("token", F.col("node").alias("p"), F.col("n").alias("n_p"))
-    pairs = cut_lineage(regions.where("place > 0").join(heads, "token").where(_sizes_fit("n", "n_p"))
-                        .select(F.col("node").alias("x"), "p").distinct())
+    pairs = regions.where((F.col("place") > 0)).join(
+        points.select(F.col("node").alias("head"), F.col("n").alias("n_head")), "head").where(_sizes_fit("n", "n_head")).select(
+        F.col("node").alias("x"), F.col("head").alias("p")).distinct()
     involved = regions.select("node").distinct().join(points, "node").select("node", "one.doc_id", "one.text_key")
-    texts = cut_lineage(_texts_of(rows, involved))
-    measured = cut_lineage(_measured(pairs, texts, size))
-    linked = F.lit(PARTS) * F.col("common") >= F.lit(SHARE) * (F.col("n_x") + F.col("n_p") - F.col("common"))
-    first, last = 1, GROWTH
+    texts = _texts_of(rows, involved)
+    measured = fresh_pairs = cut_lineage(_measured(pairs, points, texts, size))
+    links, step = [], FIRST_STEP
     while True:
-        classes = components(measured.where(linked).select(F.col("x").alias("a"), F.col("p").alias("b")))
-        regions = cut_lineage(_open_regions(regions, classes).select("token", "node", "n", "place", "root"))
-        deepest = regions.agg(F.max("place")).first()[0]
-        if deepest is None or deepest <= first - 1:
+        links.append(fresh_pairs.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
+        classes = components(reduce(DataFrame.unionByName, links))
+        links = [classes.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+        regions = cut_lineage(_open_regions(regions, classes))
+        if regions.isEmpty():
             break
-        pairs = cut_lineage(_next_pairs(regions, measured, first, last))
-        measured = cut_lineage(measured.unionByName(_measured(pairs, texts, size)))
-        regions = regions.drop("root")
-        first, last = last, last * GROWTH
+        fresh_pairs = cut_lineage(_measured(_next_pairs(regions, lists, measured, step), points, texts, size))
+        measured = measured.unionByName(fresh_pairs)
+        regions = regions.withColumn("done", F.when(F.col("waits"), F.col("done") + step).otherwise(F.col("done")))
+        step *= GROWTH
     named = points.join(classes, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("one").alias("least"))
     of_set = named.join(least, "root").select(F.col("node").alias("set_key"), "least")
