@@ -20,12 +20,17 @@ WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)
 WORD_END = "</w>"
 
 
+#: Marks a whole text among the new pieces; no plain piece begins with it.
+WHOLE = "\0"
+
+
 class _Codes(dict):
     """Piece to code; new pieces get the next code and wait to be encoded."""
 
-    def __init__(self):
+    def __init__(self, known):
+        super().__init__(known)
         self.new: list[str] = []
-        self.next = 0
+        self.next = len(self)
 
     def __missing__(self, piece: str) -> int:
         code = self[piece] = self.add(piece)
@@ -38,6 +43,7 @@ class _Codes(dict):
 
 
 class PieceTokenizer:
+    #: Pieces that are remembered. Beyond that, those seen once are forgotten.
     LIMIT = 500_000
 
     def __init__(self, path: str):
@@ -51,70 +57,91 @@ class PieceTokenizer:
         mark = (lambda t: t.endswith(WORD_END)) if self.by_word else (lambda t: t.startswith("Ġ"))
         self.marks = np.array([mark(strings.get(i, "")) for i in range(self.tokenizer.get_vocab_size() + 1)])
         self.line_end = None if self.by_word else self._ids(["\n"])[0][0]
-        self._reset()
+        self._start([], np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def _start(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.codes = _Codes(zip(pieces, range(len(pieces))))
+        self.flat, self.size, self.begin = flat, sizes, np.cumsum(sizes) - sizes
+        self.seen = np.zeros(len(pieces), np.int64)
 
-    def _reset(self) -> None:
-        self.codes = _Codes()
-        self.flat, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+    def _forget(self) -> None:
+        kept = [(p, c) for p, c in self.codes.items() if self.seen[c] > 1]
+        kept = kept if len(kept) < self.LIMIT // 2 else []
+        at = np.array([c for _, c in kept], np.int64)
+        self._start([p for p, _ in kept], self._gathered(at), self.size[at])
+
+    def _gathered(self, codes: np.ndarray) -> np.ndarray:
+        sizes = self.size[codes]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.begin[codes] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _in_one(self, pieces: list[str], glue: str) -> list[np.ndarray] | None:
-        """The ids of pieces without inner white space, from one run over their concatenation."""
+    def _in_one(self, pieces: list[str], glue: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of pieces without inner white space and their numbers, from one run over their concatenation."""
         ids = np.array(self._ids([glue.join(pieces)])[0], np.uint32)
         if glue == "\n":
-            cuts = np.flatnonzero(ids == self.line_end)
-            found = [x[1:] if i else x for i, x in enumerate(np.split(ids, cuts))]
+            ends = np.append(np.flatnonzero(ids == self.line_end) - np.arange(len(pieces) - 1), len(ids) - len(pieces) + 1) if (
+                ids == self.line_end).sum() == len(pieces) - 1 else ()
+            ids = ids[ids != self.line_end]
         elif self.by_word:
-            found = np.split(ids, np.flatnonzero(self.marks[ids])[:-1] + 1)
+            ends = np.flatnonzero(self.marks[ids]) + 1
         else:
-            found = np.split(ids, np.flatnonzero(self.marks[ids])[1:])
-        return found if len(found) == len(pieces) and all(map(len, found)) else None
-
-    def _encoded(self, pieces: list[str]) -> list:
-        """Ids per piece, in order."""
-        kinds: dict[str | None, list[int]] = {" ": [], "": [], "\n": [], None: []}
-        for i, p in enumerate(pieces):
-            tail = p[1:] if p[:1] == " " and not self.by_word else p
-            simple = tail and len(tail) < 200 and not any(map(str.isspace, tail)) and PLAIN.fullmatch(tail)
-            kinds[None if not simple else " " if self.by_word else "" if tail is not p else "\n"].append(i)
-        out: list = [None] * len(pieces)
-        for glue, at in kinds.items():
-            for j in range(0, len(at), 5000):
-                some = [pieces[i] for i in at[j:j + 5000]]
-                found = None if glue is None else self._in_one(some, glue)
-                for i, ids in zip(at[j:j + 5000], self._ids(some) if found is None else found):
-                    out[i] = np.array(ids, np.uint32)
-        return out
+            ends = np.append(np.flatnonzero(self.marks[ids])[1:], len(ids))
+        sizes = np.diff(ends, prepend=0)
+        return (ids, sizes) if len(sizes) == len(pieces) and sizes.all() and sizes.sum() == len(ids) else None
 
     def _learn(self) -> None:
-        if self.codes.new:
-            found = self._encoded(self.codes.new)
-            sizes = np.array([len(x) for x in found], np.int64)
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, *found])
-            self.codes.new = []
+        """Encodes the new pieces: those of one form in bulk, the others and whole texts one by one."""
+        new, first = self.codes.new, len(self.size)
+        if not new:
+            return
+        if self.by_word:
+            simple = [not p.startswith(WHOLE) for p in new]
+            groups = [(" ", [i for i, s in enumerate(simple) if s]), (None, [i for i, s in enumerate(simple) if not s])]
+        else:
+            kinds: dict[str | None, list[int]] = {"": [], "\n": [], None: []}
+            for i, p in enumerate(new):
+                kinds[None if p.isspace() or p.startswith(WHOLE) else "" if p[0] == " " else "\n"].append(i)
+            groups = list(kinds.items())
+        flat, sizes, order = [self.flat], [], []
+        for glue, at in groups:
+            for j in range(0, len(at), 5000):
+                some = [new[i] for i in at[j:j + 5000]]
+                found = None if glue is None else self._in_one(some, glue)
+                if found is None:
+                    each = self._ids([p.removeprefix(WHOLE) for p in some])
+                    found = np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each])
+                flat.append(found[0])
+                sizes.append(found[1])
+                order += at[j:j + 5000]
+        lengths = np.concatenate(sizes).astype(np.int64)
+        begins, where = np.cumsum(lengths) - lengths + len(self.flat), np.array(order)
+        size, begin = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        size[where], begin[where] = lengths, begins
+        self.flat, self.size, self.begin = np.concatenate(flat), np.append(self.size, size), np.append(self.begin, begin)
+        self.seen = np.append(self.seen, np.zeros(len(new), np.int64))
+        self.codes.new = []
+        assert len(self.size) == first + len(new)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has. Null is empty."""
         if len(self.codes) > self.LIMIT or len(self.flat) > 8 * self.LIMIT:
-            self._reset()
+            self._forget()
         codes: list[int] = []
-        ends = []
+        ends = [0]
         for text in texts:
             if text and PLAIN.fullmatch(text):
                 codes.extend(map(self.codes.__getitem__, self.pieces(text.lower() if self.by_word else text)))
             elif text:
-                codes.append(self.codes.add(text))
+                codes.append(self.codes.add(WHOLE + text))
             ends.append(len(codes))
         self._learn()
         at = np.array(codes, np.int64)
-        sizes = self.size[at]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.begin[at] - total[:-1], sizes) + np.arange(total[-1])]
-        return ids, np.diff(total[np.array([0, *ends], np.int64)])
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        total = np.concatenate([[0], np.cumsum(self.size[at])])
+        return self._gathered(at), np.diff(total[np.array(ends)])
 
 
 @lru_cache(maxsize=2)
