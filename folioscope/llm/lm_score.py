@@ -59,7 +59,7 @@ def ngram_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for part in parts_of(batch, most=12_000_000):
+            for part in parts_of(batch, most=6_000_000):
                 tokens = [token_hashes(t, hashes) for t in part.column("text").to_pylist()]
                 pairs = [pair_keys(t) for t in tokens]
                 for kind, keys in ((WORD, tokens), (PAIR, pairs)):
