@@ -54,6 +54,8 @@ def units(rows: DataFrame) -> DataFrame:
                         unit = space_words(m[0])
                         digest = xxhash.xxh3_128_digest(b" ".join(unit))
                         best = seen.get(digest)
+                        if best == (rank, row, p):  # a row that repeats id and text: the unit is there already
+                            continue
                         if best is None or (rank, row, p) < best:
                             seen[digest] = (rank, row, p)
                             lanes.append(0)

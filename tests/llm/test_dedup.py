@@ -152,3 +152,13 @@ def test_passages_keep_their_earliest_occurrence(spark):
     again = dedup_passages(frame(spark, [(1, passage), (1, passage), (2, passage)]), least_words=6).collect()
     assert sorted((r.doc_id, r.text) for r in again) == [(1, passage), (1, passage), (2, "")]
     assert dedup_passages(frame(spark, [])).count() == 0
+
+
+def test_rows_that_repeat_id_and_text_keep_their_passages_in_any_partitioning(spark):
+    passage = "".join(f"Sentence {i} has five words. " for i in range(8))
+    rows = [(1, passage), (1, passage), (None, passage), (2, passage + "End."), (3, "Alone. " + passage), (1, passage), (None, passage)]
+    for parts in (1, 3, 7):
+        for order in (rows, rows[::-1]):
+            docs = frame(spark, order).repartition(parts) if parts > 1 else frame(spark, order).coalesce(1)
+            got = sorted((str(r.doc_id), r.text) for r in dedup_passages(docs).collect())
+            assert got == [("1", passage)] * 3 + [("2", " End."), ("3", "Alone."), ("None", ""), ("None", "")]
