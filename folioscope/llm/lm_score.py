@@ -1,13 +1,12 @@
-"""Language-model scores from a log-frequency Bloom filter.
+"""Language-model scores from the counts of all words and word pairs of the training texts.
 
-Word and word-pair counts of the training texts are summed by Spark; the filter holds, for every stored n-gram, one
-entry per level of its quantised count, so a count is read back by probing level after level until one is missing. The
-filter has a fixed number of bits at every corpus size, which bounds what is broadcast. A larger corpus raises the
-smallest count that is stored: the least power of two with which the entries fit (``ROOM``). What is not stored is
-smoothed by the lower order.
+A scan cuts the texts into parts of bounded size and sends each distinct word and pair of a part, with its count there,
+to one of many segments by its hash. A segment sums the counts of its keys over all parts and sends each part the sums of
+the part's own keys, in the order in which they came; with them the part's texts are scored. So every count is exact at
+every corpus size, nothing is broadcast or gathered on the driver, and more input means more parts and segments.
 
-The plain unigram score beside it uses exact counts: those of the most frequent words are broadcast (a fixed number),
-the rare words of each text meet theirs in a join.
+The log-frequency filter (``CountFilter``) reads counts back from a fixed number of bits. Its room is limited, so it
+takes no part in the scores.
 """
 
 from __future__ import annotations
@@ -19,25 +18,29 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.text import WordHashes, arrow_schema, keyed, map_texts, parts_of, scrambled, space_words
-from folioscope.session import cut_lineage
+from folioscope.llm.text import WordHashes, arrow_schema, keyed, parts_of, scrambled, space_words
 
 BITS = 1 << 27
 SEGMENTS = 64
 PROBES = 3
 BASE = 1.4
-#: Words whose exact counts are broadcast.
+#: Has no effect any more: no counts are broadcast.
 FREQUENT = 50_000
 #: Share of pairs' mass that is taken from their counts; the rest goes to the lower order.
 SHARE = 0.8
+#: Bytes of text for each key that a segment is expected to get; a word and its pair are rarely new in their part.
+KEY_TEXT = 6
 WORD, PAIR, MASS = 1, 2, 3
 #: Entries per bit the filter may hold of each kind.
 ROOM = {WORD: 0.06, PAIR: 0.14, MASS: 0.03}
 TEXT_END = xxhash.xxh3_64_intdigest(b"\n")  # no word has white space
-LOW = np.uint64(0xFFFFFFFF)
+#: What moves between the steps. kind 0 is a part's texts: their lengths and ids, the part's words and each token's place there.
+MOVED = "segment bigint, part bigint, kind int, lengths array<int>, ids array<bigint>, n int, data binary, more binary, tokens bigint, distinct bigint"
+SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def token_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -46,29 +49,29 @@ def token_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 def pair_keys(tokens: np.ndarray) -> np.ndarray:
-    """Per token, the previous word's hash in the upper half and its own in the lower; a text begins after an end."""
+    """Per token, a hash of the previous word's hash and its own; a text begins after an end."""
     before = np.append(np.uint64(TEXT_END), tokens[:-1])
-    return ((before & LOW) << np.uint64(32)) | (tokens & LOW)
+    return scrambled(scrambled(before + np.uint64(1)) + tokens)
 
 
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """kind (WORD or PAIR), key, n over all texts."""
-    schema = "kind int, key bigint, n bigint"
-    to = arrow_schema(schema)
+def packed(values: np.ndarray) -> bytes:
+    """The values' lowest bytes, then the next ones and so on, compressed: high bytes are nearly all alike."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for part in parts_of(batch, most=6_000_000):
-                tokens = [token_hashes(t, hashes) for t in part.column("text").to_pylist()]
-                pairs = [pair_keys(t) for t in tokens]
-                for kind, keys in ((WORD, tokens), (PAIR, pairs)):
-                    if keys:
-                        found, n = np.unique(np.concatenate(keys), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(found.view(np.int64)),
-                                                          pa.array(n.astype(np.int64))], schema=to)
 
-    return texts.select("text").mapInArrow(run, schema).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, kind)
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(-1)
+
+
+def segment_ends(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Where each segment's keys end among sorted ones; a segment holds a range of hashes."""
+    bounds = np.array([(i << 64) // segments for i in range(1, segments)], np.uint64)
+    return np.append(np.searchsorted(keys, bounds), len(keys))
 
 
 def levels_of(n: Column, least: int | Column) -> Column:
@@ -164,54 +167,91 @@ def filter_segments(rows: DataFrame, bits: int) -> np.ndarray:
     return filled
 
 
-def train(texts: DataFrame, bits: int = BITS) -> tuple[CountFilter, DataFrame]:
-    """The filter of all ``texts``, and their exact word counts (key, n)."""
-    counts = cut_lineage(ngram_counts(texts).where((F.col("kind") == WORD) | (F.col("n") > 1)))
-    words = counts.where(F.col("kind") == WORD).select("key", "n")
-    totals = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
-    word_rows, word_least = stored_rows(words, WORD, bits)
-    pair_rows, pair_least = stored_rows(counts.where(F.col("kind") == PAIR).select("key", "n"), PAIR, bits)
-    pairs = counts.where((F.col("kind") == PAIR) & (F.col("n") >= pair_least))
-    mass = pairs.groupBy(F.shiftrightunsigned("key", 32).alias("key")).agg(F.sum("n").alias("n"))
-    mass_rows, mass_least = stored_rows(mass, MASS, bits)
-    segments = filter_segments(word_rows.unionByName(pair_rows).unionByName(mass_rows), bits)
-    least = {WORD: word_least, PAIR: pair_least, MASS: mass_least}
-    return CountFilter(segments, least, totals["tokens"] or 0, totals["distinct"]), words
-
-
-def log_probabilities(model: CountFilter, tokens: np.ndarray) -> np.ndarray:
-    """log10 P of each token of one or more texts after the one before it."""
-    words, which = np.unique(tokens, return_inverse=True)
-    keys, pair = np.unique(pair_keys(tokens), return_inverse=True)
-    single = (model.count(words, WORD) + 0.5) / (model.tokens + 0.5 * (model.distinct + 1))
-    before = np.append(np.uint64(TEXT_END), tokens[:-1])
-    contexts, context = np.unique(before, return_inverse=True)
-    total = np.maximum(model.count(contexts, WORD, upper=True), 1.0)
-    mass = np.minimum(model.count(contexts & LOW, MASS), total)
-    total, mass = total[context], mass[context]
-    seen = np.minimum(model.count(keys, PAIR)[pair], total)
-    return np.log10(SHARE * seen / total + (1 - SHARE * mass / total) * single[which])
-
+def _scan(segments: int):
+    """Rows of MOVED: one of kind 0 for each part, and one for each segment with the part's words, one with its pairs."""
+    to = arrow_schema(MOVED)
 
-def _scan(shared, frequent):
-    def make():
-        model, (known, counts) = shared.value, frequent.value
-        logs, hashes = np.log10(counts + 0.5), WordHashes()
-
-        def scan(texts: list) -> dict:
-            tokens = [token_hashes(t, hashes) for t in texts]
-            ends = np.cumsum([len(t) for t in tokens])
-            every = np.concatenate(tokens)
-            own = np.add.reduceat(log_probabilities(model, every), np.append(0, ends[:-1]))
-            at = np.minimum(np.searchsorted(known, every), max(len(known) - 1, 0))
-            hit = known[at] == every if len(known) else np.zeros(len(every), bool)
-            sums = np.add.reduceat(np.where(hit, logs[at] if len(known) else 0.0, 0.0), np.append(0, ends[:-1]))
-            rare = [t[~h].view(np.int64) for t, h in zip(tokens, np.split(hit, ends[:-1]))]
-            return {"n_tokens": [len(t) for t in tokens], "score": own, "frequent_sum": sums, "rare": rare}
-
-        return scan
-
-    return make
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, number = WordHashes(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in parts_of(batch, most=6_000_000):
+                tokens = [token_hashes(t, hashes) for t in part.column("text").to_pylist()]
+                lengths = np.array([len(t) for t in tokens], np.int32)
+                every = np.concatenate(tokens)
+                learnt = np.repeat(part.column("trained").to_numpy(zero_copy_only=False), lengths).astype(float)
+                words, place = np.unique(every, return_inverse=True)
+                rows = [(-1 - number, number, 0, lengths, part.column("doc_id").to_pylist(), len(words), packed(words),
+                         packed(place.astype(np.uint32)), None, None)]
+                pairs, pair_place = np.unique(pair_keys(every), return_inverse=True)
+                for kind, keys, which in ((WORD, words, place), (PAIR, pairs, pair_place)):
+                    times = np.bincount(which, learnt, len(keys)).astype(np.uint32)
+                    begin = 0
+                    for segment, end in enumerate(segment_ends(keys, segments).tolist()):
+                        if kind == WORD or end > begin:  # every part hears from every segment, for the totals
+                            rows.append((segment, number, kind, None, None, end - begin, packed(keys[begin:end]), packed(times[begin:end]), None, None))
+                        begin = end
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), to)], schema=to)
+                number += 1
+
+    return run
+
+
+def _summed():
+    """A segment's answers to the parts: for each of a part's keys the count in all training texts, and the segment's totals."""
+    to = arrow_schema(MOVED)
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("segment")[0].as_py() < 0:
+            return table
+        out, totals = [], (0, 0)
+        kinds, parts, sizes = (table.column(c).to_numpy() for c in ("kind", "part", "n"))
+        for kind in (WORD, PAIR):
+            at = np.flatnonzero(kinds == kind).tolist()
+            if not at:
+                continue
+            keys = np.concatenate([unpacked(table.column("data")[i].as_py(), int(sizes[i]), np.uint64) for i in at])
+            times = np.concatenate([unpacked(table.column("more")[i].as_py(), int(sizes[i]), np.uint32) for i in at])
+            found, which = np.unique(keys, return_inverse=True)
+            sums = np.bincount(which, times, len(found)).astype(np.int64)
+            if kind == WORD:
+                totals = int(sums.sum()), int((sums > 0).sum())
+            segment = table.column("segment")[0].as_py()
+            for i, answer in zip(at, np.split(sums[which], np.cumsum(sizes[at])[:-1])):
+                out.append((segment, int(parts[i]), kind, None, None, len(answer), packed(answer), None, *totals))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
+
+    return run
+
+
+def log_probabilities(tokens: np.ndarray, pairs: np.ndarray, before: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 P of tokens after the one before, from the training counts of each token, of the pair and of the one before."""
+    single = (tokens + 0.5) / (total + 0.5 * (distinct + 1))
+    return np.log10(SHARE * pairs / np.maximum(before, 1) + np.where(before > 0, 1 - SHARE, 1.0) * single)
+
+
+def _scored():
+    """A part's texts with the sums from all segments."""
+    to = arrow_schema(SCORES)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["segment"]))  # the order of the part's sorted keys
+        texts, answers = rows[0], rows[1:]
+        counts = {kind: np.concatenate([unpacked(r["data"], r["n"], np.int64) for r in answers if r["kind"] == kind]) for kind in (WORD, PAIR)}
+        total, distinct = (sum(r[c] for r in answers if r["kind"] == WORD) for c in ("tokens", "distinct"))
+        lengths = np.array(texts["lengths"])
+        place = unpacked(texts["more"], int(lengths.sum()), np.uint32)
+        tokens = unpacked(texts["data"], texts["n"], np.uint64)[place]
+        which = np.unique(pair_keys(tokens), return_inverse=True)[1]
+        n = counts[WORD][place]
+        end = n[lengths[0] - 1]
+        own = log_probabilities(n, counts[PAIR][which], np.append(end, n[:-1]), total, distinct)
+        base = np.log10(n + 0.5) - math.log10(total + 0.5 * (distinct + 1))
+        begins = np.append(0, np.cumsum(lengths)[:-1])
+        return pa.Table.from_arrays(
+            [pa.array(texts["ids"], pa.int64()), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((n > 0).astype(np.int64), begins)),
+             pa.array(np.full(len(lengths), total, np.int64)), pa.array(np.add.reduceat(base, begins)), pa.array(np.add.reduceat(own, begins))], schema=to)
+
+    return run
 
 
 def score(docs: DataFrame, fold: Column, bits: int = BITS, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,23 +259,10 @@ def score(docs: DataFrame, fold: Column, bits: int = BITS, frequent: int = FREQU
 
     The model learns from the rows that ``fold`` (over doc_id) admits. A null or empty text is one end token. Rows that
     repeat an id are scored one by one. With no training rows every count is 0. Other columns are not looked at.
+    ``bits`` is about the size of the keys that meet in one segment; no result depends on it, nor on ``frequent``.
     """
-    rows = keyed(docs, id_col, text_col)
-    model, words = train(rows.where(fold), bits)
-    sc = docs.sparkSession.sparkContext
-    top = words.orderBy(F.desc("n"), "key").limit(frequent).toArrow()
-    known, times = (top.column(c).to_numpy() for c in ("key", "n"))
-    order = np.argsort(known.view(np.uint64))
-    best = sc.broadcast((known.view(np.uint64)[order], times[order].astype(np.float64)))
-    scanned = map_texts(rows, _scan(sc.broadcast(model), best), "n_tokens bigint, score double, frequent_sum double, rare array<bigint>")
-    scanned = cut_lineage(scanned.withColumn("row", F.monotonically_increasing_id()))
-    rare = (scanned.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-            .join(words, "key").groupBy("row").agg(
-                F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("rare_sum")))
-    of_rare = F.coalesce("known", F.lit(0).cast("bigint"))
-    unknown = F.size("rare") - of_rare
-    norm = math.log10(model.tokens + 0.5 * (model.distinct + 1))
-    base = F.col("frequent_sum") + F.coalesce("rare_sum", F.lit(0.0)) + unknown * F.lit(math.log10(0.5)) - F.col("n_tokens") * F.lit(norm)
-    return scanned.join(rare, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_tokens") - unknown).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"), "score")
+    rows = keyed(docs, id_col, text_col).withColumn("trained", F.coalesce(fold, F.lit(False)))
+    held = rows.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
+    segments = max(1, -(-held * 64 // (KEY_TEXT * bits)))
+    moved = rows.mapInArrow(_scan(segments), MOVED)
+    return moved.groupBy("segment").applyInArrow(_summed(), MOVED).groupBy("part").applyInArrow(_scored(), SCORES)

@@ -209,6 +209,32 @@ def test_unigram_scores_are_exact_and_the_model_is_better_on_copies(spark):
     assert {(r.n_known, r.train_tokens) for r in nothing} == {(0, 0)} and all(math.isfinite(r.score) for r in nothing)
 
 
+@pytest.mark.parametrize("bits", [1 << 9, 1 << 13, 1 << 27])
+def test_model_scores_hold_every_pair_at_every_size(spark, bits):
+    """Scores from exact counts, pairs and words seen once included, whether the keys meet in one segment or in many."""
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(60)))) for i in range(120)] + [(500, None), (None, "w1 w2 neverseen w3"), (7, "w1 w2"), (7, "w1 w2")]
+    trained = lambda d: d is not None and d % 4 != 1
+    lists = [[*space_words(t), b"\n"] for _, t in rows]
+    count, pairs = collections.Counter(), collections.Counter()
+    for (d, _), tokens in zip(rows, lists):
+        if trained(d):
+            count.update(tokens)
+            pairs.update(zip([b"\n", *tokens], tokens))
+    total, distinct = sum(count.values()), len(count)
+    assert sum(n == 1 for n in pairs.values()) > 0.9 * len(pairs)
+    want = []
+    for (d, _), tokens in zip(rows, lists):
+        own = 0.0
+        for a, b in zip([b"\n", *tokens], tokens):
+            single = (count[b] + 0.5) / (total + 0.5 * (distinct + 1))
+            own += math.log10(0.8 * pairs[a, b] / count[a] + 0.2 * single if count[a] else single)
+        want.append((str(d), len(tokens), round(own, 6)))
+    got = lm_score.score(frame(spark, rows).repartition(5), F.col("doc_id") % 4 != 1, bits=bits).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got) == sorted(want)
+
+
 def test_filter_reads_counts_back(spark):
     rng = np.random.default_rng(3)
     keys = rng.integers(-2 ** 62, 2 ** 62, 3000)
