@@ -12,6 +12,7 @@ of labelled documents (``TRAIN_ROWS``), which is all that reaches the driver bes
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,9 +53,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BEFORE, BEHIND = "\"'([", ".,;:!?\"')]"
 SIGN_RUN = re.compile(r"([^\w\s])\1\1+\Z")
 THRICE = re.compile(r"(.)\1\1")
-#: Single letters (or look-alikes) with a separator between them, four at least; and what every such stretch holds.
-SPACED = re.compile(r"(?<![^\s.\-_*~])(?:[^\W_]|[@$!|+(€])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|+(€])){3,30}(?![^\s.,;:?\-_*~])")
-SPACED_INSIDE = re.compile(r"[ .\-_*~][^\s.\-_*~][ .\-_*~]{1,2}[^\s.\-_*~][ .\-_*~]")
+#: Single letters (or look-alikes) with a separator between them, three or more; and what every such stretch holds.
+SPACED = re.compile(r"(?<![^\s.\-_*~])(?:[^\W_]|[@$!|+(€])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|+(€])){2,}(?![^\s.,;:?\-_*~])")
+SPACED_INSIDE = re.compile(r"[ .\-_*~][^\s.\-_*~][ .\-_*~]{1,2}[^\s.\-_*~](?![^\s.,;:?\-_*~])")
 RUN = re.compile(r"(.)\1*", re.S)
 
 
@@ -95,6 +96,8 @@ class Channel:
     """Restores stretches of text by Viterbi decoding."""
 
     SWAP, DROP, KEEP, REPEAT, KEPT_ODD = 0.5, 0.2, 2.0, 0.3, 4.0
+    #: After so many steps, what all paths agree on is settled. Paths that differ further back than ``PENDING`` characters end.
+    WINDOW, PENDING = 32, 256
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
@@ -112,9 +115,22 @@ class Channel:
         once = (char, self.REPEAT * (times - 1))
         return [once, (char * 2, self.REPEAT * (times - 2))]
 
+    def settled(self, paths: dict[tuple[int, int], tuple[float, str]], done: list[str]) -> dict[tuple[int, int], tuple[float, str]]:
+        """The paths without the beginning that they share, which goes to ``done``."""
+        shared = os.path.commonprefix([text for _, text in paths.values()])
+        best = min(paths.values())[1]
+        if len(best) > len(shared) + self.PENDING:
+            ahead = best[:len(best) - self.PENDING // 2]
+            shared = ahead[:ahead.rfind(" ") + 1] or ahead  # between words, if there are any
+            paths = {at: path for at, path in paths.items() if path[1].startswith(shared)}
+        done.append(shared)
+        return {at: (total, text[len(shared):]) for at, (total, text) in paths.items()}
+
     def restored(self, stretch: str) -> str:
+        """The cheapest reading of a stretch of any length, in time linear in it."""
         paths: dict[tuple[int, int], tuple[float, str]] = {(END, END): (0.0, "")}
-        for run in RUN.finditer(stretch):
+        done: list[str] = []
+        for nth, run in enumerate(RUN.finditer(stretch), 1):
             steps: dict[tuple[int, int], tuple[float, str]] = {}
             for written, cost in self.options(run[1], len(run[0])):
                 codes = symbols(written).tolist()
@@ -125,14 +141,14 @@ class Channel:
                         a, b = b, c
                     if (a, b) not in steps or (total, text + written) < steps[a, b]:
                         steps[a, b] = (total, text + written)
-            paths = steps
-        return min((total + self.costs[a][b][END], text) for (a, b), (total, text) in paths.items())[1]
+            paths = steps if nth % self.WINDOW else self.settled(steps, done)
+        return "".join(done) + min((total + self.costs[a][b][END], text) for (a, b), (total, text) in paths.items())[1]
 
     def words(self, token: str) -> list[str]:
-        """Letter words of a lower-case token, restored too if it looks obfuscated. Very long tokens are taken as they are."""
+        """Letter words of a lower-case token, restored too if it looks obfuscated."""
         token = SIGN_RUN.sub("", token).lstrip(BEFORE).rstrip(BEHIND)
         plain = token.isalpha()
-        if len(token) > 64 or (plain and not THRICE.search(token)) or not any(map(str.isalpha, token)):
+        if (plain and not THRICE.search(token)) or not any(map(str.isalpha, token)):
             return [token] if plain else LETTERS.findall(token)
         return LETTERS.findall(token) + LETTERS.findall(self.restored(token))
 

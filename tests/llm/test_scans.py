@@ -183,6 +183,28 @@ def test_channel_restores_disguised_words(spark, toxic_model):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_channel_restores_stretches_of_any_length(spark, toxic_model):
+    model, _, _ = toxic_model
+    spaced = lambda text, gap: "  ".join(gap.join(w) for w in text.split())
+    rows = [(1, "  ".join("gohomeyouworthlessidiotnow")), (2, spaced("you are such a worthless stupid idiot and a loser", " ")),
+            (3, " ".join("youaresuchaworthlessstupididiot" * 40)), (4, "the_of-" * 20_000 + "1d10t"), (5, "of the " + "-".join("on" * 50_000) + " idiot"), (6, "")]
+    score = {r.doc_id: r.score for r in toxicity.score(frame(spark, rows), model).collect()}
+    for doc in range(1, 6):
+        assert score[doc] > 3 * score[6], doc
+    reader = toxicity.Reader(toxicity.Channel(model.costs), None)
+    assert "=abc" in reader.features("a b c") and "=abc" in reader.features("so a-b-c, then") and "=abc" not in reader.features("a b")
+
+
+def test_settled_beginnings_change_no_reading(toxic_model):
+    whole = toxicity.Channel(toxic_model[0].costs)
+    whole.WINDOW = 1 << 60  # one window
+    rng = random.Random(14)
+    for n in (5, 64, 65, 300, 1500):
+        for letters in ("idot 1", "1|10 .-", "abc aa!", "éß?x0 -"):
+            text = "".join(rng.choices(letters, k=n))
+            assert toxicity.Channel(toxic_model[0].costs).restored(text) == whole.restored(text), text
+
+
 def test_unigram_scores_are_exact_and_the_model_is_better_on_copies(spark):
     rng = random.Random(12)
     words = [f"W{i}" for i in range(400)]
