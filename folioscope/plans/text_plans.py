@@ -24,8 +24,8 @@ SELECT source AS group_id, (strlen(text) + 1)::BIGINT AS n_bytes, sha256(text ||
 def _read_corpus(spark, sf):
     """Every document as a text file below its group's folder, read back as files."""
     root = scratch_path(spark, "corpus")
-    documents(spark, sf).select("text", F.col("source").alias("group_id")).repartition("group_id").write.partitionBy("group_id").option(
-        "maxRecordsPerFile", 1).text(root)
+    dealt = documents(spark, sf).repartition("source", F.pmod(F.xxhash64("doc_id"), F.lit(1024)))  # a large source goes to many tasks
+    dealt.select("text", F.col("source").alias("group_id")).write.partitionBy("group_id").option("maxRecordsPerFile", 1).text(root)
     return corpus.read_corpus(spark, root).select(
         "group_id", "n_bytes", F.sha2("content", 256).alias("content_sha256"), extension(F.col("filename")).alias("extension"))
 

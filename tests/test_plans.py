@@ -71,3 +71,17 @@ def test_settings_json(spark):
     got = {r.group_id: (r.provider, r.chunks_per_doc) for r in catalog_json.settings_rows(
         spark.createDataFrame([(text,)], "value string")).collect()}
     assert got == {"default": ("p0", None), "g1": ("p1", None), "g2": (None, 5)}
+
+
+def test_a_large_source_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from folioscope.plans import text_plans
+    rows = [(i, f"text {i}", "one", "en") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(text_plans, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be joined in one task
+    try:
+        assert text_plans._read_corpus(spark, str(tmp_path)).count() == 200
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list((tmp_path / "corpus" / "group_id=one").glob("part-*"))
+    assert len(files) == 200 and len({f.name.split("-")[1] for f in files}) > 1
