@@ -13,6 +13,7 @@ from folioscope.llm.decontaminate import benchmark_hits, judged
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.jaccard_join import jaccard_components
 from folioscope.llm.packing import pack, piece_digests
+from folioscope.llm.periodic_runs import periodic_runs, run_digests, with_planted_tails
 from folioscope.llm.token_files import read_tokens, write_tokens
 from folioscope.llm.unit_dedup import dedup_passages, passage_digests
 from folioscope.llm.url_templates import url_verdicts, verdict_sql
@@ -156,3 +157,41 @@ def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(read_table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def crc32_sql(column: str) -> str:
+    """The unsigned checksum of a number's decimal digits, bit by bit."""
+    return (f"xor(list_reduce(list_transform(string_split(cast({column} as varchar), ''), lambda c: cast(ascii(c) as bigint)), lambda crc, byte: "
+            "list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, step: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)), 4294967295), 4294967295)")
+
+
+@query("op11_periodic_runs", f"""
+with words_of as (
+  select doc_id, w, len(w) as n, {crc32_sql("doc_id")} as h, {crc32_sql("doc_id")} // 10 as g
+  from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents)),
+tails as (select *, case when h % 10 = 0 and n > 0 then g % n else n end as a from words_of),
+periods as (select *, 1 + (n - a) // (3 + g % 8) as p from tails),
+planted as (
+  select doc_id, n, list_transform(generate_series(0, n - 1), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % p + 1] end) as w
+  from periods),
+places as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from planted),
+pairs as (select x.doc_id, y.i - x.i as q, x.i from places x join places y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i),
+islands as (
+  select doc_id, q, min(i) as start, count(*) + q as length
+  from (select *, i - row_number() over (partition by doc_id, q order by i) as island from pairs)
+  group by doc_id, q, island having count(*) >= q and count(*) + q >= 12),
+runs as (select doc_id, start, length, min(q) as period from islands group by doc_id, start, length),
+per_doc as (
+  select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed,
+         first(struct_pack(s := start, l := length, p := period) order by length desc, start, period) as best
+  from runs group by doc_id),
+dropped as (select distinct doc_id, unnest(generate_series(start + period, start + length - 1)) as i from runs),
+kept as (
+  select doc_id, string_agg(word, ' ' order by i) as collapsed
+  from places anti join dropped using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.l as length, best.p as period,
+       (1000 * best.l) // best.p as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256,
+       sha256(coalesce(collapsed, '')) as collapsed_sha256
+from documents d left join per_doc using (doc_id) left join kept using (doc_id)""")
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_tails(read_table(spark, sf, "documents"))))
