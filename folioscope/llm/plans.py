@@ -14,6 +14,8 @@ from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.jaccard_join import jaccard_components
 from folioscope.llm.packing import pack, piece_digests
 from folioscope.llm.periodic_runs import periodic_runs, run_digests, with_planted_tails
+from folioscope.llm.piece_merges import decode_pieces, encode_pieces
+from folioscope.llm.piece_merges import piece_digests as coded_digests
 from folioscope.llm.token_files import read_tokens, write_tokens
 from folioscope.llm.unit_dedup import dedup_passages, passage_digests
 from folioscope.llm.url_templates import url_verdicts, verdict_sql
@@ -195,3 +197,9 @@ select d.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.l as lengt
 from documents d left join per_doc using (doc_id) left join kept using (doc_id)""")
 def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return run_digests(periodic_runs(with_planted_tails(read_table(spark, sf, "documents"))))
+
+
+@query("op13_sentence_pieces")
+def op13_sentence_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return coded_digests(decode_pieces(encode_pieces(read_table(spark, sf, "documents"), model), model))
