@@ -32,7 +32,7 @@ NEXT_WORD = re.compile(f"[^{MARK}](?={MARK})")
 #: No pair: worse than every rank.
 NONE = np.int32(2**31 - 1)
 #: Bytes of remembered words and ids in one task.
-REMEMBERED_BYTES = 96_000_000
+REMEMBERED_BYTES = 48_000_000
 #: Rounds after which a word that still has many symbols is merged on one by one.
 MOST_ROUNDS, MANY_SYMBOLS = 96, 256
 
@@ -345,25 +345,28 @@ class PieceCoder:
         return _gathered(self.flat, self.begin[at], self.size[at]), np.diff(total[ends])
 
 
-def _encoder(path: str, remembered: int) -> Callable[[], Callable[[list], dict]]:
+def _encoder(path: str, remembered: int, decoded: bool) -> Callable[[], Callable[[list], dict]]:
     def make() -> Callable[[list], dict]:
         coder = PieceCoder(path, remembered)
 
         def run(texts: list) -> dict:
             ids, sizes = coder.encode(texts)
-            return {"ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids, pa.int32()))}
+            out = {"ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids, pa.int32()))}
+            return out | ({"text": [t.decode("utf-8") for t in coder.model.decode(ids, sizes)]} if decoded else {})
         return run
     return make
 
 
-def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED_BYTES) -> DataFrame:
-    """doc_id and ids (array of int) of the whole text, as the SentencePiece library gives them without begin and end ids.
+def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED_BYTES,
+                  decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of the whole text, as the SentencePiece library gives them without begin and end ids; if
+    ``decoded``, also text, what the ids stand for, decoded in the same pass.
 
     Null and empty texts have no ids. Very long texts are encoded whole; so are words of any length. Each row gives one row:
     repeated rows and null ids pass through; an empty table gives an empty one. Equal scores go to the leftmost pair. Other
     columns are left out, whatever their names. Map-only.
     """
-    return map_texts(keyed(docs, id_col, text_col), _encoder(path, remembered), "ids array<int>")
+    return map_texts(keyed(docs, id_col, text_col), _encoder(path, remembered, decoded), "ids array<int>" + ", text string" * decoded)
 
 
 def decode_pieces(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", most: int = 500_000) -> DataFrame:

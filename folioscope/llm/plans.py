@@ -14,8 +14,9 @@ from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.jaccard_join import jaccard_components
 from folioscope.llm.packing import pack, piece_digests
 from folioscope.llm.periodic_runs import periodic_runs, run_digests, with_planted_tails
-from folioscope.llm.piece_merges import decode_pieces, encode_pieces
+from folioscope.llm.piece_merges import encode_pieces
 from folioscope.llm.piece_merges import piece_digests as coded_digests
+from folioscope.llm.prefix_trie import conversation_trie
 from folioscope.llm.token_files import read_tokens, write_tokens
 from folioscope.llm.unit_dedup import dedup_passages, passage_digests
 from folioscope.llm.url_templates import url_verdicts, verdict_sql
@@ -201,5 +202,31 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op13_sentence_pieces")
 def op13_sentence_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return coded_digests(decode_pieces(encode_pieces(read_table(spark, sf, "documents"), model), model))
+    return coded_digests(encode_pieces(read_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True))
+
+
+@query("op12_conversation_trie", f"""
+with convs as (
+  select conv_id, {crc32_sql("conv_id")} % 6 as h, conv_id - conv_id % 100 as base,
+         list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as own
+  from conversations where conv_id is not null group by conv_id),
+rebuilt as (
+  select c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) as seq
+  from convs c left join convs b on b.conv_id = c.base),
+paths as (select conv_id, d, seq[1:d] as seq, len(seq) = d as ends from (select *, unnest(generate_series(0, len(seq))) as d from rebuilt)),
+nodes as (
+  select d, seq, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '')) as ends_sha256
+  from paths group by d, seq),
+children as (select d - 1 as d, seq[1:d - 1] as seq, count(*) as n_children from nodes where d > 0 group by all),
+own as (
+  select n.*, coalesce(k.n_children, 0) as n_children, p.conv_id as parent_conv_id,
+         case when n.d = 0 then 0 else (n_convs - 1) * length(struct_extract(n.seq[n.d], 't')) end as saved
+  from nodes n left join children k on k.d = n.d and k.seq = n.seq left join nodes p on p.d = n.d - 1 and p.seq = n.seq[1:n.d - 1]),
+totals as (
+  select d, seq, cast(count(*) filter (where n_children = 0) as bigint) as n_leaves, cast(sum(saved) as bigint) as saved_tokens
+  from (select up as d, seq[1:up] as seq, n_children, saved from (select *, unnest(generate_series(0, d)) as up from own)) group by d, seq)
+select o.conv_id, o.d as depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+from own o join totals t on t.d = o.d and t.seq = o.seq""")
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_trie(read_table(spark, sf, "conversations"), shared=True)

@@ -87,6 +87,7 @@ def test_table_with_nulls_repeats_and_clashing_names(spark, library):
     assert sorted((str(r.doc_id), str(r.ids)) for r in encoded.collect()) == sorted((str(d), str(library.encode(t or ""))) for d, t in rows)
     decoded = pieces.decode_pieces(encoded, PATH, most=1000)
     assert sorted((str(r.doc_id), r.text) for r in decoded.collect()) == sorted((str(d), t or "") for d, t in rows)
+    assert sorted(map(str, pieces.encode_pieces(docs, PATH, decoded=True).collect())) == sorted(map(str, decoded.collect()))
     assert pieces.piece_digests(pieces.decode_pieces(pieces.encode_pieces(docs.limit(0), PATH), PATH)).count() == 0
     no_ids = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert pieces.piece_digests(pieces.decode_pieces(no_ids, PATH)).collect()[0][1] == 0
