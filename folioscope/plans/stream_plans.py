@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from folioscope.plans.registry import query
 from folioscope.plans.sql_parts import CHUNKS
-from folioscope.session import read_table, scratch_path
-from folioscope.streaming import live
+from folioscope.session import scratch_path
+from folioscope.streaming import live, timers
 
 
 @query("feedback_stream", """
@@ -17,18 +16,14 @@ WITH v AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type, ar
   FROM events WHERE event_type IN ('click', 'error') GROUP BY user_id)
 SELECT date_trunc('day', ts)::TIMESTAMP AS day, CASE event_type WHEN 'click' THEN 'like' ELSE 'dislike' END AS vote, count(*) AS n FROM v GROUP BY ALL""")
 def _feedback(spark, sf):
-    """A user's events are votes on one response; files arrive in the order of the events' rank within their user."""
-    rated = read_table(spark, sf, "events").filter("event_type in ('click', 'error')")
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    votes = rated.select("ts", F.col("user_id").cast("string").alias("response_id"),
-                         F.when(F.col("event_type") == "click", "like").otherwise("dislike").alias("vote"), F.least(nth, F.lit(2)).alias("nth"))
+    """A user's events are votes on one response. Votes that the watermark has passed come from the stream, the others from its state."""
+    rated = live.read_files(spark, sf, "events.parquet").filter("event_type in ('click', 'error')")
+    votes = rated.select("ts", F.col("event_id").alias("tie"), F.col("user_id").alias("response_id"),
+                         F.when(F.col("event_type") == "click", "like").otherwise("dislike").alias("vote"))
     path = scratch_path(spark, "feedback-stream")
-    votes.filter("nth = 1").drop("nth").coalesce(1).write.parquet(f"{path}/in")
-    live.with_closing_row(votes.filter("nth = 2").drop("nth"), f"{path}/in")
-    stream = live.read_files(spark, f"{path}/in", "*.parquet", per_batch=1).withColumn(
-        "response_id", F.coalesce("response_id", F.lit("closing row")))
-    live.drain_to_files(live.feedback_counts(stream, memory="365 days").select(F.col("span.start").alias("day"), "vote", "n"), path)
-    return spark.read.schema("day timestamp, vote string, n long").parquet(f"{path}/out").filter("vote is not null")
+    timers.drain(timers.first_votes(votes, memory_days=365), path)
+    counted = spark.read.schema(timers.VOTE).parquet(f"{path}/out").unionByName(timers.open_votes(spark, path))
+    return counted.groupBy(F.date_trunc("day", "ts").alias("day"), "vote").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ingest_stream", f"WITH {CHUNKS} SELECT doc_id, source, lang, chunk_index, chunk_text, chunk_id FROM chunks")
@@ -56,9 +51,8 @@ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS
 e AS (SELECT user_id, min(ts)::TIMESTAMP AS opened, (max(ts) + INTERVAL 30 MINUTE)::TIMESTAMP AS closed, count(*) AS n FROM s GROUP BY user_id, k)
 SELECT * FROM e""")
 def _sessions(spark, sf):
+    """Closed sessions come from the stream, those still open when the events end from its state."""
     path = scratch_path(spark, "session-stream")
-    live.with_closing_row(read_table(spark, sf, "events").select("ts", "user_id"), f"{path}/in")
-    events = live.read_files(spark, f"{path}/in", "*.parquet", per_batch=1)
-    live.drain_to_files(live.session_ends(events).select(
-        "user_id", F.col("session.start").alias("opened"), F.col("session.end").alias("closed"), "n"), path)
-    return spark.read.schema("user_id long, opened timestamp, closed timestamp, n long").parquet(f"{path}/out")
+    timers.drain(timers.expiring_sessions(live.read_files(spark, sf, "events.parquet").select("ts", "user_id")), path)
+    every = spark.read.schema(timers.SESSION).parquet(f"{path}/out").unionByName(timers.open_sessions(spark, path))
+    return every.withColumn("user_id", F.col("user_id").cast("bigint"))

@@ -1,9 +1,4 @@
-"""Stream-shaped behaviour: feedback counts, ingest, last use, session documents.
-
-Sources are folders of Parquet files. Results are complete up to the watermark: windows and sessions
-still open when the input ends stay in state, as they would in a running job. A closing row far behind the
-last event (``with_closing_row``) moves the watermark past them; it closes windows and is in none that is returned.
-"""
+"""Stream-shaped behaviour without timers: reading, ingest, last use. Sources are folders of Parquet files."""
 
 from __future__ import annotations
 
@@ -21,34 +16,6 @@ def read_files(spark: SparkSession, folder: str, name: str, per_batch: int | Non
     return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(folder)
 
 
-def with_closing_row(events: DataFrame, path: str, after: str = "400 days") -> None:
-    """Writes ``events`` (ts and others) as one file, then a second file with one row ``after`` the last event."""
-    events.coalesce(1).write.mode("append").parquet(path)
-    last = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr(f"INTERVAL {after}")).cast(events.schema["ts"].dataType).alias("ts"))
-    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
-    last.select("ts", *rest).select(*events.columns).coalesce(1).write.mode("append").parquet(path)
-
-
-def _timed(events: DataFrame, delay: str) -> DataFrame:
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-
-
-def feedback_counts(votes: DataFrame, memory: str = "30 days", span: str = "1 day") -> DataFrame:
-    """window, vote, n: votes per time window, one per response. ``votes``: ts, response_id, vote.
-
-    The first vote that arrives for a response counts, in its own window; later ones are dropped for as long as
-    ``memory`` lasts after it, whichever window they fall into. Windows are final ``memory`` after their end.
-    """
-    once = _timed(votes, memory).dropDuplicatesWithinWatermark(["response_id"])
-    return once.withColumn("span", F.window("ts", span)).groupBy("span", "vote").agg(F.count(F.lit(1)).alias("n"))
-
-
-def session_ends(events: DataFrame, delay: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
-    """user_id, session, n: closed sessions, whose documents expire. ``events``: ts, user_id."""
-    return _timed(events, delay).groupBy("user_id", F.session_window("ts", gap).alias("session")).agg(
-        F.count(F.lit(1)).alias("n"))
-
-
 def last_used(events: DataFrame) -> DataFrame:
     """document, last_used — for update mode. ``events``: ts, document."""
     return events.groupBy("document").agg(F.max("ts").alias("last_used"))
@@ -59,15 +26,6 @@ def chunk_stream(docs: DataFrame) -> DataFrame:
         "chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk_text")))
 
 
-def drain_to_files(stream: DataFrame, path: str) -> None:
-    """Runs an append-mode stream over what is there now; the file sink is exactly-once per checkpoint."""
-    query = (
-        stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-
-
 def drain_batches(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Writes every micro-batch to its own folder, replaced when the batch is run again."""
     def write(batch, number):
