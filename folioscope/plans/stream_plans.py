@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioscope.plans.registry import query
 from folioscope.plans.sql_parts import CHUNKS
 from folioscope.session import scratch_path
-from folioscope.streaming import live, timers
+from folioscope.streaming import ingest, live, timers
 
 
 @query("feedback_stream", """
@@ -26,14 +25,29 @@ def _feedback(spark, sf):
     return counted.groupBy(F.date_trunc("day", "ts").alias("day"), "vote").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ingest_stream", f"WITH {CHUNKS} SELECT doc_id, source, lang, chunk_index, chunk_text, chunk_id FROM chunks")
+_INGESTED = f"WITH {CHUNKS} SELECT doc_id, source, lang, chunk_index, chunk_text, chunk_id FROM chunks"
+
+
+def _document_stream(spark, sf):
+    return live.read_files(spark, sf, "documents.parquet").select("doc_id", "source", "lang", "text")
+
+
+@query("ingest_stream", _INGESTED)
 def _ingest(spark, sf):
-    docs = live.read_files(spark, sf, "documents.parquet").select("doc_id", "source", "lang", "text")
-    stream = live.chunk_stream(docs)
     path = scratch_path(spark, "ingest-stream")
-    live.drain_batches(stream, path)
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
-    return live.latest_chunks(live.read_batches(spark, path, schema))
+    ingest.ingest(_document_stream(spark, sf), path)
+    return ingest.read_index(spark, path).drop("content_hash")
+
+
+@query("reingest_stream", _INGESTED)
+def _reingest(spark, sf):
+    """The documents arrive over an index of earlier states: some with another text, some that were deleted since, the rest alike."""
+    path = scratch_path(spark, "reingest-stream")
+    i = F.col("doc_id")
+    earlier = F.when(i % 3 == 0, F.concat(F.lit("Draft. "), F.reverse("text"))).when(i % 7 != 0, F.col("text"))
+    ingest.ingest(_document_stream(spark, sf).withColumn("text", earlier), path, "drafts")
+    ingest.ingest(_document_stream(spark, sf), path)
+    return ingest.read_index(spark, path).drop("content_hash")
 
 
 @query("last_used", "SELECT user_id AS document, max(ts)::TIMESTAMP AS last_used FROM events GROUP BY 1")

@@ -1,13 +1,10 @@
-"""Stream-shaped behaviour without timers: reading, ingest, last use. Sources are folders of Parquet files."""
+"""Stream-shaped behaviour without timers: reading and last use. Sources are folders of Parquet files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators.chunking import chunk_id, window_chunks
-from folioscope.sources.index_store import upsert_chunks
-
 
 def read_files(spark: SparkSession, folder: str, name: str, per_batch: int | None = None) -> DataFrame:
     """Stream over the files of ``folder`` that match ``name``, with the schema of those there now; oldest files first."""
@@ -21,11 +18,6 @@ def last_used(events: DataFrame) -> DataFrame:
     return events.groupBy("document").agg(F.max("ts").alias("last_used"))
 
 
-def chunk_stream(docs: DataFrame) -> DataFrame:
-    return window_chunks(docs).withColumn(
-        "chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk_text")))
-
-
 def drain_batches(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Writes every micro-batch to its own folder, replaced when the batch is run again."""
     def write(batch, number):
@@ -40,9 +32,3 @@ def drain_batches(stream: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/out")
-
-
-def latest_chunks(batches: DataFrame) -> DataFrame:
-    """The ingested index: the last batch wins per chunk."""
-    none = batches.filter(F.lit(False))
-    return upsert_chunks(batches, none, "chunk_id", "batch").drop("batch")
