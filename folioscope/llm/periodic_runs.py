@@ -29,6 +29,8 @@ PRIME, GENERATOR, LARGEST = 998_244_353, 3, 1 << 20
 SHORT, LEAST_LENGTH = 8, 12
 #: Numbers that one batch of transforms holds.
 HELD = 1 << 18
+#: Texts that are searched together.
+TEXTS = 500
 
 
 def _roots(size: int, cache: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}) -> tuple[list[np.ndarray], list[np.ndarray]]:  # noqa: B006
@@ -233,12 +235,12 @@ def collapsed(words: list[bytes], runs: np.ndarray) -> bytes:
 
 def _finder() -> Callable[[list], dict]:
     def run(texts: list) -> dict:
-        found = runs_in(texts)
-        return {
-            "n_words": [len(w) for w, _ in found],
-            "runs": [[dict(zip(("start", "length", "period"), r)) for r in runs.tolist()] for _, runs in found],
-            "collapsed": [collapsed(w, runs).decode("utf-8") for w, runs in found],
-        }
+        out = {"n_words": [], "runs": [], "collapsed": []}
+        for words, found in (r for i in range(0, len(texts), TEXTS) for r in runs_in(texts[i:i + TEXTS])):
+            out["n_words"].append(len(words))
+            out["runs"].append([dict(zip(("start", "length", "period"), r)) for r in found.tolist()])
+            out["collapsed"].append(collapsed(words, found).decode("utf-8"))
+        return out
     return run
 
 
@@ -266,28 +268,13 @@ def run_digests(found: DataFrame) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-def _planter() -> Callable[[list], dict]:
-    def run(rows: list) -> dict:
-        out = []
-        for row in rows:
-            h, _, text = row.partition("\n")
-            words = encoded(text).split()
-            n, g = len(words), int(h) // 10
-            if int(h) % 10 == 0 and n:
-                a = g % n
-                p = 1 + (n - a) // (3 + g % 8)
-                words = words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[:n - a]
-                text = b" ".join(words).decode("utf-8")
-            out.append(text)
-        return {"planted": out}
-    return run
-
-
 def with_planted_tails(docs: DataFrame) -> DataFrame:
     """doc_id, text: in one document of ten the words from some place on repeat with a period; which, and how, follows from
     the checksum of the id. A null id leaves its text as it is."""
-    rows = keyed(docs)
-    key = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1)).cast("string")
-    rows = rows.withColumn("text", F.concat(key, F.lit("\n"), F.coalesce("text", F.lit(""))))
-    return map_texts(rows, _planter, "planted string").withColumnRenamed("planted", "text")
-
+    rows = keyed(docs).withColumns({"text": F.coalesce("text", F.lit("")), "h": F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))})
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    rows = rows.withColumns({"w": F.when(F.col("h") % 10 == 0, words), "g": F.expr("h div 10")})
+    rows = rows.withColumn("a", F.expr("if(size(w) > 0, g % size(w), null)"))
+    rows = rows.withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)"))
+    tail = "slice(flatten(array_repeat(slice(w, int(a + 1), int(p)), int((size(w) - a) div p + 1))), 1, int(size(w) - a))"
+    return rows.select("doc_id", F.expr(f"if(a is null, text, array_join(concat(slice(w, 1, int(a)), {tail}), ' '))").alias("text"))

@@ -221,7 +221,7 @@ nodes as (
 children as (select d - 1 as d, seq[1:d - 1] as seq, count(*) as n_children from nodes where d > 0 group by all),
 own as (
   select n.*, coalesce(k.n_children, 0) as n_children, p.conv_id as parent_conv_id,
-         case when n.d = 0 then 0 else (n_convs - 1) * length(struct_extract(n.seq[n.d], 't')) end as saved
+         case when n.d = 0 then 0 else (n.n_convs - 1) * length(struct_extract(n.seq[n.d], 't')) end as saved
   from nodes n left join children k on k.d = n.d and k.seq = n.seq left join nodes p on p.d = n.d - 1 and p.seq = n.seq[1:n.d - 1]),
 totals as (
   select d, seq, cast(count(*) filter (where n_children = 0) as bigint) as n_leaves, cast(sum(saved) as bigint) as saved_tokens
