@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions.vocab import SCORE_PATTERNS, USED_ENTRY, USED_SECTION
-from folioscope.operators import context, enrich, search, spans
+from folioscope.operators import block_search, context, enrich, search, spans
 from folioscope.operators.windows import with_neighbours
 from folioscope.plans.inputs import chunks, documents, texts
 from folioscope.plans.registry import query
 from folioscope.plans.sql_parts import CHUNKS, lit, tokens_sql, trim_sql, words_sql
 from folioscope.plans.text_plans import VECTORS_SQL
-from folioscope.session import cut_lineage, read_table
+from folioscope.session import cut_lineage, read_table, scratch_path
+from folioscope.sources import postings_store
 
 BM25_SQL = f"""{CHUNKS},
 ptok AS (SELECT chunk_id, unnest({tokens_sql('chunk_text')}) AS term FROM chunks),
@@ -42,20 +43,21 @@ def questions(spark, sf):
     return read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def stored_index(spark, sf):
+def stored_index(spark, sf, rows=None):
     """(postings, stats): the keyword index, written once, and its one-row statistics."""
-    postings = cut_lineage(search.bm25_index(chunks(spark, sf)))
+    postings = cut_lineage(search.bm25_index(chunks(spark, sf) if rows is None else rows))
     return postings, cut_lineage(search.index_stats(postings))
 
 
-def bm25_hits(spark, sf, k: int = 10):
-    return search.bm25_search(*stored_index(spark, sf), questions(spark, sf), k)
+def bm25_hits(spark, sf, k: int = 10, rows=None):
+    return search.bm25_search(*stored_index(spark, sf, rows), questions(spark, sf), k)
 
 
 def hits_with_text(spark, sf):
-    """The hits, with the chunk rows joined back only after the top-k."""
-    info = chunks(spark, sf).withColumn("filename", F.concat("doc_id", F.lit("_"), "source", F.lit(".txt")))
-    return bm25_hits(spark, sf).join(info.drop("chunk_index"), "chunk_id")
+    """The hits, with the chunk rows joined back only after the top-k. Texts are cut into chunks once, for both."""
+    rows = cut_lineage(chunks(spark, sf))
+    info = rows.withColumn("filename", F.concat("doc_id", F.lit("_"), "source", F.lit(".txt")))
+    return bm25_hits(spark, sf, rows=rows).join(info.drop("chunk_index"), "chunk_id")
 
 
 @query("bm25_index", f"""WITH {BM25_SQL}
@@ -70,6 +72,13 @@ def _bm25_search(spark, sf):
     return bm25_hits(spark, sf)
 
 
+@query("stored_bm25_search", f"WITH {BM25_SQL} SELECT query_id, chunk_id, score, rank FROM bm")
+def _stored_bm25(spark, sf):
+    path = scratch_path(spark, "postings")
+    postings_store.write_postings(chunks(spark, sf), path)
+    return block_search.bm25_from_blocks(postings_store.read_postings(spark, path), questions(spark, sf))
+
+
 def _cosine(spark, sf, index=None):
     postings, _ = index or stored_index(spark, sf)
     total = chunks(spark, sf).agg(F.count(F.lit(1)).alias("n"))
