@@ -214,7 +214,7 @@ def _query_blocks(queries: DataFrame, limit: int):
             yield [r[0] for r in rows], [list(r[1]) for r in rows]
 
 
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int, planes=None) -> DataFrame:
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
     id_type = dict(vectors.dtypes)["vec_id"]
     q_type = dict(queries.dtypes)["query_id"]
     results = []
@@ -226,12 +226,6 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int, planes=
             q = np.asarray(vecs, dtype=np.float64)
             q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             best: list = [None] * len(ids)  # scores and ids, of the ids' own type
-            if planes is not None:
-                tables, bits, seed = planes
-                normals = np.random.default_rng(seed).standard_normal((q.shape[1], tables * bits))
-                powers = 1 << np.arange(bits)
-                code = lambda m: ((m @ normals > 0).reshape(-1, tables, bits) * powers).sum(axis=2)
-                q_code = code(q)
             for pdf in batches:
                 if not len(pdf):
                     continue
@@ -241,14 +235,9 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int, planes=
                 v, vid = v[some] / norm[some], np.array(pdf["vec_id"].tolist())[some]
                 if not len(v):
                     continue
-                v_code = code(v) if planes is not None else None
-                sims = None if planes is not None else np.round(q @ v.T, 6)
+                sims = np.round(q @ v.T, 6)
                 for i in range(len(ids)):
-                    if planes is None:
-                        s, n = sims[i], vid
-                    else:
-                        near = (v_code == q_code[i]).any(axis=1)
-                        s, n = np.round(v[near] @ q[i], 6), vid[near]
+                    s, n = sims[i], vid
                     if best[i] is not None:
                         s, n = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], n])
                     keep = np.lexsort((n, -s))[:k]
@@ -275,12 +264,6 @@ def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int =
     return _nearest(vectors, queries, k, block)
 
 
-def knn_ann(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 12, bits: int = 4, seed: int = 7,
-            block: int = 2048) -> DataFrame:
-    """Approximate form: only vectors that share a random-hyperplane code with the question are scored."""
-    return _nearest(vectors, queries, k, block, planes=(tables, bits, seed))
-
-
 def question_vectors(vectors: DataFrame, group: str) -> DataFrame:
     """query_id, embedding: the mean vector of each group (combined per dimension before the shuffle)."""
     dims = vectors.select(group, F.posexplode("embedding").alias("d", "x"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions.vocab import SCORE_PATTERNS, USED_ENTRY, USED_SECTION
-from folioscope.operators import block_search, context, enrich, search, spans
+from folioscope.operators import block_search, code_search, context, enrich, search, spans
 from folioscope.operators.windows import with_neighbours
 from folioscope.plans.inputs import chunks, documents, texts
 from folioscope.plans.registry import query
@@ -130,7 +130,7 @@ def _knn(spark, sf):
 @query("knn_ann")
 def _ann(spark, sf):
     vectors = read_table(spark, sf, "embeddings")
-    return search.knn_ann(vectors, search.question_vectors(vectors, "label"))
+    return code_search.knn_ann(vectors, search.question_vectors(vectors, "label"))
 
 
 # model analyses, written from the retrieved rows

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import context, search, similarity, spans
+from folioscope.operators import code_search, context, search, similarity, spans
 
 
 def test_citation_tiers(spark):
@@ -74,7 +74,7 @@ def test_knn_blocks_and_recall(spark):
     one = {tuple(r) for r in search.knn_exact(base, q, 5).collect()}
     many = {tuple(r) for r in search.knn_exact(base, q, 5, block=4).collect()}
     assert one == many and len(one) == 125
-    near = {(r.query_id, r.vec_id) for r in search.knn_ann(base, q, 5).collect()}
+    near = {(r.query_id, r.vec_id) for r in code_search.knn_ann(base, q, 5).collect()}
     assert len(near & {(a, b) for a, b, *_ in one}) / 125 > 0.8
 
 
