@@ -55,10 +55,10 @@ def test_probes_read_their_folders_only(spark, clouds):
 def test_copies_ties_zero_null_and_too_few(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((30, 6))
-    rows = [(i, base[i].tolist()) for i in range(30)] + [(1000 - i, [1.0, 0, 0, 0, 0, 0]) for i in range(500)]
-    rows += [(2000, [2.0, 0, 0, 0, 0, 0]), (3000, [0.0] * 6), (3001, None), (None, [1.0] * 6), (3002, [])]
+    rows = [(i, base[i].tolist()) for i in range(30)] + [(1000 - i, [1.0] + [0.0] * 5) for i in range(500)]
+    rows += [(2000, [2.0] + [0.0] * 5), (3000, [0.0] * 6), (3001, None), (None, [1.0] * 6), (3002, [])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    q = spark.createDataFrame([(1, [3.0, 0, 0, 0, 0, 0]), (2, [0.0] * 6), (3, base[7].tolist()), (4, None)], "query_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [3.0] + [0.0] * 5), (2, [0.0] * 6), (3, base[7].tolist()), (4, None)], "query_id long, embedding array<double>")
     path = scratch_path(spark, "codes")
     vector_codes.write_codes(vectors, path, tables=2, bits=5)
     store = vector_codes.read_codes(spark, path)
