@@ -90,6 +90,20 @@ def catalog_listing(docs: DataFrame, tags: DataFrame, status: DataFrame) -> Data
     )
 
 
+def catalog_page(docs: DataFrame, tags: DataFrame, status: DataFrame, limit: int, after: tuple | None = None) -> DataFrame:
+    """The next ``limit`` rows of ``catalog_listing`` after the (uploaded_at, doc_id) of the row last shown; from the first without.
+
+    Tasks keep ``limit`` documents each, and tags and status are joined to those of the page only. Documents without a time come
+    last, as in the listing.
+    """
+    if after is not None:
+        at, last = F.lit(after[0]).cast(docs.schema["uploaded_at"].dataType), F.lit(after[1])
+        older = at.isNull() & F.lit(False) if after[0] is None else F.col("uploaded_at").isNull() | (F.col("uploaded_at") < at)
+        docs = docs.filter(older | (F.col("uploaded_at").eqNullSafe(at) & (F.col("doc_id") > last)))
+    page = docs.orderBy(F.desc("uploaded_at"), "doc_id").limit(limit)
+    return catalog_listing(page, *(t.join(page.select("doc_id"), "doc_id", "left_semi") for t in (tags, status)))
+
+
 def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("n_chunks"),
                                                 F.sum(F.length("chunk_text")).alias("n_chars"))

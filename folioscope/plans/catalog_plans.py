@@ -131,19 +131,33 @@ def tags(spark, sf):
         t.filter("toxic = 1").select("doc_id", F.lit("toxic").alias("tag")))
 
 
-@query("catalog_listing", f"""WITH {_HAS}, {_TAGS}, tj AS (SELECT doc_id, string_agg(tag, ', ' ORDER BY tag) AS tags FROM tg GROUP BY 1),
+_LISTING = f"""WITH {_HAS}, {_TAGS}, tj AS (SELECT doc_id, string_agg(tag, ', ' ORDER BY tag) AS tags FROM tg GROUP BY 1),
 d AS (SELECT *, strlen(text) AS nb FROM documents)
 SELECT doc_id, doc_id || '_' || source || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.md' END AS filename,
   TIMESTAMP '2024-01-01' + to_hours(doc_id) AS uploaded_at, CASE WHEN doc_id % 2 = 0 THEN 'TXT' ELSE 'MD' END AS type,
   CASE WHEN nb < 1024 THEN printf('%.1f B', nb::DOUBLE) WHEN nb < 1048576 THEN printf('%.1f KB', nb / 1024e0) ELSE printf('%.1f MB', nb / 1048576e0) END AS size,
-  coalesce(tags, 'Untagged') AS tags, has_chunks, has_vectors, has_metadata FROM d LEFT JOIN tj USING (doc_id) LEFT JOIN st USING (doc_id)""")
-def _listing(spark, sf):
+  coalesce(tags, 'Untagged') AS tags, has_chunks, has_vectors, has_metadata FROM d LEFT JOIN tj USING (doc_id) LEFT JOIN st USING (doc_id)"""
+
+
+def _uploads(spark, sf):
     i = F.col("doc_id")
-    docs = documents(spark, sf).select(
+    return documents(spark, sf).select(
         "doc_id", F.concat("doc_id", F.lit("_"), "source", F.when(i % 2 == 0, ".txt").otherwise(".md")).alias("filename"),
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=i.cast("int"))).alias("uploaded_at"),
         F.octet_length("text").alias("n_bytes"))
-    return catalog.catalog_listing(docs, tags(spark, sf), _status(spark, sf))
+
+
+@query("catalog_listing", _LISTING)
+def _listing(spark, sf):
+    return catalog.catalog_listing(_uploads(spark, sf), tags(spark, sf), _status(spark, sf))
+
+
+@query("catalog_page", f"{_LISTING} ORDER BY uploaded_at DESC, doc_id LIMIT 50 OFFSET 100")
+def _page(spark, sf):
+    """The third page of fifty: it begins after the last row of the second."""
+    docs = _uploads(spark, sf)
+    shown = docs.orderBy(F.desc("uploaded_at"), "doc_id").limit(100).orderBy("uploaded_at", F.desc("doc_id")).first()
+    return catalog.catalog_page(docs, tags(spark, sf), _status(spark, sf), 50, (shown["uploaded_at"], shown["doc_id"]))
 
 
 @query("chunk_counts", f"WITH {CHUNKS} SELECT doc_id, lang, count(*) AS n_chunks, sum(length(chunk_text))::BIGINT AS n_chars FROM chunks GROUP BY 1, 2")
@@ -330,12 +344,14 @@ def _text_files(spark, sf):
 
 @query("read_chunk_maps", f"""WITH {CHUNKS} SELECT doc_id, 'chunk_' || chunk_index AS chunk_key, chunk_text AS text, doc_id || '.txt' AS filename, lang AS language FROM chunks""")
 def _chunk_maps(spark, sf):
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 50), F.lit(450))
-    entry = lambda s, i: F.struct(F.concat(F.lit("chunk_"), i).alias("key"), F.struct(
-        F.substring("text", s, F.lit(500)).alias("text"), F.concat("doc_id", F.lit(".txt")).alias("filename"),
-        F.col("lang").alias("language")).alias("value"))
-    stored = documents(spark, sf).select("doc_id", F.to_json(F.map_from_entries(F.transform(starts, entry))).alias("value"))
-    return catalog_json.chunk_maps(stored).select("doc_id", "chunk_key", "text", "filename", "language")
+    """One file per document, in a folder per group; the document is named in its entries."""
+    entry = F.struct(F.concat(F.lit("chunk_"), "chunk_index").alias("key"), F.struct(
+        F.col("chunk_text").alias("text"), F.concat("doc_id", F.lit(".txt")).alias("filename"), F.col("lang").alias("language")).alias("value"))
+    maps = chunks(spark, sf).groupBy("source", "doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    path = scratch_path(spark, "chunk-maps")
+    maps.select("source", "value").write.partitionBy("source").option("maxRecordsPerFile", 1).text(path)
+    rows = catalog_json.chunk_maps(catalog_json.read_json_texts(spark, path))
+    return rows.select(F.regexp_extract("filename", "^(.*)[.]txt$", 1).cast("bigint").alias("doc_id"), "chunk_key", "text", "filename", "language")
 
 
 @query("read_catalog_json", """
@@ -344,8 +360,14 @@ UNION ALL SELECT 'tag', doc_id::VARCHAR, 'q' || quality FROM labels UNION ALL SE
 UNION ALL SELECT 'settings', r_name, 'gpt/' || r_regionkey FROM region UNION ALL SELECT 'settings', 'default', 'azure/3'
 """)
 def _catalog_json(spark, sf):
-    def stored(df, key, value):  # one small JSON object per row
-        return df.select(F.to_json(F.create_map(F.col(key).cast("string"), value)).alias("value"))
+    path = scratch_path(spark, "catalogue")
+
+    def filed(objects, name):  # files of one object per line, so that a large map is split over files
+        objects.write.text(f"{path}/{name}")
+        return catalog_json.read_json_lines(spark, f"{path}/{name}")
+
+    def stored(df, key, value):
+        return filed(df.select(F.to_json(F.create_map(F.col(key).cast("string"), value)).alias("value")), key)
     nation, customer = read_table(spark, sf, "nation"), read_table(spark, sf, "customer")
     g = catalog_json.group_rows(stored(nation, "n_nationkey", F.struct(F.col("n_name").alias("name"))))
     m = catalog_json.membership_rows(stored(customer, "c_custkey", F.array(F.col("c_nationkey").cast("string"))))
@@ -354,7 +376,7 @@ def _catalog_json(spark, sf):
     r = read_table(spark, sf, "region").select(F.to_json(F.struct(
         F.lit("azure").alias("default"), F.create_map("r_name", F.lit("gpt")).alias("groups"),
         F.create_map("r_name", F.struct(F.col("r_regionkey").alias("chunks_per_doc"))).alias("retrieval_params"))).alias("value"))
-    s = catalog_json.settings_rows(r).groupBy("group_id").agg(F.max("provider").alias("p"), F.max("chunks_per_doc").alias("c"))
+    s = catalog_json.settings_rows(filed(r, "settings")).groupBy("group_id").agg(F.max("provider").alias("p"), F.max("chunks_per_doc").alias("c"))
     row = lambda df, kind, i, v: df.select(F.lit(kind).alias("kind"), F.col(i).alias("id"), v.alias("value"))
     out = row(g, "group", "group_id", F.col("name"))
     for part in (row(m, "membership", "user_id", F.col("group_id")), row(t, "tag", "doc_id", F.col("tag")),

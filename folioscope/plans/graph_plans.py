@@ -107,8 +107,18 @@ def _final(spark, sf):
     return edges.unionByName(shared)
 
 
-@query("graph_cleanup", _q("""SELECT 'node' AS kind, id AS src, NULL AS dst, type FROM gn WHERE id IN (SELECT src FROM fe UNION SELECT dst FROM fe)
-UNION ALL SELECT DISTINCT 'edge', src, dst, type FROM fe WHERE type <> 'keyword'"""))
+# The same tables as fe without its keyword pairs: a node shares a keyword if one of its keywords has two members.
+_CLEANUP_SQL = """,
+lk AS (SELECT src, dst, max(p) AS p FROM (SELECT src, dst, 1 AS p FROM re UNION ALL SELECT src, dst, 2 FROM ae) GROUP BY src, dst),
+sk AS (SELECT DISTINCT src, dst FROM lk JOIN km a ON a.chunk_id = src JOIN km b ON b.chunk_id = dst AND b.doc_id = a.doc_id AND b.keyword = a.keyword WHERE src <> dst),
+ne AS (SELECT src, dst, 'hierarchical' AS type FROM he UNION ALL SELECT src, dst, 'contains' FROM ce
+  UNION ALL SELECT src, dst, CASE p WHEN 2 THEN 'adjacent' ELSE 'reference' END FROM lk ANTI JOIN sk USING (src, dst))
+SELECT 'node' AS kind, id AS src, NULL AS dst, type FROM gn
+WHERE id IN (SELECT src FROM ne UNION SELECT dst FROM ne UNION SELECT chunk_id FROM km WHERE n > 1)
+UNION ALL SELECT DISTINCT 'edge', src, dst, type FROM ne"""
+
+
+@query("graph_cleanup", _q(_CLEANUP_SQL))
 def _cleanup(spark, sf):
     g = build(spark, sf, keep=True)
     nodes, edges = graph.graph_cleanup(g.nodes, g.edges, g.hubs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions.vocab import SCORE_PATTERNS, USED_ENTRY, USED_SECTION
-from folioscope.operators import block_search, code_search, context, enrich, search, spans
+from folioscope.operators import block_search, code_search, context, enrich, phrases, search, spans
 from folioscope.operators.windows import with_neighbours
 from folioscope.plans.inputs import chunks, documents, texts
 from folioscope.plans.registry import query
@@ -357,6 +357,18 @@ def _phrase_scan(spark, sf):
     return spans.phrase_scan(texts(spark, sf), "doc_id", _PHRASES)
 
 
+@query("phrase_list_scan", f"""WITH w AS (SELECT {words_sql('lower(text)')} AS w FROM benchmark),
+p AS (SELECT DISTINCT array_to_string(w[i:i + 2], ' ') AS phrase FROM (SELECT w, unnest(generate_series(1, len(w) - 2)) AS i FROM w)),
+d AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT doc_id, phrase, sum((length(t) - length(replace(t, phrase, ''))) // length(phrase))::BIGINT AS n FROM d JOIN p ON contains(t, phrase) GROUP BY ALL""")
+def _phrase_list_scan(spark, sf):
+    """Three words in a row of any benchmark passage, searched in all documents."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))
+    listed = read_table(spark, sf, "benchmark").select(words.alias("w")).filter(F.size("w") > 2).select(
+        F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("phrase"))
+    return phrases.phrase_list_scan(texts(spark, sf), "doc_id", listed)
+
+
 @query("highlight_records", f"""WITH {HITS_SQL}
 SELECT query_id, chunk_id, (chunk_index // 4 + 1)::INT AS page, 'x0=0;y0=' || (chunk_index % 4) * 200 AS coords
 FROM hits JOIN (SELECT chunk_id, chunk_index FROM chunks) USING (chunk_id) WHERE chunk_index % 5 <> 4""")

@@ -17,6 +17,11 @@ def read_json_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, value — one row per line; blank lines are skipped."""
+    return spark.read.text(path).filter(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def chunk_maps(docs: DataFrame, column: str = "value") -> DataFrame:
     keep = [c for c in docs.columns if c != column]
     rows = docs.select(*keep, F.explode(F.from_json(column, CHUNK)).alias("chunk_key", "c"))
