@@ -213,7 +213,7 @@ def test_unigram_scores_are_exact_and_the_model_is_better_on_copies(spark):
     rows = [(i, " ".join(rng.choices(common, k=3)) + " " + phrase()) for i in range(300)] + [(1000, None), (1001, ""), (None, "w1 new\x0bword"), (5, "w1 w1")]
     rows += [(1002, "unseen " * 20_000)]
     fold = F.coalesce(toxicity.fold_of(5) != 1, F.lit(True))
-    got = lm_score.score(frame(spark, rows), fold, bits=1 << 20, frequent=50).collect()
+    got = lm_score.score(frame(spark, rows), fold).collect()
     trained = lambda d: d is None or zlib.crc32(str(d).encode()) % 5 != 1
     counts = collections.Counter(w for d, t in rows if trained(d) for w in [*space_words(t), b"\n"])
     total, distinct = sum(counts.values()), len(counts)
@@ -226,18 +226,29 @@ def test_unigram_scores_are_exact_and_the_model_is_better_on_copies(spark):
     assert {r.train_tokens for r in got} == {total}
     held = [r for r in got if not trained(r.doc_id) and r.n_tokens > 50 and r.doc_id < 1000]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert lm_score.score(frame(spark, []), fold, bits=1 << 16).count() == 0
-    nothing = lm_score.score(frame(spark, rows[:3]), F.lit(False), bits=1 << 16).collect()
+    assert lm_score.score(frame(spark, []), fold).count() == 0
+    nothing = lm_score.score(frame(spark, rows[:3]), F.lit(False)).collect()
     assert {(r.n_known, r.train_tokens) for r in nothing} == {(0, 0)} and all(math.isfinite(r.score) for r in nothing)
 
 
-@pytest.mark.parametrize("bits", [1 << 9, 1 << 13, 1 << 27])
-def test_model_scores_hold_every_pair_at_every_size(spark, bits):
-    """Scores from exact counts, pairs and words seen once included, whether the keys meet in one segment or in many."""
-    rng = random.Random(13)
-    words = [f"w{i}" for i in range(3000)]
-    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(60)))) for i in range(120)] + [(500, None), (None, "w1 w2 neverseen w3"), (7, "w1 w2"), (7, "w1 w2")]
-    trained = lambda d: d is not None and d % 4 != 1
+#: How the work is cut up: the filter in one segment, in many, and in several passes.
+CUTS = [{}, {"segment_tokens": 200, "segment_text": 900}, {"segment_tokens": 100, "segment_text": 300, "pass_bytes": 60_000}]
+
+
+def lm_rows(rng):
+    words = [f"w{i}" for i in range(1500)] + ["the", "of"] * 200
+    return [(i, " ".join(rng.choices(words, k=rng.randrange(60)))) for i in range(120)] + [(500, None), (None, "w1 w2 neverseen w3"), (7, "w1 w2"), (7, "w1 w2")]
+
+
+def read_at(n):
+    """What the filter gives for a count: the least whole number of its bracket."""
+    level = 0
+    while n and 1.4 ** level <= n * (1 + 1e-9):
+        level += 1
+    return math.ceil(1.4 ** (level - 1) - 1e-9) if level else 0
+
+
+def plain_model_scores(rows, trained):
     lists = [[*space_words(t), b"\n"] for _, t in rows]
     count, pairs = collections.Counter(), collections.Counter()
     for (d, _), tokens in zip(rows, lists):
@@ -245,29 +256,53 @@ def test_model_scores_hold_every_pair_at_every_size(spark, bits):
             count.update(tokens)
             pairs.update(zip([b"\n", *tokens], tokens))
     total, distinct = sum(count.values()), len(count)
-    assert sum(n == 1 for n in pairs.values()) > 0.9 * len(pairs)
-    want = []
+    out = []
     for (d, _), tokens in zip(rows, lists):
         own = 0.0
         for a, b in zip([b"\n", *tokens], tokens):
-            single = (count[b] + 0.5) / (total + 0.5 * (distinct + 1))
-            own += math.log10(0.8 * pairs[a, b] / count[a] + 0.2 * single if count[a] else single)
-        want.append((str(d), len(tokens), round(own, 6)))
-    got = lm_score.score(frame(spark, rows).repartition(5), F.col("doc_id") % 4 != 1, bits=bits).collect()
-    assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got) == sorted(want)
+            before, pair = read_at(count[a]), read_at(pairs[a, b])
+            single = (read_at(count[b]) + 0.5) / (total + 0.5 * (distinct + 1))
+            own += math.log10(0.8 * min(pair, before) / before + 0.2 * single if before else single)
+        out.append((str(d), len(tokens), round(own, 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cut", CUTS)
+def test_model_scores_are_those_of_the_counts_read_from_the_filter(spark, cut):
+    """With so many bits that no level is found by mistake, against plain counters; pairs seen once are in."""
+    rows = lm_rows(random.Random(13))
+    got = lm_score.score(frame(spark, rows).repartition(5), F.col("doc_id") % 4 != 1, item_bits=2500, **{**cut, **({"pass_bytes": 300_000} if "pass_bytes" in cut else {})}).collect()
+    want = plain_model_scores(rows, lambda d: d is not None and d % 4 != 1)
+    assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got) == want
+
+
+def test_results_do_not_depend_on_passes(spark):
+    docs = frame(spark, lm_rows(random.Random(14))).repartition(3)
+    one, many = ([tuple(r) for r in lm_score.score(docs, F.col("doc_id") % 4 != 1, segment_tokens=100, pass_bytes=b).collect()] for b in (10 ** 8, 2_000))
+    assert sorted(map(str, one)) == sorted(map(str, many)) and len(one) == 124
 
 
-def test_filter_reads_counts_back(spark):
+@pytest.mark.parametrize("segments", [1, 8])
+def test_filter_reads_counts_back(segments):
     rng = np.random.default_rng(3)
-    keys = rng.integers(-2 ** 62, 2 ** 62, 3000)
-    counts = np.maximum(1, rng.pareto(0.8, 3000)).astype(np.int64)
-    rows = spark.createDataFrame([(int(k), int(n)) for k, n in zip(keys, counts)], "key bigint, n bigint")
-    stored, least = lm_score.stored_rows(rows, lm_score.WORD, 1 << 22)
-    model = lm_score.CountFilter(lm_score.filter_segments(stored, 1 << 22), {lm_score.WORD: least}, 1, 1)
-    read = model.count(keys.view(np.uint64), lm_score.WORD)
-    assert least == 1 and (read >= counts / lm_score.BASE - 1e-6).all() and (read <= counts * (1 + 1e-6)).mean() > 0.99
-    absent = model.count(rng.integers(-2 ** 62, 2 ** 62, 3000).view(np.uint64), lm_score.WORD)
-    assert (absent > 0).mean() < 0.02
+    keys = np.unique(rng.integers(0, 2 ** 64, 20_000, dtype=np.uint64))
+    counts = np.maximum(1, rng.pareto(0.8, len(keys))).astype(np.int64)
+    of = lm_score.segment_of(keys, segments)
+    made = [lm_score.filled([(lm_score.WORD, keys[of == s], counts[of == s]), (lm_score.PAIR, keys[of == s][:100], counts[of == s][:100])], 8) for s in range(segments)]
+    model = lm_score.CountFilter(segments, 0, np.array([b for b, _ in made]), np.frombuffer(b"".join(d for _, d in made), np.uint8))
+    read = lm_score.counts_at(model.levels(keys, lm_score.WORD).astype(int))
+    assert (read >= counts / lm_score.BASE - 1e-6).all()  # never too small by more than a bracket
+    assert (read <= counts).mean() > 0.95 and (read[counts == 1] == 1).mean() > 0.95
+    absent = model.levels(rng.integers(0, 2 ** 64, 20_000, dtype=np.uint64), lm_score.WORD)
+    assert 0 < (absent > 0).mean() < 0.04
+    assert (model.levels(keys[-100:], lm_score.PAIR) > 0).mean() < 0.5  # kinds are apart
+    part = lm_score.CountFilter(segments, 0, model.bits[:1], model.data[:model.bits[0] // 8])
+    assert ((part.levels(keys, lm_score.WORD) > 0) == ((of == 0) & (model.levels(keys, lm_score.WORD) > 0))).all()
+
+
+def test_level_brackets():
+    assert lm_score.counts_at(lm_score.levels_of(np.arange(1, 2000))).tolist() == [read_at(n) for n in range(1, 2000)]
+    assert lm_score.counts_at(np.array([0])).tolist() == [0.0] and lm_score.counts_at(lm_score.levels_of(np.array([1, 2, 3]))).tolist() == [1, 2, 3]
 
 
 def test_url_rules_and_odd_urls(spark):
