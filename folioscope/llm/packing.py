@@ -8,6 +8,7 @@ the emptiest bins are dissolved to fill the larger gaps of the others. Groups ar
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,25 +86,44 @@ def pack_group(totals: list[int], room: int, least: int) -> list[list[tuple[int,
     return whole + topped_up(bins, room, least)
 
 
+class RepeatCounts(dict):
+    """How often a key has come before, for up to a fixed number of keys; beyond that it starts anew."""
+
+    LIMIT = 500_000
+
+    def before(self, key: tuple) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        n = self.get(key, 0)
+        self[key] = n + 1
+        return n
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, planes: each document's ids and the end id. Null texts are empty.
+    """doc_id, n, nth, planes: each document's ids and the end id. Null texts are empty.
+
+    ``nth`` counts the rows before in the same task with this id and text, so that repeated rows can be told apart.
 
     ``planes`` holds the ids' lowest bytes, then the next ones and so on: the high bytes are nearly all zero and vanish
     when the shuffle compresses them.
     """
-    schema = "doc_id bigint, n bigint, planes binary"
+    schema = "doc_id bigint, n bigint, nth int, planes binary"
     to = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk = tokenizer(path)
-        for batch in batches:
-            for part in parts_of(batch):
-                ids, sizes = tk.encode(part.column("text").to_pylist())
-                ends = np.cumsum(sizes)
-                planes = [np.append(ids[e - n:e], np.uint32(end_id)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                          for n, e in zip(sizes.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes + 1, pa.int64()),
-                                                  pa.array(planes, pa.binary())], schema=to)
+        tk, seen = tokenizer(path), RepeatCounts()
+        try:
+            for batch in batches:
+                for part in parts_of(batch):
+                    ids, sizes = tk.encode(part.column("text").to_pylist())
+                    ends = np.cumsum(sizes)
+                    planes = [np.append(ids[e - n:e], np.uint32(end_id)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                              for n, e in zip(sizes.tolist(), ends.tolist())]
+                    nth = [seen.before((doc, zlib.crc32(p))) for doc, p in zip(part.column("doc_id").to_pylist(), planes)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes + 1, pa.int64()), pa.array(nth, pa.int32()),
+                                                      pa.array(planes, pa.binary())], schema=to)
+        finally:
+            tk.forget()
 
     return keyed(docs, id_col, text_col).mapInArrow(run, schema)
 
@@ -114,11 +134,11 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH, grou
 
     A document's pieces hold its ids and the end id, each once; pieces fill their sequence without gaps from offset 0.
     A null or empty text is one end id. Rows that repeat an id are packed as documents of their own, rows with null ids
-    too; long texts give many pieces. An empty table gives no pieces. Other columns are not looked at.
+    too, and dealt over all groups; long texts give many pieces. An empty table gives no pieces. Other columns are not looked at.
     """
     groups = max(1, -(-docs.count() // group_docs))
     rows = tokenised(docs, path, end_id, id_col, text_col).withColumn(
-        "part", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32("planes")), F.lit(groups)))
+        "part", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32("planes"), "nth"), F.lit(groups)))
     to = arrow_schema(PIECES)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:

@@ -15,8 +15,9 @@ import numpy as np
 #: Characters for which the patterns below split exactly as the tokenizer files do.
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 # The splitting patterns of the two kinds of tokenizer file, for such characters.
-BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+LETTER, MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-/:-@\[-`{-~]"
+BYTE_PIECES = re.compile(rf" ?{LETTER}+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?{MARK}+|\s+(?!\S)|\s+")
+WORD_PIECES = re.compile(rf"{LETTER}+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|{MARK}+")
 WORD_END = "</w>"
 
 
@@ -144,9 +145,14 @@ class PieceTokenizer:
         return self._gathered(at), np.diff(total[np.array(ends)])
 
 
-@lru_cache(maxsize=2)
+    def forget(self) -> None:
+        """Drops all pieces; for the end of a task, since a worker lives on between tasks and stages."""
+        self._start([], np.empty(0, np.uint32), np.empty(0, np.int64))
+
+
+@lru_cache(maxsize=1)
 def tokenizer(path: str) -> PieceTokenizer:
-    """One per worker process and file, kept from task to task."""
+    """One per worker process, for the file last used, kept from task to task; its pieces are not."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core already

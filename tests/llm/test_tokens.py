@@ -8,8 +8,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from folioscope.llm import id_coder
+from folioscope.llm import id_coder, packing, token_files
 from folioscope.llm.packing import first_fit_decreasing, pack, pack_group
 from folioscope.llm.token_files import read_tokens, write_tokens
 from folioscope.llm.tokens import PieceTokenizer, tokenizer
@@ -122,3 +123,20 @@ def test_packed_sequences_hold_every_document(spark):
     total = sum(len(ids) for v in want.values() for ids in v)
     assert sum(256 - sum(n for _, n in parts) for parts in fill.values()) < 0.03 * total
     assert zlib.crc32(b"") == 0 and pack(frame(spark, []), BYTES).count() == 0
+
+
+def test_many_repeated_rows_are_dealt_over_groups(spark):
+    docs = spark.range(50_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("same text").alias("text"), F.lit(1).alias("part")).repartition(4)
+    rows = packing.tokenised(docs, BYTES, 0)
+    assert rows.groupBy("nth").count().agg(F.max("count")).first()[0] <= 4
+    pieces = packing.pack(docs, BYTES)
+    sizes = pieces.groupBy((F.col("sequence_id") / 2 ** 32).cast("int").alias("group")).agg(F.count("*").alias("n"))
+    assert sizes.agg(F.sum("n")).first()[0] >= 50_000 and sizes.agg(F.max("n")).first()[0] < 3 * packing.GROUP_DOCS
+
+
+def test_near_empty_documents_take_linear_time(spark):
+    import time
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")).coalesce(1)
+    began = time.time()
+    segments = token_files.token_segments(docs, WORDS, end_id=1).collect()
+    assert sum(len(s.docs) for s in segments) == 60_000 and time.time() - began < 60
