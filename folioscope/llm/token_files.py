@@ -33,19 +33,22 @@ def token_segments(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk, part = tokenizer(tokenizer_path), TaskContext.get().partitionId()
-        done = segment = 0
+        done = segment = open_ids = closed_ids = 0
         closed: list[tuple[list, np.ndarray]] = []
         docs_in: list[dict] = []
         held: list[np.ndarray] = []
 
         def close() -> None:
+            nonlocal open_ids, closed_ids
             if docs_in:
+                closed_ids, open_ids = closed_ids + open_ids, 0
                 closed.append((docs_in.copy(), np.concatenate(held)))
                 docs_in.clear()
                 held.clear()
 
         def rows() -> list[dict]:
-            nonlocal done, segment
+            nonlocal done, segment, closed_ids
+            closed_ids = 0
             pieces = [id_coder.blocks_of(ids) for _, ids in closed]
             coded = iter(id_coder.encode([b for p in pieces for b in p]))
             out = []
@@ -63,10 +66,12 @@ def token_segments(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
                     held.append(np.append(ids[begin:begin + n], np.uint32(end_id)))
                     docs_in.append({"doc_id": doc, "n": n + 1})
                     begin += n
-                    if sum(d["n"] for d in docs_in) >= SEGMENT:
+                    open_ids += n + 1
+                    if open_ids >= SEGMENT:
                         close()
-                        if sum(len(i) for _, i in closed) >= full:
+                        if closed_ids >= full:
                             yield pa.RecordBatch.from_pylist(rows(), to)
+        tk.forget()
         close()
         if closed:
             yield pa.RecordBatch.from_pylist(rows(), to)
@@ -78,7 +83,9 @@ def token_segments(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes every document's ids and the end id. A null text is the end id alone; null ids come first.
 
-    Rows that repeat an id are documents of their own, ordered by a hash of their text. Other columns are not written.
+    Rows that repeat an id are documents of their own, ordered by a hash of their text. Very long texts are written whole, in
+    one segment of many blocks. An empty table gives files without rows. Other columns are not written, whatever their names.
+    The coder takes ids below 65,536; a tokenizer file with larger ones is an error.
     """
     token_segments(docs, tokenizer_path, end_id, id_col, text_col).write.parquet(path)
 
