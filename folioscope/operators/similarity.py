@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,15 +87,10 @@ def sentence_overlap(left: DataFrame, right: DataFrame, left_id: list[str], righ
     ls = cut_lineage(_long_sentences(left, [*left_id, *on], text))
     rs = cut_lineage(_long_sentences(right, [*right_id, *on], text))
     body = cut_lineage(_leading_terms(ls.select("sid", "sentence").unionByName(rs.select("sid", "sentence")), floor))
-    lp = _prefix(ls, on, body).withColumnRenamed("sid", "lsid")
-    rp = _prefix(rs, on, body).withColumnRenamed("sid", "rsid")
-    met = lp.join(rp, [*on, "term"]).select("lsid", "rsid").distinct()
-    side = lambda p: body.select(F.col("sid").alias(f"{p}sid"), F.col("vec").alias(f"{p}vec"),
-                                 F.col("sentence").alias(f"{p}text"))
-    verified = met.join(side("l"), "lsid").join(side("r"), "rsid")
+    met = _met(_prefix(ls, on, body, "l"), _prefix(rs, on, body, "r"), on, floor)
+    side = lambda p: body.select(F.col("sid").alias(f"{p}sid"), F.col("sentence").alias(f"{p}text"))
+    close = _cosines(met, body).filter(F.col("cosine") > floor).join(side("l"), "lsid").join(side("r"), "rsid")
     # exploding a one-element array keeps the costly value from being worked out again in the filter
-    close = explode_rows(verified, ["lsid", "rsid", "ltext", "rtext"],
-                         F.filter(F.array(_dot("lvec", "rvec")), lambda c: c > floor), "cosine")
     # rounded first: equal sentences without key phrases reach the threshold exactly, not past it
     score = F.round(weighted_similarity(F.col("cosine"), F.col("ltext"), F.col("rtext")), 6)
     similar = explode_rows(close, ["lsid", "rsid"], F.filter(F.array(score), lambda s: s > threshold), "s")
@@ -101,8 +100,15 @@ def sentence_overlap(left: DataFrame, right: DataFrame, left_id: list[str], righ
     return lids.join(similar, "lsid").join(rids, ["rsid", *on]).groupBy(*out).agg(F.max("s").alias("best"))
 
 
+#: Leading terms of one kind that meet in one lane of the join.
+LANE = 2048
+
+
 def _leading_terms(sentences: DataFrame, floor: float) -> DataFrame:
-    """sid, sentence, vec (term → weight of the unit vector), lead (terms to join on), per distinct sentence."""
+    """sid, sentence, terms and weights (the unit vector), lead, per distinct sentence.
+
+    ``lead`` are the terms to join on, each with its weight w and the length of what is left of the vector in more frequent terms.
+    """
     distinct = sentences.groupBy("sid").agg(F.first("sentence").alias("sentence"))
     tf = explode_rows(distinct, ["sid"], tokens(F.col("sentence")), "term").groupBy("sid", "term").agg(
         F.count(F.lit(1)).alias("tf"))
@@ -114,23 +120,56 @@ def _leading_terms(sentences: DataFrame, floor: float) -> DataFrame:
     rows = weighted.groupBy("sid").agg(F.reverse(F.array_sort(F.collect_list(F.struct("df", "term", "raw")))).alias("t"))
     mass = F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["raw"] * x["raw"])
     bound = F.col("m") * (floor * floor - 1e-9)
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("lead"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<term:string,w:double,rest:double>>").alias("lead"))
 
     def step(acc, x):
         total = acc["sum"] + x["raw"] * x["raw"]
-        return F.struct(total.alias("sum"), F.when(total >= bound, F.concat(acc["lead"], F.array(x["term"])))
+        entry = F.struct(x["term"].alias("term"), (x["raw"] / F.sqrt(F.col("m"))).alias("w"), F.sqrt(acc["sum"] / F.col("m")).alias("rest"))
+        return F.struct(total.alias("sum"), F.when(total >= bound, F.concat(acc["lead"], F.array(entry)))
                         .otherwise(acc["lead"]).alias("lead"))
 
     return rows.withColumn("m", mass).select(
         "sid",
-        F.map_from_entries(F.transform("t", lambda x: F.struct(x["term"], x["raw"] / F.sqrt(F.col("m"))))).alias("vec"),
+        F.transform("t", lambda x: x["term"]).alias("terms"), F.transform("t", lambda x: x["raw"] / F.sqrt(F.col("m"))).alias("weights"),
         F.aggregate("t", start, step, lambda acc: acc["lead"]).alias("lead"),
     ).join(distinct, "sid")
 
 
-def _prefix(rows: DataFrame, on: list[str], body: DataFrame) -> DataFrame:
-    return rows.select("sid", *on).distinct().join(body.select("sid", "lead"), "sid").select(
-        "sid", *on, F.explode("lead").alias("term"))
+def _prefix(rows: DataFrame, on: list[str], body: DataFrame, side: str) -> DataFrame:
+    """The leading terms of each sentence with its weight and rest; columns but ``on`` and term get the prefix ``side``."""
+    opened = rows.select("sid", *on).distinct().join(body.select("sid", "lead"), "sid").select("sid", *on, F.explode("lead").alias("e"))
+    return opened.select(F.col("sid").alias(f"{side}sid"), *on, F.col("e.term").alias("term"), F.col("e.w").alias(f"{side}w"), F.col("e.rest").alias(f"{side}rest"))
+
+
+def _can_reach(floor: float) -> Column:
+    """Whether the cosine of two vectors can reach ``floor`` if the term they meet on is the rarest that they share: what rarer
+    terms hold is lost, and the more frequent ones add no more than the product of the rests. True where they do reach it."""
+    return F.col("lw") * F.col("rw") + F.col("lrest") * F.col("rrest") >= floor - 1e-6
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], floor: float) -> DataFrame:
+    """lsid, rsid that meet on a leading term. A term's left list is cut into lanes, and the right one goes to each of them."""
+    key = [*on, "term"]
+    lanes = left.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / LANE).cast("int").alias("lanes"))
+    a = left.join(lanes, key).withColumn("lane", F.pmod(F.xxhash64("lsid"), F.col("lanes")).cast("int")).drop("lanes")
+    b = right.join(lanes, key).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("lanes")
+    return a.join(b, [*key, "lane"]).filter(_can_reach(floor)).select("lsid", "rsid").distinct()
+
+
+def _met_within(body: DataFrame, floor: float) -> DataFrame:
+    """lsid < rsid that meet on a leading term, each pair of lanes of a term's list in a group of its own."""
+    lead = body.select("sid", F.explode("lead").alias("e")).select("sid", F.col("e.term").alias("term"), F.col("e.w").alias("w"), F.col("e.rest").alias("rest"))
+    lanes = lead.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("term", F.ceil(F.col("n") / LANE).cast("int").alias("lanes"))
+    dealt = lead.join(lanes, "term").withColumn("lane", F.pmod(F.xxhash64("sid"), F.col("lanes")).cast("int"))
+
+    def side(p: str, i: Column, j: Column, explode: str) -> DataFrame:
+        return dealt.select("term", F.col("sid").alias(f"{p}sid"), F.col("w").alias(f"{p}w"), F.col("rest").alias(f"{p}rest"), i.alias("i"), j.alias("j")).withColumn(
+            explode, F.explode(explode))
+
+    a = side("l", F.col("lane"), F.sequence("lane", F.col("lanes") - 1), "j")
+    b = side("r", F.sequence(F.lit(0), "lane"), F.col("lane"), "i")
+    pairs = a.join(b, ["term", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("lsid") < F.col("rsid"))).filter(_can_reach(floor))
+    return pairs.select(F.least("lsid", "rsid").alias("lsid"), F.greatest("lsid", "rsid").alias("rsid")).distinct()
 
 
 def semantic_edges(chunks: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -140,13 +179,9 @@ def semantic_edges(chunks: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
     ties the others to it. The join meets only on leading terms, as in the overlap join.
     """
     rows = chunks.select("chunk_id", F.md5("chunk_text").alias("sid"), F.col("chunk_text").alias("sentence"))
-    body = cut_lineage(_leading_terms(rows.select("sid", "sentence"), threshold).select("sid", "vec", "lead"))
-    lead = body.select("sid", F.explode("lead").alias("term"))
-    left, right = lead.withColumnRenamed("sid", "lsid"), lead.withColumnRenamed("sid", "rsid")
-    met = left.join(right, "term").filter("lsid < rsid").select("lsid", "rsid").distinct()
-    a = body.select(F.col("sid").alias("lsid"), F.col("vec").alias("lvec"))
-    b = body.select(F.col("sid").alias("rsid"), F.col("vec").alias("rvec"))
-    close = met.join(a, "lsid").join(b, "rsid").filter(F.round(_dot("lvec", "rvec"), 6) >= threshold)
+    body = cut_lineage(_leading_terms(rows.select("sid", "sentence"), threshold).select("sid", "terms", "weights", "lead"))
+    met = _met_within(body, threshold)
+    close = _cosines(met, body).filter(F.round("cosine", 6) >= threshold)
     first = rows.groupBy("sid").agg(F.min("chunk_id").alias("first"), F.count(F.lit(1)).alias("n"))
     ends = close.select("lsid", "rsid").join(first.select(F.col("sid").alias("lsid"), F.col("first").alias("src")), "lsid").join(
         first.select(F.col("sid").alias("rsid"), F.col("first").alias("dst")), "rsid").select("src", "dst")
@@ -156,10 +191,28 @@ def semantic_edges(chunks: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
     return edges, copies
 
 
-def _dot(a: str, b: str) -> Column:
-    other = F.col(b)
-    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(
-        F.try_element_at(other, e["key"]), F.lit(0.0)))
+def _cosines(pairs: DataFrame, body: DataFrame) -> DataFrame:
+    """lsid, rsid, cosine of the pairs' unit vectors; the terms of many pairs are matched by one sort per Arrow batch."""
+    schema = "lsid string, rsid string, cosine double"
+    side = lambda p: body.select(F.col("sid").alias(f"{p}sid"), F.col("terms").alias(f"{p}terms"), F.col("weights").alias(f"{p}weights"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(c) for c in ("lterms", "rterms"))
+            n, sizes = batch.num_rows, [c.value_lengths().to_numpy() for c in (left, right)]
+            both = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode()
+            codes, kinds = both.indices.to_numpy().astype(np.int64), max(1, len(both.dictionary))
+            a, b = (np.repeat(np.arange(n), size) * kinds + code for size, code in zip(sizes, np.split(codes, [int(sizes[0].sum())])))
+            order = np.argsort(b)
+            at = np.minimum(np.searchsorted(b, a, sorter=order), max(0, len(b) - 1))
+            found = np.flatnonzero(b[order[at]] == a) if len(b) else np.empty(0, np.int64)
+            wa, wb = (batch.column(c).flatten().to_numpy() for c in ("lweights", "rweights"))
+            dot = np.bincount(a[found] // kinds, wa[found] * wb[order[at[found]]], minlength=n) if n else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column("lsid").cast(pa.string()), batch.column("rsid").cast(pa.string()), pa.array(dot, pa.float64())],
+                                             names=["lsid", "rsid", "cosine"])
+
+    joined = pairs.join(side("l"), "lsid").join(side("r"), "rsid").select("lsid", "rsid", "lterms", "rterms", "lweights", "rweights")
+    return joined.mapInArrow(run, schema)
 
 
 def should_highlight(pairs: DataFrame, keys: list[str], section: str = "section", answer: str = "answer") -> DataFrame:

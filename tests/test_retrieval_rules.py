@@ -113,7 +113,7 @@ def test_overlap_join_against_all_pairs(spark):
     from pyspark.sql import functions as fn
     ls, rs = similarity._long_sentences(a, ["lid"], "text"), similarity._long_sentences(b, ["rid"], "text")
     body = similarity._leading_terms(ls.select("sid", "sentence").unionByName(rs.select("sid", "sentence")), 0.375)
-    vec = {r.sid: r.vec for r in body.collect()}
+    vec = {r.sid: dict(zip(r.terms, r.weights)) for r in body.collect()}
     pairs = ls.crossJoin(rs.select("rid", fn.col("sid").alias("rsid"), fn.col("sentence").alias("rsent")))
     want = {}
     rows = [(r.lid, r.rid, sum(w * vec[r.rsid].get(t, 0.0) for t, w in vec[r.sid].items()), r.sentence, r.rsent) for r in pairs.collect()]
