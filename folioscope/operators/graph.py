@@ -81,32 +81,31 @@ def edges_adjacent(chunks: DataFrame) -> DataFrame:
 
 
 def keyword_hubs(chunks: DataFrame, keywords: DataFrame) -> DataFrame:
-    """hub, doc_id, keyword, chunk_id for keywords that at least two chunks of a document share."""
-    member = chunks.select("doc_id", "chunk_id").join(
+    """hub, doc_id, keyword, chunk_id, chunk_index, n for keywords that n, at least two, chunks of a document share."""
+    member = chunks.select("doc_id", "chunk_id", "chunk_index").join(
         explode_rows(keywords, ["chunk_id"], "keywords", "keyword"), "chunk_id").distinct()
     size = member.groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return member.join(size, ["doc_id", "keyword"]).select(
-        F.concat_ws("#", "doc_id", "keyword").alias("hub"), "doc_id", "keyword", "chunk_id", "n")
+        F.concat_ws("#", "doc_id", "keyword").alias("hub"), "doc_id", "keyword", "chunk_id", "chunk_index", "n")
 
 
 def keyword_degree(hubs: DataFrame) -> DataFrame:
     """chunk_id, degree: how many other chunks share a keyword with it — counted without forming pairs.
 
-    By inclusion and exclusion over the (at most ten) shared keywords of a chunk; chunks with equal
-    keyword sets are counted as one class.
+    The members of a keyword are a bitmap over the document's chunk numbers, in pieces of 32,768. Chunks with equal keyword sets
+    are one class; its bitmaps are OR-ed piece by piece and the bits counted. A class of one keyword has that keyword's count.
     """
-    sets = hubs.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_set("keyword")).alias("ks"))
-    classes = sets.groupBy("doc_id", "ks").agg(F.count(F.lit(1)).alias("m"))
-    empty = F.array(F.array().cast("array<string>"))
-    subsets = F.filter(
-        F.aggregate("ks", empty, lambda acc, k: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(k))))),
-        lambda s: F.size(s) > 0)
-    opened = classes.withColumn("ss", subsets).select("doc_id", "ks", "m", F.explode("ss").alias("s"))
-    holds = opened.groupBy("doc_id", "s").agg(F.sum("m").alias("c"))
-    sign = F.when(F.size("s") % 2 == 1, F.col("c")).otherwise(-F.col("c"))
-    degree = opened.select("doc_id", "ks", "s").join(holds, ["doc_id", "s"]).groupBy("doc_id", "ks").agg(
-        (F.sum(sign) - 1).alias("degree"))
-    return sets.join(degree, ["doc_id", "ks"]).select("chunk_id", "degree")
+    sets = hubs.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_set("keyword")).alias("ks"), F.max("n").alias("most"))
+    alone = sets.filter(F.size("ks") == 1).select("chunk_id", (F.col("most") - 1).alias("degree"))
+    several = sets.filter(F.size("ks") > 1).select("doc_id", "chunk_id", "ks")
+    number = F.col("chunk_index") + 1
+    pieces = hubs.groupBy("doc_id", "keyword", F.bitmap_bucket_number(number).alias("piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("members"))
+    classes = several.select("doc_id", "ks").distinct().withColumn("keyword", F.explode("ks"))
+    joined = classes.join(pieces, ["doc_id", "keyword"]).groupBy("doc_id", "ks", "piece").agg(
+        F.bitmap_count(F.bitmap_or_agg("members")).alias("c"))
+    degree = joined.groupBy("doc_id", "ks").agg((F.sum("c") - 1).alias("degree"))
+    return alone.unionByName(several.join(degree, ["doc_id", "ks"]).select("chunk_id", "degree"))
 
 
 def keyword_neighbours(seeds: DataFrame, hubs: DataFrame) -> DataFrame:

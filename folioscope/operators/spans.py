@@ -59,24 +59,37 @@ def phrase_scan(docs: DataFrame, key: str, phrases: list[str], text: str = "text
         F.count(F.lit(1)).alias("n"))
 
 
-def _islands(spans: DataFrame, group: list[str]) -> DataFrame:
-    order = W.partitionBy(*group).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    opened = spans.withColumn("_new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
-    numbered = opened.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*group, "_island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_spans").alias("n_spans")).drop("_island")
+def _beside(rows: DataFrame, per_slice: DataFrame, group: list[str]) -> DataFrame:
+    """The rows with the columns of their slice; a null in the group is a value like any other."""
+    names = {c: f"_of{i}" for i, c in enumerate([*group, "_slice"])}
+    other = per_slice.withColumnsRenamed(names)
+    return rows.join(other, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]).drop(*names.values())
 
 
 def merge_spans(spans: DataFrame, group: list[str], width: int = 65536) -> DataFrame:
     """group, start, end, n_spans: one span per start, intersecting spans joined.
 
-    Spans first merge within slices of the document, then the far fewer results merge across slices.
+    Work goes by slices of a document. A slice's summary is how far its spans reach; the farthest reach before a slice is its
+    carry, and with it the slice's spans are merged on their own. What a slice begins with below its carry goes on an island of an
+    earlier slice: the last one that any slice before has opened. Only summaries, a row a slice, meet per document.
     """
-    single = spans.groupBy(*group, "start").agg(F.max("end").alias("end")).withColumn("n_spans", F.lit(1).cast("long"))
-    sliced = single.withColumn("_slice", F.floor(F.col("start") / width))
-    local = _islands(sliced, [*group, "_slice"]).drop("_slice")
-    return _islands(local, group)
+    keys = [*group, "_slice"]
+    single = spans.groupBy(*group, "start").agg(F.max("end").alias("end")).withColumn("_slice", F.floor(F.col("start") / width))
+    earlier = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = single.groupBy(*keys).agg(F.max("end").alias("_reach")).withColumn("_carry", F.max("_reach").over(earlier)).drop("_reach")
+    inside = W.partitionBy(*keys).orderBy("start")
+    reach = F.greatest("_carry", F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    opened = _beside(single, carried, group).withColumn("_reach", reach).withColumn(
+        "_new", F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), 1).otherwise(0))
+    numbered = opened.withColumn("_island", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    parts = numbered.groupBy(*keys, "_island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_spans"))
+    last = parts.groupBy(*keys).agg(F.max("_island").alias("_n"))
+    owner = F.last(F.when(F.col("_n") > 0, F.struct(F.col("_slice").alias("s"), F.col("_n").alias("i"))), ignorenulls=True).over(earlier)
+    owned = _beside(parts, last.withColumn("_owner", owner).drop("_n"), group)
+    own = F.struct(F.col("_slice").alias("s"), F.col("_island").alias("i"))
+    return owned.withColumn("_of", F.when(F.col("_island") > 0, own).otherwise(F.col("_owner"))).groupBy(*group, "_of").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_spans").alias("n_spans")).drop("_of")
 
 
 def highlight_records(hits: DataFrame, layout: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions.vocab import SCORE_PATTERNS, USED_ENTRY, USED_SECTION
-from folioscope.operators import block_search, code_search, context, enrich, phrases, search, spans
+from folioscope.operators import block_search, catalog, code_search, context, enrich, phrases, scoped_search, search, spans
 from folioscope.operators.windows import with_neighbours
 from folioscope.plans.inputs import chunks, documents, texts
 from folioscope.plans.registry import query
@@ -117,6 +117,37 @@ def _caps(spark, sf):
     return _capped(spark, sf).select("query_id", "chunk_id", "doc_id", "score", "doc_rank", "rank")
 
 
+# a question's scope, and the settings of some groups; the others have the default row's
+_SCOPED_SQL = """
+se AS (SELECT 'src' || r_regionkey AS group_id, r_regionkey * 2 AS chunks_per_doc, CASE WHEN r_regionkey <> 1 THEN r_regionkey * 20 END AS max_total_chunks,
+  CASE WHEN r_regionkey <> 2 THEN r_regionkey * 0.05e0 END AS similarity_threshold FROM region),
+lim AS (SELECT group_id, greatest(1, least(20, coalesce(chunks_per_doc, 2))) AS per_doc, greatest(1, least(50, coalesce(max_total_chunks, 10))) AS total,
+  greatest(0e0, least(1e0, coalesce(similarity_threshold, 0.1e0))) AS least_score FROM (SELECT DISTINCT source AS group_id FROM documents) LEFT JOIN se USING (group_id)),
+sc AS (SELECT query_id, source AS group_id, doc_id, chunk_id, score FROM cos0 JOIN chunks USING (chunk_id) WHERE source = 'src' || (query_id % 20)),
+pd AS (SELECT sc.*, total, per_doc, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id)::INT AS doc_rank
+  FROM sc JOIN lim USING (group_id) WHERE score >= least_score)
+SELECT query_id, group_id, doc_id, chunk_id, score, doc_rank, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM pd WHERE doc_rank <= per_doc) WHERE rank <= total"""
+
+
+@query("scoped_retrieval", f"WITH {CHUNKS}, {COS_SQL}, {_SCOPED_SQL}")
+def _scoped(spark, sf):
+    """Each question searches its group's folder of stored vectors under the group's settings."""
+    rows = cut_lineage(chunks(spark, sf))
+    vectors, asked = _cosine(spark, sf, stored_index(spark, sf, rows))
+    path = scratch_path(spark, "group-vectors")
+    scoped_search.write_group_vectors(vectors, rows.withColumnRenamed("source", "group_id"), path)
+    asked = cut_lineage(asked.withColumn("group_id", F.concat(F.lit("src"), F.col("query_id") % 20)))
+    r = F.col("r_regionkey")
+    own = read_table(spark, sf, "region").select(
+        F.concat(F.lit("src"), r).alias("group_id"), F.lit(None).cast("string").alias("provider"), (r * 2).alias("chunks_per_doc"),
+        F.when(r != 1, r * 20).alias("max_total_chunks"), F.when(r != 2, r * F.lit(0.05)).alias("similarity_threshold"), F.lit(None).cast("string").alias("default_language"))
+    settings = own.unionByName(spark.createDataFrame([("default", None, 2, None, 0.1, None)], own.schema))
+    groups = documents(spark, sf).select(F.col("source").alias("group_id")).distinct()
+    scored = scoped_search.scoped_scores(scoped_search.read_group_vectors(spark, path, asked), asked)
+    return scoped_search.capped_by_group(scored, catalog.resolve_settings(groups, settings))
+
+
 @query("knn_exact", """
 WITH dims AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
 m AS (SELECT label, d, avg(x) AS m FROM dims GROUP BY ALL), q AS (SELECT label::BIGINT AS query_id, list(m ORDER BY d) AS qe FROM m GROUP BY 1),
