@@ -147,7 +147,11 @@ def judged(hits: DataFrame, least: int = 20) -> DataFrame:
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, least: int = 20, text_col: str = "text", item_col: str = "item_id",
                         item_text: str = "text", size: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns; map-only if the windows fit one block."""
+    """The rows of ``docs`` that are not contaminated, with all their columns; map-only if the windows fit one block.
+
+    Null and empty texts have no words and stay; very long texts are scanned whole. Each of repeated rows is judged, and alike; a
+    document with exactly one hit word in ``least`` goes. Empty tables keep every row. Columns of any name may be there.
+    """
     n, spans = fresh(docs, "_n", "_spans")
     found = docs.withColumn(n, F.lit(0)).withColumn(spans, F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)"))
     for k, windows in enumerate(_blocks(_windows(benchmark, size, item_col, item_text), block)):

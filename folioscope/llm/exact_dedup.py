@@ -164,7 +164,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when they are identical; null counts as empty. The row with the largest id stays. A null id ranks
     below all others. Rows that repeat an id with the same text are copies like any other: exactly one of them is kept.
-    An empty table gives an empty result; other columns are not looked at.
+    Very long texts are hashed whole. An empty table gives an empty result; other columns are not looked at.
     """
     rows = (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _digest(text_col).alias("digest"))
             .groupBy("digest", "doc_id").agg(F.count("*").cast("int").alias("times")))

@@ -399,7 +399,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A document's set holds its distinct ``size``-word shingles; a shorter text is one shingle; a text without words (or
     null) has an empty set, links with nothing and keeps its own id. Equal sets are one point of the join. Null ids take
     part and get their component's smallest id, if it has one. Rows that repeat are points like any other; an empty
-    table gives an empty result; other columns are not looked at. Hashes have 64 bits a shingle and 128 a set.
+    table gives an empty result; very long texts are taken whole; other columns are not looked at. Hashes have 64 bits a shingle and 128 a set.
     """
     return _classes(with_text_key(docs, id_col, text_col), size).select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"),

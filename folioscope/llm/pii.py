@@ -189,7 +189,8 @@ def find_pii(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
     """One row per document: doc_id, base (the patterns' spans), spans (with the tagger's): kind, start, end.
 
     Offsets count code points, ends are exclusive; spans are sorted by start, then kind. Null and empty texts have none.
-    Rows that repeat an id are searched one by one. Other columns are not looked at.
+    Very long texts are searched whole, in overlapping windows. Spans that start together are ordered by kind. Rows that repeat
+    an id are searched one by one; an empty table gives an empty one. Other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(keyed(docs, id_col, text_col), _find(shared), f"base {SPANS}, spans {SPANS}")

@@ -297,13 +297,21 @@ def scorer(shared):
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) of every row. Null and empty texts get the score of no evidence."""
+    """doc_id, score (0 to 1) of every row. Null and empty texts get the score of no evidence.
+
+    Very long texts are read whole. Repeated rows and null ids give a row each; equal texts get equal scores. An empty table gives
+    an empty one. Other columns are not looked at, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(keyed(docs, id_col, text_col), scorer(shared), "score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, all columns as they are; map-only."""
+    """The rows of ``docs`` whose score is below the threshold, all columns as they are; map-only.
+
+    Null and empty texts have the score of no evidence, so they stay unless that is toxic. Very long texts are read whole. Each
+    of repeated rows is judged, and alike; a score at the threshold goes. An empty table stays empty.
+    """
     make = scorer(docs.sparkSession.sparkContext.broadcast(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,7 +110,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null texts are empty and lose nothing; null ids rank last. Different texts under one id are documents of their own,
     ranked by a hash of the text; rows that repeat id and text are one document and come out alike. A passage that
-    repeats inside one document goes too. An empty table gives an empty result; other columns are not looked at.
+    repeats inside one document goes too. Very long texts are cut whole. An empty table gives an empty result; other columns are not looked at.
     """
     rows = with_keys(docs, id_col, text_col)
     removed = repeated_runs(rows, least_words).groupBy("doc_id", "row").agg(

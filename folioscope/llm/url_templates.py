@@ -90,7 +90,9 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", u
     """One row per page: page_id, host, path, rule, verdict, template, share (of blocked urls, smoothed).
 
     The longest fitting rule decides; without one the page's template does. A null url, or one without ``://``, has an
-    empty host and path. Repeated rows are judged alike; null ids stay null; other columns are not looked at.
+    empty host and path. Very long urls are taken whole. Of rules that fit equally long, which are equal strings, the first
+    counts; a share of exactly ``REJECT`` is allowed. Repeated rows are judged alike; null ids stay null; an empty table gives an
+    empty one; other columns are not looked at.
     """
     host, path = host_and_path("url")
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
