@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All stages but the last return the columns of their docs.
+
+In every stage a null text counts as empty, very long texts are taken whole, extra columns of any name pass through, and an
+empty table gives an empty one. Empty texts have no evidence of toxicity and no benchmark words, and link with nothing; they
+are equal to each other. Null ids rank below all others. Of repeated rows, exact dedup keeps one.
 """
 
 from __future__ import annotations
