@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, folder: str, name: str, per_batch: int | None = None) -> DataFrame:
-    """Stream over the files of ``folder`` that match ``name``, with the schema of those there now; oldest files first."""
-    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
-    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(folder)
+    """Stream over the files of ``folder`` that match ``name``, with the schema of those there now; oldest files first.
+
+    A match can be a file or a folder of files, as tables of any size are.
+    """
+    named = f"{folder}/{{{name}}}"  # a pattern, also for a plain name: a stream takes a path without one for a folder
+    reader = spark.readStream.schema(spark.read.parquet(named).schema)
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(named)
 
 
 def last_used(events: DataFrame) -> DataFrame:

@@ -95,3 +95,16 @@ def test_no_documents_give_no_index(spark):
     assert ingest.apply_documents(frame(spark, [(1, "a", None, None, 0)]), path, "s", 0, order="seq")
     index = ingest.read_index(spark, path)
     assert index is None or index.agg(F.count("*")).first()[0] == 0
+
+
+def test_a_stream_reads_a_table_in_one_file_or_in_a_folder(spark):
+    folder = scratch_path(spark, "tables")
+    frame(spark, [(i, "a", text(i), None, 0) for i in range(40)]).repartition(3).write.parquet(f"{folder}/many.parquet")
+    frame(spark, [(90, "other", "x", None, 0)]).write.parquet(f"{folder}/other.parquet")
+    one = frame(spark, [(i, "a", text(i), None, 0) for i in range(100, 105)]).toPandas()
+    one["deleted"] = one["deleted"].astype("boolean")
+    one.to_parquet(f"{folder}/one.parquet")
+    for name, n in (("many.parquet", 40), ("one.parquet", 5), ("*n*.parquet", 45)):
+        path = scratch_path(spark, "index")
+        ingest.ingest(live.read_files(spark, folder, name).select("doc_id", "source", "text"), path)
+        assert ingest.read_index(spark, path).select("doc_id").distinct().count() == n
