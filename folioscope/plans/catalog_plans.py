@@ -344,12 +344,12 @@ def _text_files(spark, sf):
 
 @query("read_chunk_maps", f"""WITH {CHUNKS} SELECT doc_id, 'chunk_' || chunk_index AS chunk_key, chunk_text AS text, doc_id || '.txt' AS filename, lang AS language FROM chunks""")
 def _chunk_maps(spark, sf):
-    """One file per document, in a folder per group; the document is named in its entries."""
+    """One map per document, in sequences of many maps in a folder per group; the document is named in its entries."""
     entry = F.struct(F.concat(F.lit("chunk_"), "chunk_index").alias("key"), F.struct(
         F.col("chunk_text").alias("text"), F.concat("doc_id", F.lit(".txt")).alias("filename"), F.col("lang").alias("language")).alias("value"))
     maps = chunks(spark, sf).groupBy("source", "doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
     path = scratch_path(spark, "chunk-maps")
-    maps.select("source", "value").write.partitionBy("source").option("maxRecordsPerFile", 1).text(path)
+    catalog_json.write_json_sequences(maps, path, "source")
     rows = catalog_json.chunk_maps(catalog_json.read_json_texts(spark, path))
     return rows.select(F.regexp_extract("filename", "^(.*)[.]txt$", 1).cast("bigint").alias("doc_id"), "chunk_key", "text", "filename", "language")
 

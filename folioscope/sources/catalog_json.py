@@ -12,9 +12,19 @@ RETRIEVAL = "struct<chunks_per_doc:int,max_total_chunks:int,similarity_threshold
 SETTINGS = f"struct<default:string,groups:map<string,string>,retrieval_params:map<string,{RETRIEVAL}>>"
 
 
+#: Stands before each text of a JSON text sequence (RFC 7464); no JSON text holds it unescaped.
+RECORD = "\x1e"
+
+
 def read_json_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, value — one row per file."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """path, value — one row per JSON text, of any number of lines: a whole file, or one of the texts of a JSON text sequence."""
+    texts = spark.read.text(path, lineSep=RECORD).filter(F.trim("value") != "")
+    return texts.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def write_json_sequences(texts: DataFrame, path: str, *partition: str) -> None:
+    """The JSON texts in column ``value`` as text sequences in a folder per value of ``partition``: many texts share a file."""
+    texts.select(*partition, "value").write.partitionBy(*partition).option("lineSep", RECORD).text(path)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
