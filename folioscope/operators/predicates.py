@@ -35,16 +35,21 @@ def target_document(asked: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``asked``: query_id, user_id, text; ``docs``: user_id, ord, filename. '@prefix rest' picks the user's
     first document whose name starts with the prefix, any other text the user's first document.
-    The pick is a partial minimum per question, so the matches of a user never meet as a group.
+    A user's documents are first picked per name beginning of a length that the user asks for, so questions meet one row for each
+    beginning and never the documents.
     """
     parsed = asked.select(
         "query_id", "user_id", "text", F.col("text").startswith("@").alias("tagged"),
         F.lower(F.regexp_extract("text", r"^@(\S*)", 1)).alias("prefix"))
-    hit = (
-        parsed.select("query_id", "user_id", "tagged", "prefix").join(docs, "user_id")
-        .filter(~F.col("tagged") | F.expr("startswith(lower(filename), prefix)"))
-        .groupBy("query_id").agg(F.min_by("filename", "ord").alias("filename"))
-    )
+    first = [F.min_by("filename", "ord").alias("filename"), F.min("ord").alias("ord")]
+    lengths = parsed.filter("tagged").select("user_id", F.length("prefix").alias("n")).distinct()
+    # an asked length beyond a name's own cannot match it
+    named = docs.join(lengths, "user_id").filter(F.col("n") <= F.length(F.lower("filename")))
+    beginnings = named.groupBy("user_id", F.expr("substring(lower(filename), 1, n)").alias("prefix")).agg(*first)
+    own = docs.groupBy("user_id").agg(*first)
+    found = parsed.filter("tagged").select("query_id", "user_id", "prefix").join(beginnings, ["user_id", "prefix"]).select("query_id", "filename", "ord")
+    found = found.unionByName(parsed.filter("not tagged").select("query_id", "user_id").join(own, "user_id").select("query_id", "filename", "ord"))
+    hit = found.groupBy("query_id").agg(F.min_by("filename", "ord").alias("filename"))
     return parsed.join(hit, "query_id", "left").select(
         "query_id", "filename",
         F.when(F.col("tagged"), F.regexp_extract("text", r"(?s)^@\S* ?(.*)$", 1)).otherwise(F.col("text")).alias("query_text"),
