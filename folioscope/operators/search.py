@@ -12,7 +12,7 @@ from folioscope.functions.rows import explode_rows
 from folioscope.functions.text import tokens
 from folioscope.functions.vocab import RERANK_GAP, RERANK_WEIGHTS
 from folioscope.operators.windows import top_k
-from folioscope.session import cut_lineage
+from folioscope.session import cut_lineage, dealt
 
 # No broadcast hints below: Spark broadcasts a side when its measured size is under the threshold
 # and shuffles (with skew splitting) when it is not.
@@ -24,7 +24,7 @@ def bm25_index(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
     The chunks are hash-partitioned by id once; counting terms, scoring and the first top-k step then
     need no further shuffle.
     """
-    placed = chunks.select("chunk_id", text).repartition("chunk_id").select("chunk_id", tokens(F.col(text)).alias("_t"))
+    placed = dealt(chunks.select("chunk_id", text), "chunk_id", text).select("chunk_id", tokens(F.col(text)).alias("_t"))
     return (
         explode_rows(placed, ["chunk_id", F.size("_t").alias("dl")], "_t", "term")
         .groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))

@@ -45,7 +45,7 @@ def questions(spark, sf):
 
 def stored_index(spark, sf, rows=None):
     """(postings, stats): the keyword index, written once, and its one-row statistics."""
-    postings = cut_lineage(search.bm25_index(chunks(spark, sf) if rows is None else rows))
+    postings = cut_lineage(search.bm25_index(cut_lineage(chunks(spark, sf).select("chunk_id", "chunk_text")) if rows is None else rows))
     return postings, cut_lineage(search.index_stats(postings))
 
 
