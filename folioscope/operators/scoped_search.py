@@ -14,10 +14,12 @@ MOST_GROUPS = 1000
 
 
 def write_group_vectors(vectors: DataFrame, chunks: DataFrame, path: str) -> None:
-    """The unit vectors (chunk_id, term, w) of chunks (chunk_id, group_id, doc_id) in a folder per group, sorted by term."""
+    """The unit vectors (chunk_id, term, w) of chunks (chunk_id, group_id, doc_id) in a folder per group, each file sorted by term.
+
+    A task writes the chunks that it holds into its own file of each group, so the vectors do not move again.
+    """
     rows = vectors.join(chunks.select("chunk_id", "group_id", "doc_id"), "chunk_id")
-    (rows.repartitionByRange("group_id", "term").sortWithinPartitions("group_id", "term")
-     .write.partitionBy("group_id").parquet(path))
+    rows.sortWithinPartitions("group_id", "term").write.partitionBy("group_id").parquet(path)
 
 
 def read_group_vectors(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:

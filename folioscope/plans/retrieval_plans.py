@@ -79,10 +79,12 @@ def _stored_bm25(spark, sf):
     return block_search.bm25_from_blocks(postings_store.read_postings(spark, path), questions(spark, sf))
 
 
-def _cosine(spark, sf, index=None):
-    postings, _ = index or stored_index(spark, sf)
-    total = chunks(spark, sf).agg(F.count(F.lit(1)).alias("n"))
-    return enrich.unit_vectors(postings, "chunk_id", total), search.query_vectors(questions(spark, sf), postings, total)
+def _cosine(spark, sf, rows=None, postings=None):
+    """(vectors of the chunks, vectors of the questions). The chunks' terms are counted where their texts go; postings do not move again."""
+    rows = cut_lineage(chunks(spark, sf).select("chunk_id", "doc_id", "chunk_text")) if rows is None else rows
+    total = rows.agg(F.count(F.lit(1)).alias("n"))
+    asked = search.query_vectors(questions(spark, sf), search.bm25_index(rows) if postings is None else postings, total)
+    return enrich.vectorize(rows, "chunk_id", "chunk_text"), asked
 
 
 @query("cosine_search", f"WITH {CHUNKS}, {COS_SQL} SELECT query_id, chunk_id, score, rank FROM cos")
@@ -96,8 +98,9 @@ fused AS (SELECT query_id, chunk_id, c.rank AS dense_rank, b.rank AS keyword_ran
   FROM cos c FULL JOIN bm b USING (query_id, chunk_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM fused) WHERE rank <= 10""")
 def _hybrid(spark, sf):
-    index = stored_index(spark, sf)
-    dense = search.cosine_search(*_cosine(spark, sf, index))
+    rows = cut_lineage(chunks(spark, sf).select("chunk_id", "chunk_text"))
+    index = stored_index(spark, sf, rows)
+    dense = search.cosine_search(*_cosine(spark, sf, rows, index[0]))
     return search.reciprocal_rank_fusion(dense, search.bm25_search(*index, questions(spark, sf)))
 
 
@@ -134,7 +137,7 @@ SELECT query_id, group_id, doc_id, chunk_id, score, doc_rank, rank FROM (
 def _scoped(spark, sf):
     """Each question searches its group's folder of stored vectors under the group's settings."""
     rows = cut_lineage(chunks(spark, sf))
-    vectors, asked = _cosine(spark, sf, stored_index(spark, sf, rows))
+    vectors, asked = _cosine(spark, sf, rows)
     path = scratch_path(spark, "group-vectors")
     scoped_search.write_group_vectors(vectors, rows.withColumnRenamed("source", "group_id"), path)
     asked = cut_lineage(asked.withColumn("group_id", F.concat(F.lit("src"), F.col("query_id") % 20)))
