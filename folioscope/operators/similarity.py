@@ -17,6 +17,7 @@ from folioscope.functions.vocab import (
     EDGE_WEIGHTS, HIGHLIGHT_BASE, HIGHLIGHT_BOOST, HIGHLIGHT_LONG, HIGHLIGHT_SHORT, NGRAM_WEIGHTS, OVERLAP_THRESHOLD,
     SIMILARITY_WEIGHTS,
 )
+from folioscope.operators.enrich import term_counts, vocabulary, with_frequency
 from folioscope.session import cut_lineage
 
 
@@ -109,12 +110,10 @@ def _leading_terms(sentences: DataFrame, floor: float) -> DataFrame:
 
     ``lead`` are the terms to join on, each with its weight w and the length of what is left of the vector in more frequent terms.
     """
-    distinct = sentences.groupBy("sid").agg(F.first("sentence").alias("sentence"))
-    tf = explode_rows(distinct, ["sid"], tokens(F.col("sentence")), "term").groupBy("sid", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    distinct = cut_lineage(sentences.groupBy("sid").agg(F.first("sentence").alias("sentence")))
+    tf = term_counts(distinct, "sid", "sentence")
     total = distinct.agg(F.count(F.lit(1)).alias("n"))
-    weighted = tf.join(df, "term").join(F.broadcast(total)).select(  # one-row side
+    weighted = with_frequency(tf, "sid", vocabulary(tf)).join(F.broadcast(total)).select(  # one-row side
         "sid", "df", "term", (F.col("tf") * _idf(F.col("n"), F.col("df"))).alias("raw"))
     # a list holds the terms of one sentence; common terms first, so that the sum runs from the tail
     rows = weighted.groupBy("sid").agg(F.reverse(F.array_sort(F.collect_list(F.struct("df", "term", "raw")))).alias("t"))
