@@ -10,8 +10,8 @@ from folioscope.operators import enrich, predicates, scoped_search
 from folioscope.sources import catalog_json
 
 
-def moved(df):
-    """What the Python of a task sees of ``df`` would be these rows: all shuffles of its final plan."""
+def final_plan(df):
+    """The plan that ran, as text."""
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -72,7 +72,7 @@ def test_target_document_meets_beginnings_not_documents(spark):
                 if q not in best or o < best[q][0]:
                     best[q] = (o, name)
     assert {(r.query_id, r.filename) for r in found.collect()} == {(q, best.get(q, (0, None))[1]) for q, _, _ in asked}
-    joins = [line for line in moved(found).splitlines() if "Join" in line and "user_id" in line]
+    joins = [line for line in final_plan(found).splitlines() if "Join" in line and "user_id" in line]
     assert joins and all("startswith" not in line.lower() for line in joins)  # no condition is tried on pairs of a user
 
 
