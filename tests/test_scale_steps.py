@@ -36,6 +36,22 @@ def test_frequencies_of_common_and_rare_terms(spark, monkeypatch):
         assert len(got) == len(tf)
 
 
+def test_phrases_are_not_looked_up_among_the_terms(spark, monkeypatch):
+    rows = [(f"k{i}", f"The Fox went home{i % 5} with someone{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t string")
+    monkeypatch.setattr(enrich, "COMMON_TERMS", 0)
+    met = []
+    look_up = enrich.with_frequency
+    def watched(rows, key, per_term, term, asked=None):  # as the rows that ask go into the look-up, so do those that come out with df
+        listed = per_term.unionByName(spark.createDataFrame([("The Fox", 400)], "term string, df long"))
+        met.append(look_up(rows, key, listed, term, **({} if asked is None else {"asked": asked})))
+        return met[0]
+    monkeypatch.setattr(enrich, "with_frequency", watched)
+    found = {r.k: r.keywords for r in enrich.keywords(df, "k", "t").collect()}
+    assert found["k7"] == ["someone7", "The Fox", "home2", "went", "with"]
+    assert met[0].filter("phrase and df is not null").count() == 0 and met[0].filter("not phrase and df is null").count() == 0
+
+
 def test_parts_grow_with_the_text(spark, monkeypatch):
     df = spark.createDataFrame(texts(spark, 200), "k string, t string")
     size = df.agg(F.sum(F.octet_length("t"))).first()[0]
