@@ -1,6 +1,8 @@
 """Steps that grow with the input and no faster: terms met by broadcast and shuffle, parts of bounded text, stored sequences."""
 
+import math
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -36,20 +38,27 @@ def test_frequencies_of_common_and_rare_terms(spark, monkeypatch):
         assert len(got) == len(tf)
 
 
-def test_phrases_are_not_looked_up_among_the_terms(spark, monkeypatch):
-    rows = [(f"k{i}", f"The Fox went home{i % 5} with someone{i}") for i in range(400)]
+def test_keywords_move_each_text_once_and_look_up_no_phrase(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(f"k{i % 300}", f"The Fox {rng.choice(['Ran', 'Sat'])} with word{rng.randrange(40)} word{i} word{i} Long Name{i % 3}") for i in range(320)]
+    rows += [("bare", ""), ("bare2", None), ("short", "a b c"), (None, "Nobody knows these words")]
     df = spark.createDataFrame(rows, "k string, t string")
-    monkeypatch.setattr(enrich, "COMMON_TERMS", 0)
-    met = []
-    look_up = enrich.with_frequency
-    def watched(rows, key, per_term, term, asked=None):  # as the rows that ask go into the look-up, so do those that come out with df
-        listed = per_term.unionByName(spark.createDataFrame([("The Fox", 400)], "term string, df long"))
-        met.append(look_up(rows, key, listed, term, **({} if asked is None else {"asked": asked})))
-        return met[0]
-    monkeypatch.setattr(enrich, "with_frequency", watched)
-    found = {r.k: r.keywords for r in enrich.keywords(df, "k", "t").collect()}
-    assert found["k7"] == ["someone7", "The Fox", "home2", "went", "with"]
-    assert met[0].filter("phrase and df is not null").count() == 0 and met[0].filter("not phrase and df is null").count() == 0
+    text, seen = {}, Counter(w for _, t in rows for w in set((t or "").lower().split()) if len(w) >= 4)
+    for k, t in rows:
+        text.setdefault(k, []).append(t or "")
+    expected = {}
+    for k, ts in text.items():
+        tf = Counter(w for t in ts for w in t.lower().split() if len(w) >= 4)
+        terms = sorted(tf, key=lambda w: (-round(tf[w] * math.log(len(rows) / seen[w]), 6), w))[:5]
+        phrases = {m for t in ts for m in re.findall(r"\b[A-Z][a-zA-Z]*\b(?:\s+[A-Z][a-zA-Z]*\b)*", t) if len(m) >= 4}
+        expected[k] = sorted(phrases | set(terms), key=lambda w: (-len(w), w))[:10]
+    for most in (0, 20, 10_000):
+        monkeypatch.setattr(enrich, "COMMON_TERMS", most)
+        found = enrich.keywords(df, "k", "t")
+        plan = final_plan(found)
+        assert {r.k: r.keywords for r in found.collect()} == expected
+        assert "phrase#" not in plan or most > 300  # with rarer terms, what is looked up and joined holds no phrase rows
+        assert plan.count("regexp_extract_all(t#") == 0 or most > 300  # nor does it open the texts again
 
 
 def test_parts_grow_with_the_text(spark, monkeypatch):
