@@ -9,14 +9,15 @@ region of the sets that begin with it. In every region
    join the pivot's class at once, and are then as good as one point;
 2. the region recurses over what is left: members outside the region's largest class are compared with its next members,
    sixteen times as many in each round, until they join that class or have met all. Two members are compared only if they
-   are in different classes, their sizes admit a link, the pair has not been measured before, and their distances to the
-   region's first pivot differ by no more than the link distance (triangle inequality): members near the boundary of the
+   are in different classes, their sizes and parity sketches admit a link, the pair has not been measured before, and their
+   distances to the region's first pivot differ by no more than the link distance (triangle inequality): members near the boundary of the
    pivot's neighbourhood are met by those beyond it, all others are not.
 
 A region of near copies collapses in the first step, so its cost is linear; nothing is cut off. How rare a shingle is,
 is counted exactly over the corpus: shingles that occur once are first in the order and never travel further, so most
 texts without near copies are in no region at all. Before two sets are compared on their texts, a parity bitmap of each
-(a bit a shingle) bounds their intersection. Texts move only for sets that are in a region, selected by a bitmap of fixed
+(a bit a shingle) bounds their intersection; folded to a few words, the same bitmap is a sketch that the join of members looks at.
+Texts are taken only for sets that are in a region, and move only for pairs to be measured, selected by a bitmap of fixed
 size; a pivot with very many members is measured in several tasks.
 """
 
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ BITMAP_BITS = 26
 MEMBERS = 256
 #: Members that one outside its region's largest class is compared with in a round; the number grows from round to round.
 FIRST_STEP, GROWTH = 8, 16
+#: 64-bit words of a sketch, the least size of a parity bitmap.
+SKETCH = 4
 
 
 def shingle_set(text: str | None, hashes: WordHashes, size: int) -> np.ndarray:
@@ -62,18 +65,23 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 
 def parity_bits(found: np.ndarray) -> bytes:
-    """A bit for each slot that holds an odd number of the set's shingles; as many slots as the next power of two."""
-    slots = max(64, 1 << int(len(found) - 1).bit_length()) if len(found) else 64
+    """A bit for each slot that holds an odd number of the set's shingles; as many slots as the next power of two, a sketch's at least."""
+    slots = max(64 * SKETCH, 1 << int(len(found) - 1).bit_length()) if len(found) else 64 * SKETCH
     return np.packbits(np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parity bitmap of ``size`` bytes of the same set."""
+    while len(bits) > size:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
 def most_common(bits_x: bytes, n_x: int, bits_p: bytes, n_p: int) -> int:
     """A bound of the intersection: every odd slot of the symmetric difference holds one of its shingles at least."""
     x, p = np.frombuffer(bits_x, np.uint8), np.frombuffer(bits_p, np.uint8)
-    while len(x) > len(p):
-        x = x[:len(x) // 2] ^ x[len(x) // 2:]
-    while len(p) > len(x):
-        p = p[:len(p) // 2] ^ p[len(p) // 2:]
+    least = min(len(x), len(p))
+    x, p = folded(x, least), folded(p, least)
     return min(n_x, n_p, (n_x + n_p - int(np.bitwise_count(x ^ p).sum())) // 2)
 
 
@@ -246,9 +254,13 @@ def _regions(tokens: DataFrame) -> DataFrame:
     return rows.join(members.groupBy("size", "a", "b").agg(F.min("token").alias("token")), "token", "left_semi")
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of a hash of text_key, a fixed number."""
-    at = F.pmod(F.xxhash64("text_key", F.lit(3)), F.lit(1 << BITMAP_BITS)) + 1
+def _place(column: str):
+    return F.pmod(F.xxhash64(column, F.lit(3)), F.lit(1 << BITMAP_BITS))
+
+
+def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits of a hash of a column, a fixed number."""
+    at = _place(column) + 1
     rows = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     bits = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
@@ -260,21 +272,26 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def _texts_of(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """node, text of the sets in ``members`` (node, doc_id, text_key)."""
-    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(members))
+def _perhaps_in(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, Broadcast]:
+    """The rows whose ``column`` is one of ``keys``, and a few others; a bitmap tells, so no row moves. The broadcast is the caller's to destroy."""
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(keys, column))
 
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             at = batch.column("at").to_numpy()
             yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
 
-    at = F.pmod(F.xxhash64("text_key", F.lit(3)), F.lit(1 << BITMAP_BITS))
-    some = rows.withColumn("at", at).mapInArrow(maybe, "doc_id bigint, text string, text_key bigint, at bigint").alias("d")
-    m = members.alias("m")
-    found = cut_lineage(some.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_key") == F.col("m.text_key")))
-                        .select("node", "text").dropDuplicates(["node"]))
+    marked = rows.withColumn("at", _place(column))
+    return marked.mapInArrow(run, marked.schema).drop("at"), shared
+
+
+def _texts_of(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """node, text of the sets in ``members`` (node, doc_id, text_key)."""
+    some, shared = _perhaps_in(rows.select("doc_id", "text", "text_key"), members, "text_key")
+    key = F.concat_ws("/", "doc_id", "text_key").alias("row_key")  # of one column, so that rows that repeat already lie together after the join
+    found = cut_lineage(some.select(key, "text").join(members.select(key, "node"), "row_key")
+                        .dropDuplicates(["row_key", "node"]).select("node", "text"))
     shared.destroy()
     return found
 
@@ -300,12 +317,14 @@ def _screened(pairs: DataFrame, points: DataFrame) -> DataFrame:
 def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """x, p, low, high (bounds of the distance; equal where it was measured), linked.
 
-    Pairs whose parity bits admit a link are measured on their texts, MEMBERS members of a pivot at a time.
+    Pairs whose parity bits admit a link are measured on their texts, MEMBERS members of a pivot at a time; only their texts move.
+    The result is written.
     """
     schema = "x binary, p binary, low double, high double, linked boolean"
     to = arrow_schema(schema)
     screened = cut_lineage(_screened(pairs, points))
     open_pairs = screened.where("possible").select("x", "p")
+    texts, shared = _perhaps_in(texts, open_pairs.select(F.explode(F.array("x", "p")).alias("node")), "node")
     share = open_pairs.groupBy("p").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("lanes"))
     pivots = share.join(texts.withColumnRenamed("node", "p"), "p").select(
         "p", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(None).cast("binary").alias("x"), "text")
@@ -330,7 +349,30 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int)
 
     both = pivots.unionByName(members).repartition("p", "lane").sortWithinPartitions("p", "lane", F.col("x").asc_nulls_first())
     excluded = screened.where("not possible").select("x", "p", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
-    return both.mapInArrow(run, schema).unionByName(excluded)
+    measured = cut_lineage(both.mapInArrow(run, schema).unionByName(excluded))
+    shared.destroy()
+    return measured
+
+
+def _sketched(points: DataFrame) -> DataFrame:
+    """node and the words w0, w1, ... of its parity bits, folded to a fixed size."""
+    schema = "node binary, " + ", ".join(f"w{i} bigint" for i in range(SKETCH))
+    to = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [folded(np.frombuffer(b, np.uint8), 8 * SKETCH).view(np.int64) for b in batch.column("bits").to_pylist()]
+            table = np.array(words, np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(table[:, i].copy()) for i in range(SKETCH))], schema=to)
+
+    return points.select("node", "bits").mapInArrow(run, schema)
+
+
+def _sketches_fit():
+    """No link is excluded: every word bit in which two sketches differ is a shingle at least that one set has and the other has not."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(SKETCH)])
+    both = F.col("a.n").cast("bigint") + F.col("b.n")
+    return F.lit(PARTS + SHARE) * (both - apart) >= F.lit(2 * SHARE) * both
 
 
 def _open_regions(regions: DataFrame, classes: DataFrame) -> DataFrame:
@@ -341,19 +383,19 @@ def _open_regions(regions: DataFrame, classes: DataFrame) -> DataFrame:
     return marked.join(marked.where("waits").select("token").distinct(), "token", "left_semi")
 
 
-def _next_pairs(regions: DataFrame, lists: DataFrame, measured: DataFrame, step: int) -> DataFrame:
+def _next_pairs(regions: DataFrame, marks: DataFrame, measured: DataFrame, step: int) -> DataFrame:
     """Pairs (x, p) of every waiting member with the next ``step`` members of its region, as far as a link is possible.
 
-    A pair that has several regions in common is met in the first of them only.
+    A pair that has several regions in common is met in the first of them only. ``marks``: a node's regions and its sketch.
     """
-    to_head = measured.select(F.col("x").alias("node"), F.col("p").alias("head"), "low", "high")
-    placed = regions.join(to_head, ["node", "head"], "left").join(lists, "node").withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("high", F.coalesce("high", F.lit(1.0)))
+    placed = regions.join(marks, "node")
     a, b = placed.where("waits").alias("a"), placed.alias("b")
     reach = F.lit(1 - SHARE / PARTS + 1e-9)
     near = (F.col("a.low") - F.col("b.high") <= reach) & (F.col("b.low") - F.col("a.high") <= reach)
     here = (F.col("b.place") >= F.col("a.done")) & (F.col("b.place") < F.col("a.done") + step)
     first = F.array_min(F.array_intersect("a.tokens", "b.tokens")) == F.col("a.token")
-    found = a.join(b, (F.col("a.token") == F.col("b.token")) & here & (F.col("a.root") != F.col("b.root")) & _sizes_fit("a.n", "b.n") & near & first)
+    found = a.join(b, (F.col("a.token") == F.col("b.token")) & here & (F.col("a.root") != F.col("b.root")) & _sizes_fit("a.n", "b.n") & near
+                   & _sketches_fit() & first)
     return (found.select(F.greatest("a.node", "b.node").alias("x"), F.least("a.node", "b.node").alias("p")).distinct()
             .join(measured.select("x", "p"), ["x", "p"], "left_anti"))
 
@@ -364,17 +406,21 @@ def _classes(rows: DataFrame, size: int) -> DataFrame:
     regions = _regions(sets.select(F.explode("tokens").alias("token"), F.col("set_key").alias("node"), "n"))
     sizes = regions.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("head"))
     regions = cut_lineage(regions.join(sizes, "token").withColumn("done", F.lit(1)))
-    lists = cut_lineage(regions.groupBy("node").agg(F.collect_set("token").alias("tokens")))  # a quarter of a set at most
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     points = cut_lineage(sets.where("set_key is not null").groupBy(F.col("set_key").alias("node")).agg(
         F.min(row).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    involved = cut_lineage(regions.select("node").distinct().join(points, "node"))
 
     pairs = regions.where((F.col("place") > 0)).join(
-        points.select(F.col("node").alias("head"), F.col("n").alias("n_head")), "head").where(_sizes_fit("n", "n_head")).select(
+        involved.select(F.col("node").alias("head"), F.col("n").alias("n_head")), "head").where(_sizes_fit("n", "n_head")).select(
         F.col("node").alias("x"), F.col("head").alias("p")).distinct()
-    involved = regions.select("node").distinct().join(points, "node").select("node", "one.doc_id", "one.text_key")
-    texts = _texts_of(rows, involved)
-    measured = fresh_pairs = cut_lineage(_measured(pairs, points, texts, size))
+    texts = _texts_of(rows, involved.select("node", "one.doc_id", "one.text_key"))
+    measured = fresh_pairs = _measured(pairs, involved, texts, size)
+    # pairs with a head are all measured by now, as far as sizes admit a link
+    to_head = measured.select(F.col("x").alias("node"), F.col("p").alias("head"), "low", "high")
+    marks = cut_lineage(regions.groupBy("node").agg(F.collect_set("token").alias("tokens")).join(_sketched(involved), "node"))  # a quarter of a set at most
+    regions = (regions.join(to_head, ["node", "head"], "left").drop("head")
+               .withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("high", F.coalesce("high", F.lit(1.0))))
     links, step = [], FIRST_STEP
     while True:
         links.append(fresh_pairs.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
@@ -383,7 +429,7 @@ def _classes(rows: DataFrame, size: int) -> DataFrame:
         regions = cut_lineage(_open_regions(regions, classes))
         if regions.isEmpty():
             break
-        fresh_pairs = cut_lineage(_measured(_next_pairs(regions, lists, measured, step), points, texts, size))
+        fresh_pairs = _measured(_next_pairs(regions, marks, measured, step), involved, texts, size)
         measured = measured.unionByName(fresh_pairs)
         regions = regions.withColumn("done", F.when(F.col("waits"), F.col("done") + step).otherwise(F.col("done")))
         step *= GROWTH

@@ -6,6 +6,11 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from folioscope.llm import components as components_of
+from folioscope.llm import jaccard_join
 from folioscope.llm.components import components
 from folioscope.llm.exact_dedup import CuckooIndex, exact_dedup, keep_largest
 from folioscope.llm.jaccard_join import jaccard_components, keep_least
@@ -162,3 +167,28 @@ def test_rows_that_repeat_id_and_text_keep_their_passages_in_any_partitioning(sp
             docs = frame(spark, order).repartition(parts) if parts > 1 else frame(spark, order).coalesce(1)
             got = sorted((str(r.doc_id), r.text) for r in dedup_passages(docs).collect())
             assert got == [("1", passage)] * 3 + [("2", " End."), ("3", "Alone."), ("None", ""), ("None", "")]
+
+
+def test_members_met_in_a_region_are_only_those_that_sketches_admit(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(60)[:60 - cut]], rng.integers(0, 1 << 63, cut, dtype=np.uint64)])) for cut in [25] * 40 + [3] * 6]
+    sets += [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 2, 700)]
+    nodes = [bytes([i]) for i in range(len(sets))]
+    points = spark.createDataFrame([(x, len(f), bytearray(jaccard_join.parity_bits(np.unique(f)))) for x, f in zip(nodes, sets)], "node binary, n int, bits binary")
+    marks = jaccard_join._sketched(points).withColumn("tokens", F.array(F.lit(7).cast("bigint")))
+    regions = spark.createDataFrame(
+        [(7, x, len(f), i, len(sets), 0, x, True, 0.0, 1.0) for i, (x, f) in enumerate(zip(nodes, sets))],
+        "token bigint, node binary, n int, place int, size bigint, done int, root binary, waits boolean, low double, high double")
+    none = spark.createDataFrame([], "x binary, p binary, low double, high double, linked boolean")
+    got = {(bytes(r.x)[0], bytes(r.p)[0]) for r in jaccard_join._next_pairs(regions, marks, none, 1000).collect()}
+    common = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i)}
+    linked = {(i, j) for (i, j), c in common.items() if 100 * c >= 75 * (len(sets[i]) + len(sets[j]) - c)}
+    assert linked and linked <= got
+    assert len(got - linked) < 20  # of the more than 1,000 pairs that are far apart
+
+
+def test_components_stop_at_stars(spark):
+    is_forest = lambda rows: components_of._is_forest(spark.createDataFrame(rows, "a int, b int"))
+    assert is_forest([(2, 1), (3, 1), (5, 4)])
+    assert not is_forest([(3, 2), (2, 1)]) and not is_forest([(3, 1), (3, 2)])
