@@ -155,6 +155,18 @@ def test_an_admin_opens_rows_to_nobody_else(spark):
     assert got == [(7, 1), (9, 1), (9, 2)]
 
 
+def test_one_large_group_is_opened_by_several_tasks(spark):
+    from folioscope.operators import catalog
+    rows = spark.range(3000).selectExpr("id as doc_id", "1 as group_id", "id as _lane").coalesce(1)
+    member = spark.range(50).selectExpr("id as user_id", "1 as group_id").coalesce(1)
+    asked = member.selectExpr("user_id", "'user' as role")
+    got = catalog.access_semi_join(rows, member, asked)
+    assert got.columns == ["group_id", "doc_id", "_lane", "user_id"]
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 150_000 and got.distinct().count() == 150_000
+    assert max(sizes) <= 75_000  # it was all of them in one
+
+
 def test_no_visible_word_of_a_page_is_lost(spark):
     from folioscope.sources import html
     page = "<body>top<div class=ad>one <b>two</b></div><p>open <p>three<table><tr><td>x&amp;y</td></tr></table><pre>four</pre><script>gone</script><li>item</body>"
