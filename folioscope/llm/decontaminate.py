@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from folioscope.llm.text import WordHashes, arrow_schema, encoded, fresh, gram_hashes, keyed, letter_words, map_texts, parts_of
+from folioscope.llm.text import WordHashes, arrow_schema, encoded, freeing, fresh, gram_hashes, keyed, letter_words, map_texts, parts_of
 from folioscope.session import cut_lineage
 
 WINDOW = 13
@@ -43,7 +43,7 @@ def _windows(items: DataFrame, size: int, item_col: str, text_col: str) -> DataF
                                                   for i, h in enumerate(codes)], to)
 
     rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, schema).distinct()
+    return rows.mapInArrow(freeing(run), schema).distinct()
 
 
 class WindowSet:
@@ -175,4 +175,4 @@ def _with_hits(rows: DataFrame, shared, text_col: str, n: str, spans: str) -> Da
                     n: pa.array(found["n_words"], pa.int32()), spans: pa.array(both, to.field(spans).type)}
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in to], schema=to)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(freeing(run), rows.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.text import arrow_schema, fresh
+from folioscope.llm.text import arrow_schema, freeing, fresh
 
 SLOTS = 4
 KICKS = 200
@@ -144,7 +144,7 @@ def _folded(rows: DataFrame) -> DataFrame:
         while rows := list(islice(items, 50_000)):
             yield pa.RecordBatch.from_pylist([{"digest": d, "best": b, "n": n} for d, (b, n) in rows], to)
 
-    return rows.mapInArrow(fold, FOLDED)
+    return rows.mapInArrow(freeing(fold), FOLDED)
 
 
 def _digest(text_col: str) -> Column:

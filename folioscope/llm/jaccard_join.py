@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.text import WordHashes, arrow_schema, fresh, gram_hashes, keyed, parts_of, space_words
+from folioscope.llm.text import WordHashes, arrow_schema, freeing, fresh, gram_hashes, keyed, parts_of, space_words
 from folioscope.session import cut_lineage
 
 SHINGLE = 5
@@ -149,7 +149,7 @@ def _asked(rows: DataFrame, size: int, buckets: int) -> DataFrame:
         if held:
             yield questions()
 
-    return rows.select("doc_id", "text_key", "text").mapInArrow(run, SCAN)
+    return rows.select("doc_id", "text_key", "text").mapInArrow(freeing(run), SCAN)
 
 
 def _answered(asked: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _answered(asked: DataFrame) -> DataFrame:
                 out = []
         yield pa.RecordBatch.from_pylist(out, to)
 
-    return asked.mapInArrow(run, SCAN)
+    return asked.mapInArrow(freeing(run), SCAN)
 
 
 def _with_first_tokens(answered: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _with_first_tokens(answered: DataFrame) -> DataFrame:
         if members:
             yield chosen(members, shared)
 
-    return answered.sortWithinPartitions("chunk").mapInArrow(run, SETS)
+    return answered.sortWithinPartitions("chunk").mapInArrow(freeing(run), SETS)
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -283,7 +283,7 @@ def _perhaps_in(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFram
             yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
 
     marked = rows.withColumn("at", _place(column))
-    return marked.mapInArrow(run, marked.schema).drop("at"), shared
+    return marked.mapInArrow(freeing(run), marked.schema).drop("at"), shared
 
 
 def _texts_of(rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def _screened(pairs: DataFrame, points: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("p"), pa.array(low, pa.float64()), pa.array(possible, pa.bool_())], schema=to)
 
     of = lambda name: points.select(F.col("node").alias(name), F.col("bits").alias(f"bits_{name}"), F.col("n").alias(f"n_{name}"))
-    return pairs.join(of("x"), "x").join(of("p"), "p").select("x", "p", "bits_x", "n_x", "bits_p", "n_p").mapInArrow(run, schema)
+    return pairs.join(of("x"), "x").join(of("p"), "p").select("x", "p", "bits_x", "n_x", "bits_p", "n_p").mapInArrow(freeing(run), schema)
 
 
 def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -349,7 +349,7 @@ def _measured(pairs: DataFrame, points: DataFrame, texts: DataFrame, size: int)
 
     both = pivots.unionByName(members).repartition("p", "lane").sortWithinPartitions("p", "lane", F.col("x").asc_nulls_first())
     excluded = screened.where("not possible").select("x", "p", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
-    measured = cut_lineage(both.mapInArrow(run, schema).unionByName(excluded))
+    measured = cut_lineage(both.mapInArrow(freeing(run), schema).unionByName(excluded))
     shared.destroy()
     return measured
 
@@ -365,7 +365,7 @@ def _sketched(points: DataFrame) -> DataFrame:
             table = np.array(words, np.int64).reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(table[:, i].copy()) for i in range(SKETCH))], schema=to)
 
-    return points.select("node", "bits").mapInArrow(run, schema)
+    return points.select("node", "bits").mapInArrow(freeing(run), schema)
 
 
 def _sketches_fit():

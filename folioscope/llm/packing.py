@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.text import arrow_schema, keyed, parts_of
+from folioscope.llm.text import arrow_schema, freeing, keyed, parts_of
 from folioscope.llm.tokens import tokenizer
 
 LENGTH = 1024
@@ -125,7 +125,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
         finally:
             tk.forget()
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, schema)
+    return keyed(docs, id_col, text_col).mapInArrow(freeing(run), schema)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH, group_docs: int = GROUP_DOCS,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -102,6 +103,28 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def release(freed: bool = True) -> None:
+    """Gives the memory that Arrow's pool, and with ``freed`` also the C library, holds without use back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if freed else None  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with unused memory given back as it goes and at its end.
+
+    A worker process lives on between tasks and stages, next to the executor's heap; what it keeps is missing there.
+    """
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            release(freed=False)
+        release()
+
+    return freed
+
+
 def map_texts(rows: DataFrame, make: Callable[[], Callable[[list], dict]], columns: str) -> DataFrame:
     """doc_id and, per row of ``keyed``, the ``columns`` that the function from ``make`` returns for a list of texts.
 
@@ -118,4 +141,4 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[list], dict]], colum
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *(pa.array(found[f.name], f.type) for f in list(to)[1:])], schema=to)
 
-    return rows.select("doc_id", "text").mapInArrow(run, schema)
+    return rows.select("doc_id", "text").mapInArrow(freeing(run), schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import id_coder
-from folioscope.llm.text import arrow_schema, keyed, parts_of
+from folioscope.llm.text import arrow_schema, freeing, keyed, parts_of
 from folioscope.llm.tokens import tokenizer
 
 #: Ids after which a segment ends, with the document that passes the number.
@@ -77,7 +77,7 @@ def token_segments(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
             yield pa.RecordBatch.from_pylist(rows(), to)
 
     ordered = keyed(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(run, FILE)
+    return ordered.mapInArrow(freeing(run), FILE)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -122,4 +122,4 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         if waiting:
             yield decoded(waiting)
 
-    return files.mapInArrow(run, READ)
+    return files.mapInArrow(freeing(run), READ)

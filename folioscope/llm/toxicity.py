@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.text import arrow_schema, keyed, map_texts, parts_of
+from folioscope.llm.text import arrow_schema, freeing, keyed, map_texts, parts_of
 from folioscope.session import cut_lineage
 
 #: Labelled documents the model is fitted on, at most; taken in the order of a hash of their ids.
@@ -78,7 +78,7 @@ def character_counts(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], schema=to)
 
     counts = np.zeros(SYMBOLS ** 3, np.int64)
-    rows = texts.select("text").mapInArrow(run, "triple int, n bigint").groupBy("triple").agg(F.sum("n").alias("n"))
+    rows = texts.select("text").mapInArrow(freeing(run), "triple int, n bigint").groupBy("triple").agg(F.sum("n").alias("n"))
     for r in rows.collect():  # at most SYMBOLS ** 3 rows
         counts[r["triple"]] = r["n"]
     return counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
@@ -243,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, fold: Colu
                                                   pa.array(list(found.values()), pa.int32())], schema=to)
 
     bad, good = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("toxic") != 1, F.col("n")).otherwise(0))
-    counted = sample.select("text", "toxic").mapInArrow(read, "feature string, toxic int, n int").groupBy("feature").agg(bad.alias("bad"), good.alias("good"))
+    counted = sample.select("text", "toxic").mapInArrow(freeing(read), "feature string, toxic int, n int").groupBy("feature").agg(bad.alias("bad"), good.alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
     strength = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     best = (counted.withColumn("strength", strength).where("bad >= 3 and strength > 2.5")
@@ -321,7 +321,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
                 clean = np.array(scores(part.column(text_col).to_pylist())["score"]) < threshold
                 yield part.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 
 def judged(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

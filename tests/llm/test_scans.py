@@ -9,13 +9,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.llm import char_tagger, lm_score, pii, toxicity
 from folioscope.llm.decontaminate import benchmark_hits, judged, keep_uncontaminated
 from folioscope.llm.plans import QUERIES, URL_RULES
-from folioscope.llm.text import space_words
+from folioscope.llm.text import freeing, space_words
 from folioscope.llm.url_templates import url_verdicts
 
 SCHEMA = "doc_id bigint, text string, score double, spans string, _n int, toxic string"
@@ -346,3 +347,23 @@ def test_url_templates_generalise_and_reject(spark):
 def test_native_operator_runs_no_python(spark):
     plan = QUERIES["op3_url_templates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_worker_gives_back_what_a_task_no_longer_uses():
+    def held() -> float:
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", f.read()))) / 1024
+
+    def run(batches):
+        for batch in batches:
+            grown = [pa.array([f"{i} {j}" * 20 for j in range(20_000)]) for i in range(20)]
+            assert len(grown) == 20
+            yield batch
+
+    some = pa.RecordBatch.from_pydict({"x": [1]})
+    assert list(freeing(run)([some])) == [some]  # libraries are loaded
+    before = held()
+    assert list(freeing(run)([some] * 3)) == [some] * 3
+    kept = held() - before
+    assert list(run([some] * 3)) == [some] * 3
+    assert kept < 20 < held() - before
