@@ -87,88 +87,202 @@ def sentence_overlap(left: DataFrame, right: DataFrame, left_id: list[str], righ
     # read several times below, so written out once
     ls = cut_lineage(_long_sentences(left, [*left_id, *on], text))
     rs = cut_lineage(_long_sentences(right, [*right_id, *on], text))
-    body = cut_lineage(_leading_terms(ls.select("sid", "sentence").unionByName(rs.select("sid", "sentence")), floor))
-    met = _met(_prefix(ls, on, body, "l"), _prefix(rs, on, body, "r"), on, floor)
-    side = lambda p: body.select(F.col("sid").alias(f"{p}sid"), F.col("sentence").alias(f"{p}text"))
-    close = _cosines(met, body).filter(F.col("cosine") > floor).join(side("l"), "lsid").join(side("r"), "rsid")
+    part = lambda rows, side: rows.select("sid", "sentence", *(F.lit(s == side).alias(f"in_{s}") for s in "lr"))
+    distinct = _distinct(part(ls, "l").unionByName(part(rs, "r")))
+    body = _vectors(distinct, floor)
+    met = cut_lineage(_met(_placed(body, ls, "l", on), _placed(body, rs, "r", on), floor))
+    side = lambda p: distinct.select(F.col("num").alias(p), F.col("sid").alias(f"{p}sid"), F.col("sentence").alias(f"{p}text"))
+    close = cut_lineage(_cosines(met, body).filter(F.col("cosine") > floor)).join(side("l"), "l").join(side("r"), "r")
     # exploding a one-element array keeps the costly value from being worked out again in the filter
     # rounded first: equal sentences without key phrases reach the threshold exactly, not past it
     score = F.round(weighted_similarity(F.col("cosine"), F.col("ltext"), F.col("rtext")), 6)
-    similar = explode_rows(close, ["lsid", "rsid"], F.filter(F.array(score), lambda s: s > threshold), "s")
-    lids = ls.select(*left_id, *on, F.col("sid").alias("lsid")).distinct()
-    rids = rs.select(*right_id, *on, F.col("sid").alias("rsid")).distinct()
+    similar = cut_lineage(explode_rows(close, ["lsid", "rsid"], F.filter(F.array(score), lambda s: s > threshold), "s"))
+    found = lambda rows, ids, key: rows.select(*ids, *on, F.col("sid").alias(key)).join(
+        similar.select(key).distinct(), key, "left_semi").distinct()
     out = list(dict.fromkeys([*left_id, *right_id, *on]))
-    return lids.join(similar, "lsid").join(rids, ["rsid", *on]).groupBy(*out).agg(F.max("s").alias("best"))
+    return found(ls, left_id, "lsid").join(similar, "lsid").join(found(rs, right_id, "rsid"), ["rsid", *on]).groupBy(*out).agg(F.max("s").alias("best"))
 
 
 #: Leading terms of one kind that meet in one lane of the join.
 LANE = 2048
+#: Parts of a sketch, which holds the length of a vector in each of them.
+BUCKETS = 128
+#: Pairs that are looked at together.
+PAIRS = 1 << 17
+#: What rounding may take from a bound.
+SLACK = 1e-5
 
 
-def _leading_terms(sentences: DataFrame, floor: float) -> DataFrame:
-    """sid, sentence, terms and weights (the unit vector), lead, per distinct sentence.
+def _distinct(sentences: DataFrame) -> DataFrame:
+    """num, sid, sentence per sid, written out; columns besides sid and sentence are combined by ``max``."""
+    more = [F.max(c).alias(c) for c in sentences.columns if c not in ("sid", "sentence")]
+    once = sentences.groupBy("sid").agg(F.first("sentence").alias("sentence"), *more)
+    return cut_lineage(once.withColumn("num", F.monotonically_increasing_id()))
+
+
+def _vectors(distinct: DataFrame, floor: float) -> DataFrame:
+    """The columns of ``distinct`` but the sentence, terms, raws, norm, lead and weights (the unit vector, raws / norm), written out.
 
-    ``lead`` are the terms to join on, each with its weight w and the length of what is left of the vector in more frequent terms.
+    Terms stand in the order of their frequency, common ones first. The last ``lead`` of them are to be joined on: what comes
+    before them is shorter than ``floor``.
     """
-    distinct = cut_lineage(sentences.groupBy("sid").agg(F.first("sentence").alias("sentence")))
-    tf = term_counts(distinct, "sid", "sentence")
     total = distinct.agg(F.count(F.lit(1)).alias("n"))
-    weighted = with_frequency(tf, "sid", vocabulary(tf)).join(F.broadcast(total)).select(  # one-row side
-        "sid", "df", "term", (F.col("tf") * _idf(F.col("n"), F.col("df"))).alias("raw"))
+    per_term = vocabulary(explode_rows(distinct, [], F.array_distinct(tokens(F.col("sentence"))), "term"))
+    weighted = with_frequency(term_counts(distinct, "num", "sentence"), "num", per_term).join(F.broadcast(total)).select(  # one-row side
+        "num", "df", "term", (F.col("tf") * _idf(F.col("n"), F.col("df"))).alias("raw"))
     # a list holds the terms of one sentence; common terms first, so that the sum runs from the tail
-    rows = weighted.groupBy("sid").agg(F.reverse(F.array_sort(F.collect_list(F.struct("df", "term", "raw")))).alias("t"))
+    rows = weighted.groupBy("num").agg(F.reverse(F.array_sort(F.collect_list(F.struct("df", "term", "raw")))).alias("t"))
     mass = F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["raw"] * x["raw"])
     bound = F.col("m") * (floor * floor - 1e-9)
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<term:string,w:double,rest:double>>").alias("lead"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
     def step(acc, x):
         total = acc["sum"] + x["raw"] * x["raw"]
-        entry = F.struct(x["term"].alias("term"), (x["raw"] / F.sqrt(F.col("m"))).alias("w"), F.sqrt(acc["sum"] / F.col("m")).alias("rest"))
-        return F.struct(total.alias("sum"), F.when(total >= bound, F.concat(acc["lead"], F.array(entry)))
-                        .otherwise(acc["lead"]).alias("lead"))
+        return F.struct(total.alias("sum"), (acc["n"] + (total >= bound).cast("int")).alias("n"))
 
-    return rows.withColumn("m", mass).select(
-        "sid",
-        F.transform("t", lambda x: x["term"]).alias("terms"), F.transform("t", lambda x: x["raw"] / F.sqrt(F.col("m"))).alias("weights"),
-        F.aggregate("t", start, step, lambda acc: acc["lead"]).alias("lead"),
-    ).join(distinct, "sid")
+    held = cut_lineage(rows.withColumn("m", mass).select(
+        "num", F.transform("t", lambda x: x["term"]).alias("terms"), F.transform("t", lambda x: x["raw"]).alias("raws"),
+        F.sqrt("m").alias("norm"), F.aggregate("t", start, step, lambda acc: acc["n"]).alias("lead"),
+    ).join(distinct.drop("sentence"), "num"))
+    return held.withColumn("weights", F.transform("raws", lambda x: x / F.col("norm")))
 
 
-def _prefix(rows: DataFrame, on: list[str], body: DataFrame, side: str) -> DataFrame:
-    """The leading terms of each sentence with its weight and rest; columns but ``on`` and term get the prefix ``side``."""
-    opened = rows.select("sid", *on).distinct().join(body.select("sid", "lead"), "sid").select("sid", *on, F.explode("lead").alias("e"))
-    return opened.select(F.col("sid").alias(f"{side}sid"), *on, F.col("e.term").alias("term"), F.col("e.w").alias(f"{side}w"), F.col("e.rest").alias(f"{side}rest"))
+def _leading_terms(sentences: DataFrame, floor: float) -> DataFrame:
+    """The vectors of the distinct sentences of sid, sentence."""
+    return _vectors(_distinct(sentences), floor)
 
 
-def _can_reach(floor: float) -> Column:
-    """Whether the cosine of two vectors can reach ``floor`` if the term they meet on is the rarest that they share: what rarer
-    terms hold is lost, and the more frequent ones add no more than the product of the rests. True where they do reach it."""
-    return F.col("lw") * F.col("rw") + F.col("lrest") * F.col("rrest") >= floor - 1e-6
+def _leads(body: DataFrame) -> DataFrame:
+    """num, key, data: the leading terms of each vector.
 
+    ``key`` is a hash of the term; equal hashes of two terms only make more candidates. ``data`` holds as float32 the term's weight,
+    the length of what is left of the vector in more frequent terms, and the unit of the sketch; then the sketch in half bytes,
+    rounded up: the length of the vector in each bucket of terms. The product of two sketches is no less than the cosine.
+    """
+    rows = body.select("num", "lead", F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes"), "weights")
+    schema = "num long, key long, data binary"
 
-def _met(left: DataFrame, right: DataFrame, on: list[str], floor: float) -> DataFrame:
-    """lsid, rsid that meet on a leading term. A term's left list is cut into lanes, and the right one goes to each of them."""
-    key = [*on, "term"]
-    lanes = left.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / LANE).cast("int").alias("lanes"))
-    a = left.join(lanes, key).withColumn("lane", F.pmod(F.xxhash64("lsid"), F.col("lanes")).cast("int")).drop("lanes")
-    b = right.join(lanes, key).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("lanes")
-    return a.join(b, [*key, "lane"]).filter(_can_reach(floor)).select("lsid", "rsid").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("weights").value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            w, hashes = (batch.column(c).flatten().to_numpy() for c in ("weights", "hashes"))
+            if not len(w):
+                continue
+            of, square = np.repeat(np.arange(len(size)), size), w * w
+            upto = np.cumsum(square)
+            upto -= np.repeat(np.append(0, upto)[np.cumsum(size) - size], size)
+            sketch = np.sqrt(np.bincount(of * BUCKETS + (hashes & (BUCKETS - 1)), square, minlength=len(size) * BUCKETS)).reshape(-1, BUCKETS)
+            unit = (sketch.max(axis=1) / 15 * (1 + 1e-6)).astype(np.float32)
+            steps = np.minimum(np.ceil(sketch / np.maximum(unit, 1e-30)[:, None]), 15).astype(np.uint8)
+            packed = (steps[:, ::2] << 4) | steps[:, 1::2]
+            lead = np.flatnonzero(np.arange(len(of)) >= (np.cumsum(size) - batch.column("lead").to_numpy())[of])
+            row = of[lead]
+            head = np.stack([w[lead], np.sqrt(np.maximum(upto[lead] - square[lead], 0)), unit[row]], axis=1).astype("<f4")
+            data = np.concatenate([head.view(np.uint8).reshape(len(lead), 12), packed[row]], axis=1)
+            ends = pa.array(np.arange(len(lead) + 1) * data.shape[1], pa.int32())
+            made = pa.Array.from_buffers(pa.binary(), len(lead), [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(data))])
+            yield pa.RecordBatch.from_arrays([batch.column("num").take(pa.array(row)), pa.array(hashes[lead]), made], names=["num", "key", "data"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _placed(body: DataFrame, rows: DataFrame, side: str, on: list[str]) -> DataFrame:
+    """num, key, data: the leading terms of one side's sentences; with ``on``, sentences of different values do not meet."""
+    leads = _leads(body.filter(f"in_{side}"))
+    if not on:
+        return leads
+    place = rows.select("sid", *on).distinct().join(body.select("sid", "num"), "sid").select("num", F.xxhash64(*on).alias("place"))
+    return leads.join(place, "num").select("num", F.xxhash64("key", "place").alias("key"), "data")
+
+
+def _lanes(leads: DataFrame, name: str) -> DataFrame:
+    """key and the number of lanes of the keys that fill more than one; so few that there is at most one in ``LANE`` rows."""
+    return cut_lineage(leads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LANE).select(
+        "key", F.ceil(F.col("n") / LANE).cast("int").alias(name)))
+
+
+def _met(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """l, r that meet on a leading term. Both lists of a term are cut into lanes, and each lane meets each of the other side's."""
+    keys = cut_lineage(right.select("key").distinct())
+    left = left.join(keys, "key", "left_semi")
+    many = {"a": _lanes(left, "a"), "b": _lanes(right, "b")}
+
+    def dealt(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        count = lambda c: F.coalesce(c, F.lit(1))
+        known = rows.join(many[own], "key", "left").join(many[other], "key", "left")
+        lane = {own: F.pmod(F.xxhash64("num"), count(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), count(other) - 1))}
+        each = known.select("key", "num", "data", lane[other].alias("_o"), lane[own].alias("_m"))
+        i, j = ("_m", "_o") if own == "a" else ("_o", "_m")
+        return each.select(F.xxhash64("key", i, j).alias("meeting"), F.lit(side).alias("side"), "num", "data")
+
+    return _meetings(dealt(left, "a", "b", 1).unionByName(dealt(right, "b", "a", 2)), floor)
 
 
 def _met_within(body: DataFrame, floor: float) -> DataFrame:
-    """lsid < rsid that meet on a leading term, each pair of lanes of a term's list in a group of its own."""
-    lead = body.select("sid", F.explode("lead").alias("e")).select("sid", F.col("e.term").alias("term"), F.col("e.w").alias("w"), F.col("e.rest").alias("rest"))
-    lanes = lead.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("term", F.ceil(F.col("n") / LANE).cast("int").alias("lanes"))
-    dealt = lead.join(lanes, "term").withColumn("lane", F.pmod(F.xxhash64("sid"), F.col("lanes")).cast("int"))
-
-    def side(p: str, i: Column, j: Column, explode: str) -> DataFrame:
-        return dealt.select("term", F.col("sid").alias(f"{p}sid"), F.col("w").alias(f"{p}w"), F.col("rest").alias(f"{p}rest"), i.alias("i"), j.alias("j")).withColumn(
-            explode, F.explode(explode))
+    """l < r that meet on a leading term, each pair of lanes of a term's list in a group of its own."""
+    leads = _leads(body)
+    lanes = F.coalesce("lanes", F.lit(1))
+    each = leads.join(_lanes(leads, "lanes"), "key", "left").withColumn("mine", F.pmod(F.xxhash64("num"), lanes).cast("int")).select(
+        "key", "num", "data", "mine", F.explode(F.sequence(F.lit(0), lanes - 1)).alias("other"))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return _meetings(each.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("meeting"),
+                                 side.alias("side"), "num", "data"), floor, within=True)
+
+
+def _meetings(rows: DataFrame, floor: float, within: bool = False) -> DataFrame:
+    """l, r whose cosine can reach ``floor``: pairs of a meeting's rows of sides 1 and 2, and of its rows of side 0 among themselves.
+
+    A pair goes on if it can reach the floor when the term it meets on is the rarest that it shares (what rarer terms hold is lost,
+    and the more frequent ones add no more than the product of the rests), and if its sketches allow it. Pairs are formed here, in
+    a sorted pass; only those that go on leave the task. ``within``: the smaller of both comes first, and none meets itself.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = rows.repartition(parts, "meeting").sortWithinPartitions("meeting", "side")
+    schema = "l long, r long"
+
+    def tested(meeting: np.ndarray, side: np.ndarray, num: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(np.append(0, meeting[1:] != meeting[:-1]))
+        place = np.arange(len(num))
+        code = group * 3 + side
+        first = np.where(side == 0, place + 1, np.searchsorted(code, group * 3 + 2))
+        count = np.where(side == 2, 0, np.searchsorted(code, group * 3 + np.where(side == 0, 0, 2), "right") - first)
+        w, rest, unit = np.ascontiguousarray(data[:, :12]).view("<f4").astype(np.float64).T
+        steps = np.empty((len(num), BUCKETS), np.uint8)
+        steps[:, ::2], steps[:, 1::2] = data[:, 12:] >> 4, data[:, 12:] & 15
+        upto, some = np.cumsum(count), 0
+        while some < len(num):
+            end = max(some + 1, int(np.searchsorted(upto, (upto[some - 1] if some else 0) + PAIRS, "right")))
+            n = count[some:end]
+            a = np.repeat(place[some:end], n)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[some:end], n)
+            some = end
+            can = np.flatnonzero((w[a] * w[b] + rest[a] * rest[b] >= floor - SLACK) & ((num[a] != num[b]) | (not within)))
+            a, b = a[can], b[can]
+            can = (steps[a] * steps[b]).sum(axis=1, dtype=np.uint32) * unit[a] * unit[b] >= floor - SLACK
+            l, r = num[a[can]], num[b[can]]
+            if within:
+                l, r = np.minimum(l, r), np.maximum(l, r)
+            if len(l):
+                yield pa.RecordBatch.from_arrays([pa.array(l), pa.array(r)], names=["l", "r"])
 
-    a = side("l", F.col("lane"), F.sequence("lane", F.col("lanes") - 1), "j")
-    b = side("r", F.sequence(F.lit(0), "lane"), F.col("lane"), "i")
-    pairs = a.join(b, ["term", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("lsid") < F.col("rsid"))).filter(_can_reach(floor))
-    return pairs.select(F.least("lsid", "rsid").alias("lsid"), F.greatest("lsid", "rsid").alias("rsid")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = batch.column("data").cast(pa.binary())
+            start = np.frombuffer(data.buffers()[1], np.int32)[data.offset]
+            new = [*(batch.column(c).to_numpy() for c in ("meeting", "side", "num")),
+                   np.frombuffer(data.buffers()[2], np.uint8)[start:start + batch.num_rows * (12 + BUCKETS // 2)].reshape(batch.num_rows, -1)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last meeting may go on in the next batch
+            if whole:
+                yield from tested(*(x[:whole] for x in held))
+                held = [x[whole:].copy() for x in held]
+        if held is not None:
+            yield from tested(*held)
+
+    return dealt.mapInArrow(run, schema).distinct()
 
 
 def semantic_edges(chunks: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -178,22 +292,26 @@ def semantic_edges(chunks: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
     ties the others to it. The join meets only on leading terms, as in the overlap join.
     """
     rows = chunks.select("chunk_id", F.md5("chunk_text").alias("sid"), F.col("chunk_text").alias("sentence"))
-    body = cut_lineage(_leading_terms(rows.select("sid", "sentence"), threshold).select("sid", "terms", "weights", "lead"))
-    met = _met_within(body, threshold)
+    body = _leading_terms(rows.select("sid", "sentence"), threshold)
+    met = cut_lineage(_met_within(body, threshold))
     close = _cosines(met, body).filter(F.round("cosine", 6) >= threshold)
-    first = rows.groupBy("sid").agg(F.min("chunk_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    ends = close.select("lsid", "rsid").join(first.select(F.col("sid").alias("lsid"), F.col("first").alias("src")), "lsid").join(
-        first.select(F.col("sid").alias("rsid"), F.col("first").alias("dst")), "rsid").select("src", "dst")
+    ids = cut_lineage(rows.select("chunk_id", "sid"))
+    first = cut_lineage(ids.groupBy("sid").agg(F.min("chunk_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    named = cut_lineage(body.select("num", "sid").join(first, "sid").select("num", "first"))
+    ends = close.select("l", "r").join(named.select(F.col("num").alias("l"), F.col("first").alias("src")), "l").join(
+        named.select(F.col("num").alias("r"), F.col("first").alias("dst")), "r").select("src", "dst")
+    # written out once: each edge goes both ways
+    ends = cut_lineage(ends)
     both = ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     edges = both.withColumn("type", F.lit("semantic")).withColumn("weight", F.lit(EDGE_WEIGHTS["semantic"]))
-    copies = rows.join(first.filter("n > 1"), "sid").select(F.col("first").alias("hub"), "chunk_id")
+    copies = ids.join(first.filter("n > 1"), "sid").select(F.col("first").alias("hub"), "chunk_id")
     return edges, copies
 
 
 def _cosines(pairs: DataFrame, body: DataFrame) -> DataFrame:
-    """lsid, rsid, cosine of the pairs' unit vectors; the terms of many pairs are matched by one sort per Arrow batch."""
-    schema = "lsid string, rsid string, cosine double"
-    side = lambda p: body.select(F.col("sid").alias(f"{p}sid"), F.col("terms").alias(f"{p}terms"), F.col("weights").alias(f"{p}weights"))
+    """l, r, cosine of the pairs' unit vectors; the terms of many pairs are matched by one sort per Arrow batch."""
+    schema = "l long, r long, cosine double"
+    side = lambda p: body.select(F.col("num").alias(p), *(F.col(c).alias(f"{p}{c}") for c in ("terms", "raws", "norm")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,12 +323,11 @@ def _cosines(pairs: DataFrame, body: DataFrame) -> DataFrame:
             order = np.argsort(b)
             at = np.minimum(np.searchsorted(b, a, sorter=order), max(0, len(b) - 1))
             found = np.flatnonzero(b[order[at]] == a) if len(b) else np.empty(0, np.int64)
-            wa, wb = (batch.column(c).flatten().to_numpy() for c in ("lweights", "rweights"))
+            wa, wb = (batch.column(f"{p}raws").flatten().to_numpy() / np.repeat(batch.column(f"{p}norm").to_numpy(), size) for p, size in zip("lr", sizes))
             dot = np.bincount(a[found] // kinds, wa[found] * wb[order[at[found]]], minlength=n) if n else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column("lsid").cast(pa.string()), batch.column("rsid").cast(pa.string()), pa.array(dot, pa.float64())],
-                                             names=["lsid", "rsid", "cosine"])
+            yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("r"), pa.array(dot, pa.float64())], names=["l", "r", "cosine"])
 
-    joined = pairs.join(side("l"), "lsid").join(side("r"), "rsid").select("lsid", "rsid", "lterms", "rterms", "lweights", "rweights")
+    joined = pairs.join(side("l"), "l").join(side("r"), "r")
     return joined.mapInArrow(run, schema)
 
 
