@@ -55,3 +55,15 @@ def test_edges_in_lanes_and_batches(spark, monkeypatch, lane, batch):
     near = [(first[a], first[b]) for (a, b), c in cosines(made).items() if round(c, 6) >= 0.8]
     assert near and got == sorted(near + [(b, a) for a, b in near])
     assert tied == sum(n for n in Counter(made + made[:5]).values() if n > 1)
+
+
+def test_only_terms_of_the_other_side_are_dealt(spark, monkeypatch):
+    seen = []
+    meetings = similarity._meetings
+    monkeypatch.setattr(similarity, "_meetings", lambda rows, floor, **more: seen.append(rows.groupBy("side").count().collect()) or meetings(rows, floor, **more))
+    left = spark.createDataFrame([(i, f"word{i} other{i} thing{i} there{i} shared") for i in range(200)], "lid long, text string")
+    right = spark.createDataFrame([(1, "word7 other7 thing7 there7 shared"), (2, "not one of them")], "rid long, text string")
+    found = similarity.sentence_overlap(left, right, ["lid"], ["rid"], threshold=0.74)
+    assert [(r.lid, r.rid) for r in found.collect()] == [(7, 1)]
+    dealt = {r["side"]: r["count"] for r in seen[0]}
+    assert dealt[1] <= 8  # the terms of one left sentence, not of 200
